@@ -24,6 +24,9 @@ MOST_STEPS = 35
 STEP_TOLERANCE = 1e-10
 # A coefficient this large that is still moving has no finite estimate.
 RUNAWAY = 20.0
+# Stands for an infinite coefficient: exp(-800) is 0 in double precision.
+INFINITE = 800.0
+INTERCEPT = "intercept"
 
 
 @dataclass
@@ -37,21 +40,48 @@ class Fit:
     status: str = "running"
     beta: np.ndarray = field(default_factory=lambda: np.zeros(0))
     error: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    screened: bool = False
 
     def advance(self, information: np.ndarray, score: np.ndarray) -> None:
         """One Newton step from the sums at the present coefficients."""
-        if np.linalg.matrix_rank(_scaled(information), tol=1e-11) < len(self.terms):
-            self.status = "separated" if np.abs(self.beta).max(initial=0) > RUNAWAY / 2 else "singular"
+        if not self.screened and self._pin(information, score):
+            return
+        self.screened = True
+        free = np.flatnonzero(np.abs(self.beta) < INFINITE)
+        information, score = information[np.ix_(free, free)], score[free]
+        if np.linalg.matrix_rank(_scaled(information), tol=1e-11) < len(free):
+            self.status = "separated" if np.abs(self.beta).max() > RUNAWAY / 2 else "singular"
             return
         step = np.linalg.solve(information, score)
-        self.beta = self.beta + step
-        self.error = np.sqrt(np.diag(np.linalg.inv(information)))
+        self.beta[free] += step
+        self.error[free] = np.sqrt(np.diag(np.linalg.inv(information)))
         largest = np.abs(step).max(initial=0)
         if largest < STEP_TOLERANCE:
-            self.status = "ok"
-        elif largest > 0.1 and np.abs(self.beta).max() > RUNAWAY:
+            self.status = "ok" if len(free) == len(self.beta) else "separated"
+        elif largest > 0.1 and np.abs(self.beta[free]).max() > RUNAWAY:
             self.status = "separated"
 
+    def _pin(self, information: np.ndarray, score: np.ndarray) -> bool:
+        """Fixes 0/1 terms whose subjects all have the outcome, or none have it, at infinity.
+
+        Their subjects are then predicted exactly and weigh nothing in the rest of
+        the fit, which is the limit the full fit tends to. While every other
+        coefficient is 0 the sums show, for each term, its subjects and events.
+        """
+        if INTERCEPT not in self.terms:
+            return False
+        base = self.terms.index(INTERCEPT)
+        subjects = 4 * information[base]
+        events = score + subjects / 2
+        pinned = False
+        for j in range(len(self.terms)):
+            is_flag = j != base and information[j, j] == information[base, j]
+            if is_flag and abs(self.beta[j]) < INFINITE and subjects[j] > 0 and events[j] in (0, subjects[j]):
+                self.beta[j] = INFINITE if events[j] else -INFINITE
+                self.error[j] = np.inf
+                pinned = True
+        return pinned
+
 
 def _scaled(matrix: np.ndarray) -> np.ndarray:
     """Unit diagonal, so that the rank does not depend on the sizes of the columns."""
@@ -61,9 +91,15 @@ def _scaled(matrix: np.ndarray) -> np.ndarray:
 
 
 def by_outcome(table: DataFrame, terms: Sequence[str], outcomes: Sequence[str]) -> DataFrame:
-    """Pattern rows ``stratum, target, terms..., n, y``: one copy per outcome."""
-    kept = ["stratum", *(quoted(term) for term in terms), "n"]
-    return table.unpivot(kept, list(outcomes), "target", "y")
+    """Pattern rows ``stratum, target, x0..., n, y``: one copy per outcome, terms by position."""
+    ids = [quoted(term).alias(f"x{i}") for i, term in enumerate(terms)]
+    named = table.select("stratum", *ids, "n", *outcomes)
+    return named.unpivot(named.columns[: -len(outcomes)], list(outcomes), "target", "y")
+
+
+def stored(table: DataFrame) -> DataFrame:
+    """The pattern table written to the checkpoint folder, for the steps to read."""
+    return checkpointed(table)
 
 
 def _with_fit(table: DataFrame, terms: Sequence[str], fits: Sequence[Fit]) -> DataFrame:
@@ -77,27 +113,20 @@ def _with_fit(table: DataFrame, terms: Sequence[str], fits: Sequence[Fit]) -> Da
         columns[f"b{i}"] = [float(f.beta[f.terms.index(term)]) if term in f.terms else 0.0 for f in fits]
     types = {name: pa.string() if name in ("stratum", "target") else pa.float64() for name in columns}
     joined = table.join(local_frame(table.sparkSession, columns, types), ["stratum", "target"])
-    eta = sum((quoted(term) * F.col(f"b{i}") for i, term in enumerate(terms)), F.lit(0.0))
-    names = [quoted(term) for term in terms]
-    return joined.select("stratum", "target", *names, "n", "y", (F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))).alias("p"))
+    eta = " + ".join(f"x{i} * b{i}" for i in range(len(terms)))
+    return joined.selectExpr(*table.columns, f"1D / (1D + exp(-({eta}))) as p")
 
 
 def _sums(table: DataFrame, terms: Sequence[str], fits: Sequence[Fit]) -> DataFrame:
     """Per fit: subjects, score vector, upper triangle of the information matrix."""
-    x = [quoted(term) for term in terms]
-    rows = _with_fit(table, terms, fits).select(
-        "stratum",
-        "target",
-        *x,
-        "n",
-        (F.col("y") - F.col("n") * F.col("p")).alias("residual"),
-        (F.col("n") * F.col("p") * (F.lit(1.0) - F.col("p"))).alias("weight"),
+    k = range(len(terms))
+    rows = _with_fit(table, terms, fits).selectExpr(
+        *table.columns, "y - n * p as residual", "n * p * (1D - p) as weight"
     )
-    score = [F.sum(x[i] * F.col("residual")).alias(f"s{i}") for i in range(len(x))]
-    information = [
-        F.sum(x[i] * x[j] * F.col("weight")).alias(f"h{i}_{j}") for i in range(len(x)) for j in range(i, len(x))
-    ]
-    return rows.groupBy("stratum", "target").agg(F.sum("n").alias("n"), *score, *information)
+    score = [f"sum(x{i} * residual) as s{i}" for i in k]
+    information = [f"sum(x{i} * x{j} * weight) as h{i}_{j}" for i in k for j in k if i <= j]
+    sums = [F.expr(text) for text in ("sum(n) as n", *score, *information)]
+    return rows.groupBy("stratum", "target").agg(*sums)
 
 
 def fit_all(table: DataFrame, terms: Sequence[str], fits: list[Fit]) -> list[Fit]:
@@ -139,23 +168,22 @@ ODDS_SCHEMA = (
 def odds_ratios(spark: SparkSession, fits: Sequence[Fit], level: float = 0.95) -> DataFrame:
     """Odds ratios with their interval, one row per fit and term; NULL where a fit has none.
 
+    A term at infinity has odds ratio 0 or infinity and the interval from 0 to infinity.
     A fit without any term keeps one row that shows its status.
     """
     z = normal_quantile(1 - (1 - level) / 2)
-
-    def number(value: float) -> float | None:
-        return None if np.isnan(value) else float(value)
-
     rows = []
     for fit in fits:
-        usable = fit.status in ("ok", "not_converged", "separated") and not np.isnan(fit.error).any()
         for i, term in enumerate(fit.terms or [None]):
             values = [None] * 5
-            if usable and term is not None:
+            if term is not None and not np.isnan(fit.error[i]):
                 beta, error = fit.beta[i], fit.error[i]
                 with np.errstate(over="ignore"):
                     odds = np.exp([beta, beta - z * error, beta + z * error])
-                values = [number(v) for v in (beta, error, *odds)]
+                    if abs(beta) == INFINITE:
+                        beta = np.copysign(np.inf, beta)
+                        odds[0] = np.exp(beta)
+                values = [float(v) for v in (beta, error, *odds)]
             rows.append((fit.stratum, fit.target, term, *values, fit.n, fit.status))
     return spark.createDataFrame(rows, ODDS_SCHEMA)
 
@@ -165,22 +193,18 @@ def fitted_totals(table: DataFrame, terms: Sequence[str], fits: Sequence[Fit]) -
 
     At the maximum of the likelihood both are equal for every term of a fit.
     """
-    rows = _with_fit(table, terms, fits)
-    sums = rows.groupBy("stratum", "target").agg(
-        *(F.sum(quoted(t) * F.col("y")).alias(f"seen{i}") for i, t in enumerate(terms)),
-        *(F.sum(quoted(t) * F.col("n") * F.col("p")).alias(f"made{i}") for i, t in enumerate(terms)),
-    )
+    k = range(len(terms))
+    sums = [f"sum(x{i} * y) as seen{i}" for i in k] + [f"sum(x{i} * n * p) as made{i}" for i in k]
+    totals = _with_fit(table, terms, fits).groupBy("stratum", "target").agg(*(F.expr(text) for text in sums))
     entries = [
         F.struct(F.lit(t).alias("term"), F.col(f"seen{i}").alias("observed"), F.col(f"made{i}").alias("fitted"))
         for i, t in enumerate(terms)
     ]
-    columns = {"stratum": [f.stratum for f in fits for _ in f.terms], "target": [f.target for f in fits for _ in f.terms]}
-    columns["term"] = [t for f in fits for t in f.terms]
+    columns = {
+        "stratum": [f.stratum for f in fits for _ in f.terms],
+        "target": [f.target for f in fits for _ in f.terms],
+        "term": [t for f in fits for t in f.terms],
+    }
     wanted = local_frame(table.sparkSession, columns, dict.fromkeys(columns, pa.string()))
-    stacked = sums.select("stratum", "target", F.inline(F.array(*entries)))
+    stacked = totals.select("stratum", "target", F.inline(F.array(*entries)))
     return stacked.join(wanted, ["stratum", "target", "term"])
-
-
-def stored(table: DataFrame) -> DataFrame:
-    """The pattern table written to the checkpoint folder, for the steps to read."""
-    return checkpointed(table)
