@@ -32,7 +32,11 @@ def _words(count: int) -> list[str]:
 
 
 def category_masks(codes: CodeList) -> DataFrame:
-    """``code, word0, ...``: the bits of every category a code belongs to."""
+    """``code, word0, ...``: the bits of every category a code belongs to.
+
+    A list held on the driver has a checked number of rows and is broadcast. Any
+    other list is joined as Catalyst sees fit.
+    """
     names = codes.names
     words = _words(len(names))
     if codes.known is not None:
@@ -41,7 +45,8 @@ def category_masks(codes: CodeList) -> DataFrame:
             bit = names.index(category)
             masks.setdefault(code, [0] * len(words))[bit // WORD] |= 1 << bit % WORD
         columns = {"code": list(masks)} | {w: [m[i] for m in masks.values()] for i, w in enumerate(words)}
-        return local_frame(codes.codes.sparkSession, columns, {"code": pa.string()} | {w: pa.int64() for w in words})
+        types = {"code": pa.string()} | {w: pa.int64() for w in words}
+        return F.broadcast(local_frame(codes.codes.sparkSession, columns, types))
     bits = [
         F.bit_or(
             F.coalesce(
@@ -86,7 +91,7 @@ def category_counts(df: DataFrame, codes: CodeList, keys: Sequence[str], code: s
         "bit": [1 << i % WORD for i in range(len(listed))],
     }
     types = {"code": pa.string(), "word": pa.int32(), "bit": pa.int64()}
-    index = local_frame(df.sparkSession, columns, types)
+    index = F.broadcast(local_frame(df.sparkSession, columns, types))
     none = F.lit(0).cast("long")
     seen = (
         df.select(*keys, F.col(code).alias("code"))

@@ -22,7 +22,7 @@ from cohortry.session import checkpointed, local_frame
 # Fixed value: the most Newton steps.
 MOST_STEPS = 35
 STEP_TOLERANCE = 1e-10
-# A coefficient this large that is still moving has no finite estimate.
+# A coefficient this large that is still moving, with the score equations solved, has no finite estimate.
 RUNAWAY = 20.0
 # Stands for an infinite coefficient: exp(-800) is 0 in double precision.
 INFINITE = 800.0
@@ -58,7 +58,7 @@ class Fit:
         largest = np.abs(step).max(initial=0)
         if largest < STEP_TOLERANCE:
             self.status = "ok" if len(free) == len(self.beta) else "separated"
-        elif largest > 0.1 and np.abs(self.beta[free]).max() > RUNAWAY:
+        elif largest > 0.1 and np.abs(self.beta[free]).max() > RUNAWAY and np.abs(score).max() < 1e-9 * self.n:
             self.status = "separated"
 
     def _pin(self, information: np.ndarray, score: np.ndarray) -> bool:
