@@ -419,7 +419,8 @@ def oracle() -> dict[str, str]:
             select stratum, sex, 'any_sud' as target, any_sud as y from copies
             union all select stratum, sex, 'ge2_sud', ge2_sud from copies) g group by stratum, target)
         select stratum, target, n, round({lo}, 6) as beta, round({se}, 6) as se, round(exp({lo}), 6) as or_,
-          round(exp({lo} - {Z} * {se}), 6) as lo, round(exp({lo} + {Z} * {se}), 6) as hi, 'ok' as status from c""",
+          round(exp({lo} - {Z} * {se}), 6) as lo, round(exp({lo} + {Z} * {se}), 6) as hi
+        from c where a > 0 and b > 0 and c > 0 and d > 0""",
         T3,
         "copies as (select 'ALL' as stratum, * from t3 union all select race as stratum, * from t3)",
     )
