@@ -13,6 +13,7 @@ from cohortry.functions.bands import AGE_BANDS, band, whole_number
 from cohortry.functions.names import clean_name
 from cohortry.operators import codes, counts, dedupe, design, joins, lineage, logit, logtimes, membership, odds
 from cohortry.plans import cohort, reports
+from cohortry.session import stored
 from cohortry.sources import codelists, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,7 +295,7 @@ def covariate_patterns(spark, folder):
 
 @query
 def dummy_design(spark, folder):
-    table = logit.stored(covariate_patterns(spark, folder))
+    table = stored(covariate_patterns(spark, folder))
     return reports.table3_design(table)[0]
 
 
@@ -336,7 +337,7 @@ def table4_fit_totals(spark, folder):
 @query
 def table3_one_factor(spark, folder):
     """The iterative fit with sex as its only covariate, which has a closed form when no cell is empty."""
-    table = logit.stored(covariate_patterns(spark, folder))
+    table = stored(covariate_patterns(spark, folder))
     copies, used = reports.table3_design(table)
     used = dict.fromkeys(used, ["sex_M", "intercept"])
     _, _, fits = reports.adjusted(copies, used, reports.TARGETS)
@@ -360,14 +361,15 @@ def lineage_edges(spark, folder):
 
 @query
 def lineage_ancestors(spark, folder):
-    edges = lineage.stored_edges(lineage_edges(spark, folder))
+    edges = stored(lineage.build_edges(given.module_configs(spark, folder)))
     return lineage.ancestors(edges, given.lineage_key(spark, folder))
 
 
 @query
 def lineage_subgraph(spark, folder):
-    edges = lineage.stored_edges(lineage_edges(spark, folder))
-    nodes, kept = lineage.subgraph(lineage_nodes(spark, folder), edges, given.lineage_key(spark, folder))
+    graph = lineage.build_graph(given.module_configs(spark, folder))
+    nodes, kept = lineage.subgraph(*graph, given.lineage_key(spark, folder))
+    nodes = stored(nodes)
     ends = [
         nodes.select(F.col("node_name").alias(f"node_{end}"), F.col("node_type").alias(f"type_{end}"))
         for end in ("from", "to")
@@ -377,8 +379,8 @@ def lineage_subgraph(spark, folder):
 
 @query
 def lineage_roundtrip(spark, folder):
-    configs = given.module_configs(spark, folder)
-    rows = lineage.serialised(lineage.build_nodes(configs), lineage.build_edges(configs), "workspace")
+    graph = lineage.build_graph(given.module_configs(spark, folder))
+    rows = lineage.serialised(*graph, "workspace")
     nodes, _ = lineage.deserialised(*rows)
     modules, data = lineage.split_nodes(nodes)
     marked = modules.withColumn("is_module", F.lit(True)).unionByName(data.withColumn("is_module", F.lit(False)))

@@ -255,7 +255,7 @@ nodes as (
   select node_name, node_type, summary from (
     select *, row_number() over (partition by node_name order by module, side, node_type, summary) as rn from (
       select name as node_name, node_type,
-             '{"type":"' || node_type || '","location":"' || location || '","description":"' || description || '"}' as summary,
+             '{"description":"' || description || '","location":"' || location || '","type":"' || node_type || '"}' as summary,
              module, side from mention)) where rn = 1
   union all select distinct module, 'module', '' from mention),
 edges as (

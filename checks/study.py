@@ -69,7 +69,8 @@ def diagnosed(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order line: the customer, the place of supply as site, and a code."""
     lines = read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    code = F.format_string("%d.%d0", 290 + F.col("l_partkey") % 200, F.col("l_suppkey") % 2)
+    stem, tail = (290 + F.col("l_partkey") % 200).cast("string"), (F.col("l_suppkey") % 2).cast("string")
+    code = F.concat(stem, F.lit("."), tail, F.lit("0"))
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").cast("string").alias("patientid"),
         F.col("l_orderkey").alias("visit_id"),
@@ -163,7 +164,7 @@ def module_configs(spark: SparkSession, folder: str) -> DataFrame:
         config(parents, F.create_map(name("part_", part), entry("DB-dbTable", name("stock.parts.", part), "product"))).alias("config"),
     )
     lines = read(spark, folder, "lineitem").select(
-        F.format_string("line_%d_%d", "l_orderkey", "l_linenumber").alias("module"),
+        F.concat_ws("_", F.lit("line"), "l_orderkey", "l_linenumber").alias("module"),
         config(
             F.create_map(name("part_", F.col("l_partkey")), entry("file-csv", name("parts/", F.col("l_partkey")), "ordered part")),
             F.create_map(name("order_", F.col("l_orderkey")), entry("file-csv", name("orders/", F.col("l_orderkey")), "order")),

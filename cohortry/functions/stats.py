@@ -55,5 +55,18 @@ def two_by_two(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Colu
 
 
 def one_decimal(value: Column) -> Column:
-    """One-decimal text, ties to the even digit."""
-    return F.format_string("%.1f", F.bround(value, 1))
+    """One-decimal text of the exact binary value, ties to the even digit.
+
+    The nearest tenth cannot be read off ``value * 10``, which is rounded itself:
+    21.95 is stored slightly below 21.95 and belongs to 21.9. The value is split
+    into two halves whose products with 20 are exact, which gives the exact sign
+    of its distance to the middle between two tenths.
+    """
+    spread = value * F.lit(134217729.0)  # 2**27 + 1
+    upper = spread - (spread - value)
+    lower = value - upper
+    tenths = F.floor(value * F.lit(10.0))
+    past_middle = (upper * F.lit(20.0) - (tenths * 2 + 1).cast("double")) + lower * F.lit(20.0)
+    odd = F.pmod(tenths, F.lit(2)) == 1
+    rounded = tenths + ((past_middle > 0) | ((past_middle == 0) & odd)).cast("int")
+    return F.format_string("%.1f", rounded / F.lit(10.0))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.names import quoted
 from cohortry.functions.stats import normal_quantile
-from cohortry.session import checkpointed, local_frame
+from cohortry.session import local_frame
 
 # Fixed value: the most Newton steps.
 MOST_STEPS = 35
@@ -97,11 +97,6 @@ def by_outcome(table: DataFrame, terms: Sequence[str], outcomes: Sequence[str])
     return named.unpivot(named.columns[: -len(outcomes)], list(outcomes), "target", "y")
 
 
-def stored(table: DataFrame) -> DataFrame:
-    """The pattern table written to the checkpoint folder, for the steps to read."""
-    return checkpointed(table)
-
-
 def _with_fit(table: DataFrame, terms: Sequence[str], fits: Sequence[Fit]) -> DataFrame:
     """Pattern rows of the given fits with their probability ``p``.
 
@@ -132,7 +127,7 @@ def _sums(table: DataFrame, terms: Sequence[str], fits: Sequence[Fit]) -> DataFr
 def fit_all(table: DataFrame, terms: Sequence[str], fits: list[Fit]) -> list[Fit]:
     """Runs the fits over a pattern table (see ``by_outcome``) that is already stored.
 
-    ``table`` is read once per step, so it should be a checkpoint or a written
+    ``table`` is read once per step, so it should be a stored
     table. Only fits still moving take part in the next step.
     """
     for fit in fits:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.session import checkpointed
+from cohortry.session import stored
 from cohortry.sources.logs import log_fields
 
 # The marks searched for and the shape of a timing message.
@@ -50,7 +50,7 @@ def with_bars(times: DataFrame) -> DataFrame:
 
     The times are needed twice, so the few rows are stored first and the log is read once.
     """
-    times = checkpointed(times)
+    times = stored(times)
     slowest = times.agg(F.max("average")).scalar()
     steps = F.floor(F.try_divide(F.lit(BAR_STEPS) * F.col("average"), slowest)).cast("int")
     return times.withColumn("steps", F.coalesce(steps, F.lit(0))).withColumn(

@@ -15,9 +15,10 @@ from cohortry.functions.names import quoted
 from cohortry.functions.stats import one_decimal, percent, proportion, wald_bounds
 from cohortry.operators.counts import ALL, cells, complete, drop_small_everywhere, level_counts, with_total
 from cohortry.operators.design import dummies, dummy_names, levels_of, patterns, support
-from cohortry.operators.logit import Fit, by_outcome, fit_all, stored
+from cohortry.operators.logit import Fit, by_outcome, fit_all
 from cohortry.operators.membership import exclude
 from cohortry.plans.cohort import Study, cohort, in_scope
+from cohortry.session import stored
 
 DIMENSIONS = ("age_categorical", "sex")
 

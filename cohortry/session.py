@@ -3,33 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 
 
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: where the session checkpoints to.
 
-    The folder named by ``spark.checkpoint.dir`` is used when it is set. Only a
+    That is the folder named by ``spark.checkpoint.dir`` when it is set. Only a
     local session without it gets a folder of its own; on a cluster a folder on
     one machine would be lost with that machine, so there the setting is required.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="cohortry-checkpoint-")
-    context.setCheckpointDir(folder)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written rows."""
-    ready_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+            folder = tempfile.mkdtemp(prefix="cohortry-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, and read from there from now on.
+
+    This cuts the lineage: a lost executor costs a re-read, not a re-run. Being a
+    Parquet table, the copy has a known size, so Catalyst broadcasts it in a
+    join only while it is below the session's threshold, and its readers take the
+    columns they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_frame(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType]) -> DataFrame:

@@ -1,9 +1,9 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
-from conftest import rows_of
 from pyspark.sql import functions as F
 
 from cohortry.functions.bands import band, whole_number
@@ -67,5 +67,9 @@ def test_odds(spark):
 
 
 def test_one_decimal(spark):
-    shown = spark.createDataFrame([(0.25,), (12.0,), (3.46,)], "v double").select(one_decimal(F.col("v")).alias("t"))
-    assert rows_of(shown) == [("0.2",), ("12.0",), ("3.5",)]
+    rng = random.Random(5)
+    values = [0.0, 0.25, 0.35, 21.95, 12.0, 99.95, 100.0, 3.46, 0.05, 0.15]
+    values += [rng.randrange(0, 20000) / 200 for _ in range(2000)] + [rng.random() * 100 for _ in range(2000)]
+    values += [rng.randrange(0, 500) / rng.randrange(500, 900) * 100 for _ in range(2000)]
+    shown = spark.createDataFrame([(v,) for v in values], "v double").select("v", one_decimal(F.col("v")).alias("t"))
+    assert all(row["t"] == f"{row['v']:1.1f}" == str(round(row["v"], 1)) for row in shown.collect())

@@ -9,9 +9,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 
 from checks.study import study
-from cohortry.operators.logit import Fit, by_outcome, fit_all, odds_ratios, stored
+from cohortry.operators.logit import Fit, by_outcome, fit_all, odds_ratios
 from cohortry.operators.odds import crude_odds_ratios
 from cohortry.plans import reports
+from cohortry.session import stored
 
 
 def fit_of(spark, rows, terms, outcome="y"):
