@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.plans.cohort import Study
+from cohortry.session import spread
 from cohortry.sources.codelists import CodeList
 
 # Fixed values of the study, used by the queries and by the SQL.
@@ -43,7 +44,9 @@ CODES = {
 }
 
 
+@lru_cache(maxsize=None)
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A given table; its footer is read once per session."""
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
@@ -78,6 +81,7 @@ def diagnosed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=None)
 def study(spark: SparkSession, folder: str) -> Study:
     return Study(
         persons=background(spark, folder),
@@ -90,6 +94,7 @@ def study(spark: SparkSession, folder: str) -> Study:
     )
 
 
+@lru_cache(maxsize=None)
 def sited_study(spark: SparkSession, folder: str) -> Study:
     """The same records with a two-part key: the customer number and the site (nation modulo 7).
 
@@ -149,7 +154,7 @@ def module_configs(spark: SparkSession, folder: str) -> DataFrame:
         return F.concat(F.lit(prefix), number.cast("string"))
 
     part = F.col("p_partkey")
-    made = read(spark, folder, "part")
+    made = spread(read(spark, folder, "part").select("p_partkey"))
     lower = [F.floor(part / 3), F.floor(part / 2)]
     parents = F.map_from_entries(
         F.array_distinct(
@@ -163,14 +168,15 @@ def module_configs(spark: SparkSession, folder: str) -> DataFrame:
         name("make_", part).alias("module"),
         config(parents, F.create_map(name("part_", part), entry("DB-dbTable", name("stock.parts.", part), "product"))).alias("config"),
     )
-    lines = read(spark, folder, "lineitem").select(
+    ordered = spread(read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
+    lines = ordered.select(
         F.concat_ws("_", F.lit("line"), "l_orderkey", "l_linenumber").alias("module"),
         config(
             F.create_map(name("part_", F.col("l_partkey")), entry("file-csv", name("parts/", F.col("l_partkey")), "ordered part")),
             F.create_map(name("order_", F.col("l_orderkey")), entry("file-csv", name("orders/", F.col("l_orderkey")), "order")),
         ).alias("config"),
     )
-    shipped = read(spark, folder, "orders").select(
+    shipped = spread(read(spark, folder, "orders").select("o_orderkey", "o_custkey")).select(
         name("ship_", F.col("o_orderkey")).alias("module"),
         config(
             F.create_map(name("order_", F.col("o_orderkey")), entry("DB-dbTable", name("sales.orders.", F.col("o_orderkey")), "order")),

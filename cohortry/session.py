@@ -40,6 +40,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt out to all cores when the scan has fewer tasks than there are cores.
+
+    For costly work on each row of a few files that cannot be split. A scan of
+    many files has enough tasks and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_frame(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType]) -> DataFrame:
     """A small driver-side table.
 

@@ -6,7 +6,7 @@ the study. A code list has ``kind, category, code``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
@@ -54,11 +54,13 @@ class CodeList:
     ``categories`` maps kind to category names: one output column each.
     ``codes`` is the long table, of any size.
     ``known`` holds the same rows on the driver when there are few of them.
+    ``headers`` maps each category name to the header it was made from.
     """
 
     categories: dict[str, tuple[str, ...]]
     codes: DataFrame
     known: tuple[tuple[str, str, str], ...] | None = None
+    headers: dict[str, str] = field(default_factory=dict, hash=False)
 
     @property
     def names(self) -> list[str]:
@@ -77,6 +79,7 @@ class CodeList:
             {kind: tuple(clean[raw] for raw in named) for kind, named in lists.items()},
             local_frame(spark, columns, text),
             rows,
+            {name: raw for raw, name in clean.items()},
         )
 
     @classmethod
@@ -90,4 +93,5 @@ class CodeList:
             {kind: tuple(clean[raw] for raw in table.columns) for kind, table in wide.items()},
             codes,
             None if found is None else tuple(sorted(tuple(row) for row in found)),
+            {name: raw for raw, name in clean.items()},
         )

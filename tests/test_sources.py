@@ -89,6 +89,7 @@ def test_code_list_files(spark, tmp_path):
     assert rows_of(read.codes) == expected
     assert list(read.known) == expected
     assert read.names == ["bipolar_", "mood", "alcohol"]
+    assert read.headers["bipolar_"] == "Bipolar (I/II)"
     assert codelists.CodeList.read(spark, {"dx": str(tmp_path / "dx.csv")}, few=2).known is None
     assert codelists.CodeList.read(spark, {"dx": str(tmp_path / "empty.csv")}).known == ()
 
