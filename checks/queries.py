@@ -287,6 +287,8 @@ def figure1_bars(spark, folder):
 
 # ---- regressions
 
+ODDS = ("beta", "se", "or_", "lo", "hi")
+
 
 @query
 def covariate_patterns(spark, folder):
@@ -315,12 +317,12 @@ def crude_odds_ratio(spark, folder):
 
 @query
 def table3_odds(spark, folder):
-    return logit.odds_ratios(spark, reports.table3(study(spark, folder))[2])
+    return rounded(logit.odds_ratios(spark, reports.table3(study(spark, folder))[2]), *ODDS)
 
 
 @query
 def table4_odds(spark, folder):
-    return logit.odds_ratios(spark, reports.table4(study(spark, folder))[2])
+    return rounded(logit.odds_ratios(spark, reports.table4(study(spark, folder))[2]), *ODDS)
 
 
 @query
@@ -343,7 +345,7 @@ def table3_one_factor(spark, folder):
     _, _, fits = reports.adjusted(copies, used, reports.TARGETS)
     found = logit.odds_ratios(spark, fits).where((F.col("term") == "sex_M") & (F.col("status") == "ok"))
     found = found.drop("term", "status")
-    return rounded(found, "beta", "se", "or_", "lo", "hi")
+    return rounded(found, *ODDS)
 
 
 # ---- lineage

@@ -203,6 +203,126 @@ def table4_fit(more_than: int = 30) -> str:
     return scoped(" " + " union all ".join(parts))
 
 
+NEWTON_STEPS = 9
+
+
+def newton(cases: str, terms: list[str], *parts: str) -> str:
+    """Maximum-likelihood logistic fits, written out as SQL.
+
+    ``cases`` names a table ``stratum, target, pid, n, y`` of covariate patterns and
+    ``ones`` a table ``stratum, target, pid, term`` of the terms a pattern has.
+    Each Newton step sums the information matrix and solves it by Gauss-Jordan
+    elimination, one pivot term after the other. Terms all or none of whose
+    subjects have the outcome are set to infinity and their patterns left out.
+    """
+    key = "stratum, target"
+    ctes = list(parts)
+    ctes.append(
+        f"""term_sums as materialized (select {key}, term, sum(n) as subjects, sum(y) as events
+        from ones join {cases} using ({key}, pid) group by {key}, term)"""
+    )
+    ctes.append(
+        f"""pinned as materialized (select *, case when events = 0 then -1 else 1 end as sign from term_sums
+        where term <> 'intercept' and (events = 0 or events = subjects))"""
+    )
+    ctes.append(
+        f"""live as materialized (select c.* from {cases} c where not exists (select 1 from ones o join pinned p using ({key}, term)
+        where o.stratum = c.stratum and o.target = c.target and o.pid = c.pid))"""
+    )
+    ctes.append(
+        f"""used as materialized (select distinct {key}, o.pid, o.term from ones o join live using ({key}, pid)
+        where not exists (select 1 from pinned p where p.stratum = o.stratum and p.target = o.target and p.term = o.term))"""
+    )
+    ctes.append(f"free as materialized (select distinct {key}, term from used)")
+    ctes.append(f"b0 as materialized (select {key}, term, cast(0 as double) as b from free)")
+    for step in range(NEWTON_STEPS):
+        last = step == NEWTON_STEPS - 1
+        ctes.append(
+            f"""w{step} as materialized (select {key}, pid, n, y, 1.0::double / (1.0::double + exp(-sum(b))) as p
+            from used join b{step} using ({key}, term) join live using ({key}, pid) group by {key}, pid, n, y)"""
+        )
+        ctes.append(
+            f"""h{step} as (select {key}, a.term as i, b.term as j, sum(n * p * (1 - p)) as v
+            from used a join used b using ({key}, pid) join w{step} using ({key}, pid) group by {key}, a.term, b.term)"""
+        )
+        ctes.append(
+            f"""r{step} as (select {key}, term as i, '=' as j, sum(y - n * p) as v
+            from used join w{step} using ({key}, pid) group by {key}, term)"""
+        )
+        unit = f"union all select {key}, a.term, '+' || b.term, cast(a.term = b.term as double) from free a join free b using ({key})"
+        ctes.append(
+            f"""m{step}_0 as (select {key}, i, j, coalesce(v, 0) as v
+            from (select {key}, a.term as i, b.term as j from free a join free b using ({key})) left join h{step} using ({key}, i, j)
+            union all select * from r{step} {unit if last else ""})"""
+        )
+        for k, term in enumerate(terms):
+            ctes.append(
+                f"""m{step}_{k + 1} as (select {key}, i, j,
+                case when centre is null then v when i = '{term}' then v / centre else v - across * down / centre end as v
+                from (select *, max(case when i = '{term}' and j = '{term}' then v end) over (partition by {key}) as centre,
+                      max(case when j = '{term}' then v end) over (partition by {key}, i) as across,
+                      max(case when i = '{term}' then v end) over (partition by {key}, j) as down from m{step}_{k}))"""
+            )
+        ctes.append(f"s{step} as materialized (select * from m{step}_{len(terms)})")
+        ctes.append(
+            f"""b{step + 1} as materialized (select {key}, term, b + v as b from b{step}
+            join s{step} s using ({key}) where s.i = term and s.j = '=')"""
+        )
+    final = NEWTON_STEPS
+    ctes.append(
+        f"""fitted as (select {key}, term, b as beta, sqrt(v) as se from b{final} join s{final - 1} s using ({key})
+        where s.i = term and s.j = '+' || term
+        union all select {key}, term, sign * 'infinity'::double, 'infinity'::double from pinned)"""
+    )
+    ctes.append(f"sizes as (select {key}, cast(sum(n) as bigint) as n from {cases} group by {key})")
+    return scoped(
+        f""" select {key}, term, round(beta, 6) as beta, round(se, 6) as se,
+        case when isinf(beta) then case when beta > 0 then beta else 0 end else round(exp(beta), 6) end as or_,
+        case when isinf(beta) then 0 else round(exp(beta - {Z} * se), 6) end as lo,
+        case when isinf(beta) then 'infinity'::double else round(exp(beta + {Z} * se), 6) end as hi, n,
+        case when exists (select 1 from pinned p where p.stratum = f.stratum and p.target = f.target) then 'separated' else 'ok' end as status
+        from fitted f join sizes using ({key})""",
+        *ctes,
+    )
+
+
+def table3_odds() -> str:
+    design = dummies(REFERENCE)
+    ones = " union all ".join(
+        f"select stratum, target, pid, '{term}' as term from cases where {variable} = '{level}'"
+        + (" and stratum = 'ALL'" if variable == "race" else "")
+        for term, variable, level in design
+    )
+    return newton(
+        "cases",
+        [*(term for term, _, _ in design), "intercept"],
+        T3,
+        """grouped as (select stratum, race, age_categorical, sex, visit_type, count(*) as n, sum(any_sud) as any_sud, sum(ge2_sud) as ge2_sud
+        from (select 'ALL' as stratum, * from t3 union all select race as stratum, * from t3)
+        group by stratum, race, age_categorical, sex, visit_type)""",
+        """cases as materialized (select stratum, target, concat_ws('|', race, age_categorical, sex, visit_type) as pid,
+        race, age_categorical, sex, visit_type, n, y from grouped unpivot (y for target in (any_sud, ge2_sud)))""",
+        f"ones as materialized ({ones} union all select stratum, target, pid, 'intercept' from cases)",
+    )
+
+
+def table4_odds(more_than: int = 30) -> str:
+    dx = [d for d in DX if d != "substance_use"]
+    flags = ", ".join(dx)
+    ones = " union all ".join(
+        f"select stratum, target, pid, '{d}' as term from cases where {d} = 1 "
+        f"and stratum in (select race from scope group by race having sum({d}) > {more_than})"
+        for d in dx
+    )
+    return newton(
+        "cases",
+        [*dx, "intercept"],
+        f"""cases as materialized (select race as stratum, 'any_sud' as target, concat_ws('|', {flags}) as pid, {flags},
+        count(*) as n, sum(any_sud) as y from scope group by race, {flags})""",
+        f"ones as materialized ({ones} union all select stratum, target, pid, 'intercept' from cases)",
+    )
+
+
 def crude() -> str:
     cells = " union all ".join(
         f"select race as stratum, '{d}' as term, count(*) as n, count_if({d} = 1 and any_sud = 1) as a, "
@@ -410,6 +530,8 @@ def oracle() -> dict[str, str]:
         where n > 30 and level <> 'substance_use'"""
     )
     sql["crude_odds_ratio"] = crude()
+    sql["table3_odds"] = table3_odds()
+    sql["table4_odds"] = table4_odds()
     sql["table3_fit_totals"] = table3_fit()
     sql["table4_fit_totals"] = table4_fit()
     lo, se = "ln(cast(a as double) * d / (cast(b as double) * c))", "sqrt(1.0 / a + 1.0 / b + 1.0 / c + 1.0 / d)"

@@ -9,8 +9,8 @@ from compare import database, difference
 
 QUERIES = entry_points.queries()
 SQL = entry_points.oracle_sql()
-# Fits have no SQL; test_logit.py checks them.
-WITHOUT_SQL = {"table3_odds", "table4_odds"}
+# In the smallest tables most fits have no finite maximum, which their SQL handles in plain cases only.
+LARGER = {"table3_odds", "table4_odds"}
 
 
 @pytest.fixture(scope="module")
@@ -19,11 +19,17 @@ def db(folder):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(SQL) == WITHOUT_SQL
-    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(LARGER))
+def test_same_fits(spark, name):
+    folder = "/root/testdata/sf0.01"
+    got = QUERIES[name](spark, folder).toPandas()
+    assert difference(got, database(folder).execute(SQL[name]).df()) is None
+
+
+@pytest.mark.parametrize("name", sorted(set(SQL) - LARGER))
 def test_same_rows(spark, db, folder, name):
     got = QUERIES[name](spark, folder).toPandas()
     note = difference(got, db.execute(SQL[name]).df())
