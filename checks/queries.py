@@ -117,14 +117,18 @@ def first_visit_composite(spark, folder):
     return cohort.subjects(given.sited_study(spark, folder))
 
 
+def dated_orders(spark, folder):
+    return given.read(spark, folder, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
 @query
 def dedupe_lowest(spark, folder):
-    return dedupe.keep_one(given.read(spark, folder, "orders"), ["o_custkey"], "o_totalprice", "lowest", ["o_orderkey"])
+    return dedupe.keep_one(dated_orders(spark, folder), ["o_custkey"], "o_totalprice", "lowest", ["o_orderkey"])
 
 
 @query
 def dedupe_highest(spark, folder):
-    return dedupe.keep_one(given.read(spark, folder, "orders"), ["o_custkey"], "o_totalprice", "highest", ["o_orderkey"])
+    return dedupe.keep_one(dated_orders(spark, folder), ["o_custkey"], "o_totalprice", "highest", ["o_orderkey"])
 
 
 @query
@@ -249,33 +253,38 @@ def counts_dx(spark, folder):
 def metrics(spark, folder):
     made = study(spark, folder)
     groups = {"substances": [*reports.TARGETS, *made.substance_names], "disorders": made.disorder_names}
-    return counts.metrics(reports.study_cells(made), reports.DIMENSIONS, groups).where(F.col("n") > 0)
+    return counts.metrics(study_cells(spark, folder), reports.DIMENSIONS, groups).where(F.col("n") > 0)
 
 
 # ---- reports
 
 
+def study_cells(spark, folder):
+    made = study(spark, folder)
+    return reports.subject_cells(cohort.cohort(made), made.flag_names)
+
+
 @query
 def table1_total(spark, folder):
-    return rounded(reports.table1_total(reports.study_cells(study(spark, folder))), "pct")
+    return rounded(reports.table1_total(study_cells(spark, folder)), "pct")
 
 
 @query
 def table1_strata(spark, folder):
-    return rounded(reports.table1_strata(reports.study_cells(study(spark, folder))), "pct", "lo", "hi")
+    return rounded(reports.table1_strata(study_cells(spark, folder)), "pct", "lo", "hi")
 
 
 @query
 def table2_long(spark, folder):
     made = study(spark, folder)
-    return rounded(reports.table2(reports.study_cells(made), made.substance_names), "value")
+    return rounded(reports.table2(study_cells(spark, folder), made.substance_names), "value")
 
 
 @query
 def table2_wide(spark, folder):
     made = study(spark, folder)
     bands = [label for _, _, label in AGE_BANDS if label not in ("0", *reports.TABLE2_LEFT_OUT)]
-    long = reports.table2(reports.study_cells(made), made.substance_names)
+    long = reports.table2(study_cells(spark, folder), made.substance_names)
     return rounded(reports.table2_wide(long, bands, made.substance_names), "Total", *bands)
 
 
@@ -292,7 +301,7 @@ ODDS = ("beta", "se", "or_", "lo", "hi")
 
 @query
 def covariate_patterns(spark, folder):
-    return reports.table3_patterns(reports.table3_subjects(study(spark, folder)))
+    return reports.table3_patterns(cohort.scoped(study(spark, folder)))
 
 
 @query
@@ -315,25 +324,30 @@ def crude_odds_ratio(spark, folder):
     return rounded(odds.crude_odds_ratios(cohort.scoped(made), flags, "any_sud"), "or_", "lo", "hi")
 
 
+def table4_of(spark, folder):
+    made = study(spark, folder)
+    return reports.table4(cohort.scoped(made), made.disorder_names)
+
+
 @query
 def table3_odds(spark, folder):
-    return rounded(logit.odds_ratios(spark, reports.table3(study(spark, folder))[2]), *ODDS)
+    return rounded(logit.odds_ratios(spark, reports.table3(cohort.scoped(study(spark, folder)))[2]), *ODDS)
 
 
 @query
 def table4_odds(spark, folder):
-    return rounded(logit.odds_ratios(spark, reports.table4(study(spark, folder))[2]), *ODDS)
+    return rounded(logit.odds_ratios(spark, table4_of(spark, folder)[2]), *ODDS)
 
 
 @query
 def table3_fit_totals(spark, folder):
     """Events predicted by the fits of table 3; at the maximum they equal the events seen."""
-    return rounded(logit.fitted_totals(*reports.table3(study(spark, folder))), "fitted")
+    return rounded(logit.fitted_totals(*reports.table3(cohort.scoped(study(spark, folder)))), "fitted")
 
 
 @query
 def table4_fit_totals(spark, folder):
-    return rounded(logit.fitted_totals(*reports.table4(study(spark, folder))), "fitted")
+    return rounded(logit.fitted_totals(*table4_of(spark, folder)), "fitted")
 
 
 @query

@@ -436,7 +436,7 @@ def oracle() -> dict[str, str]:
         """ select patientid as id, siteid, race, sex, age, visit_type from first_visit""", FIRST
     )
     for keep, order in (("lowest", "asc"), ("highest", "desc")):
-        sql[f"dedupe_{keep}"] = f"""select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+        sql[f"dedupe_{keep}"] = f"""select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority
             from (select *, row_number() over (partition by o_custkey order by o_totalprice {order}, o_orderkey {order}) as rn from orders)
             where rn = 1"""
     sql["dedupe_any"] = "select distinct o_custkey, o_orderpriority from orders"

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from cohortry.functions.names import quoted
 from cohortry.session import rows_up_to
 
-# A regression has one column per level, so a variable with more levels than
-# this is not a categorical covariate; it is refused, never cut short.
-MOST_LEVELS = 2000
+# A regression has one column per level, so variables with more levels than
+# this are no categorical covariates; they are refused, never cut short.
+MOST_LEVELS = 10_000
 
 
 def patterns(subjects: DataFrame, by: Sequence[str], outcomes: Sequence[str]) -> DataFrame:
@@ -25,13 +25,17 @@ def patterns(subjects: DataFrame, by: Sequence[str], outcomes: Sequence[str]) ->
     )
 
 
-def levels_of(table: DataFrame, variables: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted levels of each variable."""
-    stacked = table.select(*variables).distinct().unpivot([], list(variables), "variable", "level").distinct()
-    found = rows_up_to(stacked.where(F.col("level").isNotNull()), MOST_LEVELS)
-    if found is None:
-        raise ValueError(f"{list(variables)} have more than {MOST_LEVELS} levels")
-    return {v: sorted(row["level"] for row in found if row["variable"] == v) for v in variables}
+def level_support(table: DataFrame, stratum: str, variables: Sequence[str]) -> dict[str, dict[tuple[str, str], int]]:
+    """Per stratum, the subjects of each ``(variable, level)`` of a pattern table."""
+    stacked = table.unpivot([stratum, "n"], list(variables), "variable", "level")
+    counted = stacked.groupBy(stratum, "variable", "level").agg(F.sum("n").alias("n"))
+    rows = rows_up_to(counted.where(F.col("level").isNotNull()), MOST_LEVELS)
+    if rows is None:
+        raise ValueError(f"{list(variables)} have more than {MOST_LEVELS} levels over all strata")
+    found: dict[str, dict[tuple[str, str], int]] = {}
+    for row in rows:
+        found.setdefault(row[stratum], {})[row["variable"], row["level"]] = row["n"]
+    return found
 
 
 def dummies(table: DataFrame, levels: dict[str, list[str]], keep: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from cohortry.session import local_frame, rows_up_to
 
@@ -38,10 +40,14 @@ def _as_frame(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
 def keep_members(df: DataFrame, column: str, categories: CategoryMap) -> DataFrame:
     """Rows whose value is in the map with a category; compared as text."""
     pairs = mapped_values(categories)
-    text = F.col(column).cast("string")
+    kind = df.schema[column].dataType
+    text = F.col(column) if isinstance(kind, StringType) else F.col(column).cast("string")
     if isinstance(pairs, dict) and len(pairs) <= EXPRESSION_ROWS:
-        field = df.schema[column].dataType.simpleString()
-        return df.where((F.col(column) if field == "string" else text).isin(list(pairs)))
+        if isinstance(kind, IntegralType):
+            # Integers in the filter, not a cast of the column, so that it reaches the scan.
+            whole = [int(value) for value in pairs if re.fullmatch(r"0|-?[1-9]\d*", value)]
+            return df.where(F.col(column).isin(whole))
+        return df.where(text.isin(list(pairs)))
     frame = _as_frame(df, pairs) if isinstance(pairs, dict) else pairs
     return df.join(frame.select("value"), text == F.col("value"), "left_semi")
 

@@ -1,7 +1,7 @@
 """Tables 1 to 4 and the data of figure 1.
 
-``table`` arguments are the ``cells`` of ``cohortry.operators.counts`` over race,
-age band and sex, or pattern tables; none of the reports reads the subjects again.
+``table`` arguments are cells (``subject_cells``) or pattern tables: the reports
+do not read the subjects again. ``subjects`` are rows of the cohort.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.functions.names import quoted
 from cohortry.functions.stats import one_decimal, percent, proportion, wald_bounds
 from cohortry.operators.counts import ALL, cells, complete, drop_small_everywhere, level_counts, with_total
-from cohortry.operators.design import dummies, dummy_names, levels_of, patterns, support
-from cohortry.operators.logit import Fit, by_outcome, fit_all
+from cohortry.operators.design import dummies, dummy_names, level_support, patterns, support
+from cohortry.operators.logit import INTERCEPT, Fit, by_outcome, fit_all
 from cohortry.operators.membership import exclude
-from cohortry.plans.cohort import Study, cohort, in_scope
+from cohortry.plans.cohort import in_scope
 from cohortry.session import stored
 
 DIMENSIONS = ("age_categorical", "sex")
@@ -35,9 +34,9 @@ TABLE4_MORE_THAN = 30
 TABLE4_DROPPED = ("substance_use",)
 
 
-def study_cells(study: Study) -> DataFrame:
+def subject_cells(subjects: DataFrame, flags: Sequence[str]) -> DataFrame:
     """Cells of every subject, counting those in scope (levels seen only outside stay, with zero)."""
-    return cells(cohort(study), ("race", *DIMENSIONS), [*TARGETS, *study.flag_names], in_scope())
+    return cells(subjects, ("race", *DIMENSIONS), [*TARGETS, *flags], in_scope())
 
 
 def _sized(counts: DataFrame) -> DataFrame:
@@ -133,12 +132,9 @@ def figure1(table: DataFrame, disorders: Sequence[str], least: float = FIGURE_LE
     return kept.withColumns({"ord": order, "label": one_decimal(F.col("pct"))})
 
 
-def table3_subjects(study: Study, left_out: Sequence[tuple[str, str]] = TABLE3_LEFT_OUT) -> DataFrame:
-    return exclude(cohort(study, listed_only=True).where(in_scope()), left_out)
-
-
-def table3_patterns(subjects: DataFrame) -> DataFrame:
-    return patterns(subjects, ("race", *TABLE3_COVARIATES), TARGETS)
+def table3_patterns(subjects: DataFrame, left_out: Sequence[tuple[str, str]] = TABLE3_LEFT_OUT) -> DataFrame:
+    """Patterns of the covariates, with the events of both targets."""
+    return patterns(exclude(subjects.where(in_scope()), left_out), ("race", *TABLE3_COVARIATES), TARGETS)
 
 
 def table3_design(table: DataFrame, reference: Sequence[str] = TABLE3_REFERENCE) -> tuple[DataFrame, dict[str, list[str]]]:
@@ -148,18 +144,18 @@ def table3_design(table: DataFrame, reference: Sequence[str] = TABLE3_REFERENCE)
     that a stratum lacks is no term there.
     """
     dropped = [*reference, *TABLE3_TOTAL_REFERENCE]
-    levels = levels_of(table, ("race", *TABLE3_COVARIATES))
-    races = [name for name in dummy_names({"race": levels["race"]}, dropped)]
-    covariates = [name for name in dummy_names({v: levels[v] for v in TABLE3_COVARIATES}, dropped)]
+    found = level_support(table, "race", TABLE3_COVARIATES)
+    levels = {"race": sorted(found)}
+    for variable in TABLE3_COVARIATES:
+        levels[variable] = sorted({level for pairs in found.values() for v, level in pairs if v == variable})
+    order = dummy_names(levels, dropped)
+    races = dummy_names({"race": levels["race"]}, dropped)
+    used = {ALL: [*order, INTERCEPT]}
+    for race, pairs in found.items():
+        mine = {f"{variable}_{level}" for variable, level in pairs}
+        used[race] = [name for name in order if name in mine and name not in races] + [INTERCEPT]
     copies = table.withColumn("stratum", F.explode(F.array(F.lit(ALL), F.col("race"))))
-    design = dummies(copies, levels, ("stratum", "n", *TARGETS), dropped)
-    seen = support(design.select("stratum", "n", *map(quoted, covariates)), covariates, "stratum")
-    used: dict[str, list[str]] = {ALL: [*races], **{race: [] for race in levels["race"]}}
-    for row in sorted(seen.collect()):
-        if row["support"]:
-            used[row["stratum"]].append(row["term"])
-    order = [*races, *covariates, "intercept"]
-    return design, {stratum: [t for t in order if t in {*terms, "intercept"}] for stratum, terms in used.items()}
+    return dummies(copies, levels, ("stratum", "n", *TARGETS), dropped), used
 
 
 def adjusted(design: DataFrame, used: dict[str, list[str]], targets: Sequence[str]) -> tuple[DataFrame, list[str], list[Fit]]:
@@ -170,31 +166,31 @@ def adjusted(design: DataFrame, used: dict[str, list[str]], targets: Sequence[st
     return rows, terms, fit_all(rows, terms, fits)
 
 
-def table3(study: Study) -> tuple[DataFrame, list[str], list[Fit]]:
+def table3(subjects: DataFrame) -> tuple[DataFrame, list[str], list[Fit]]:
     """Adjusted odds ratios of the substance flags by age band, sex, setting (and race)."""
-    table = stored(table3_patterns(table3_subjects(study)))
-    design, used = table3_design(table)
+    design, used = table3_design(stored(table3_patterns(subjects)))
     return adjusted(design, used, TARGETS)
 
 
 def table4_patterns(subjects: DataFrame, disorders: Sequence[str], dropped: Sequence[str] = TABLE4_DROPPED) -> DataFrame:
     """Patterns of the disorder flags per race (``stratum``)."""
     kept = [name for name in disorders if name not in dropped]
-    return patterns(subjects, ("race", *kept), ("any_sud",)).withColumnRenamed("race", "stratum")
+    return patterns(subjects.where(in_scope()), ("race", *kept), ("any_sud",)).withColumnRenamed("race", "stratum")
 
 
-def table4(study: Study, more_than: int = TABLE4_MORE_THAN, left_out: Sequence[tuple[str, str]] = ()) -> tuple[DataFrame, list[str], list[Fit]]:
+def table4(
+    subjects: DataFrame, disorders: Sequence[str], more_than: int = TABLE4_MORE_THAN, left_out: Sequence[tuple[str, str]] = ()
+) -> tuple[DataFrame, list[str], list[Fit]]:
     """Adjusted odds ratios of any substance flag by the other disorders, per race.
 
     A disorder recorded for ``more_than`` subjects of a race or fewer is no term there.
     """
-    subjects = exclude(cohort(study, listed_only=True).where(in_scope()), left_out)
-    table = stored(table4_patterns(subjects, study.disorder_names))
-    disorders = [name for name in study.disorder_names if name in table.columns]
+    table = stored(table4_patterns(exclude(subjects, left_out), disorders))
+    kept = [name for name in disorders if name in table.columns]
     used: dict[str, list[str]] = {}
-    for row in support(table, disorders, "stratum").collect():
+    for row in support(table, kept, "stratum").collect():
         used.setdefault(row["stratum"], [])
         if row["support"] > more_than:
             used[row["stratum"]].append(row["term"])
-    used = {stratum: [d for d in disorders if d in terms] + ["intercept"] for stratum, terms in used.items()}
-    return adjusted(table.withColumn("intercept", F.lit(1)), used, ("any_sud",))
+    used = {stratum: [d for d in kept if d in terms] + [INTERCEPT] for stratum, terms in used.items()}
+    return adjusted(table.withColumn(INTERCEPT, F.lit(1)), used, ("any_sud",))

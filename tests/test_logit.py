@@ -12,6 +12,7 @@ from checks.study import study
 from cohortry.operators.logit import Fit, by_outcome, fit_all, odds_ratios
 from cohortry.operators.odds import crude_odds_ratios
 from cohortry.plans import reports
+from cohortry.plans.cohort import scoped
 from cohortry.session import stored
 
 
@@ -97,9 +98,11 @@ def test_empty_stratum(spark):
     assert odds_ratios(spark, fits).count() == 3
 
 
-@pytest.mark.parametrize("report", [reports.table3, reports.table4])
-def test_reports_solve_the_score_equations(spark, folder, report):
-    rows, terms, fits = report(study(spark, folder))
+@pytest.mark.parametrize("number", [3, 4])
+def test_reports_solve_the_score_equations(spark, folder, number):
+    made = study(spark, folder)
+    subjects = scoped(made)
+    rows, terms, fits = reports.table3(subjects) if number == 3 else reports.table4(subjects, made.disorder_names)
     found = rows.collect()
     for fit in fits:
         if fit.status == "ok":
@@ -113,7 +116,8 @@ def test_reports_solve_the_score_equations(spark, folder, report):
 
 def test_table4_can_leave_out_a_band(spark, folder):
     made = study(spark, folder)
-    whole = reports.table4(made, more_than=3)[2]
-    older = reports.table4(made, more_than=3, left_out=[("age_categorical", "1-11")])[2]
+    subjects = scoped(made)
+    whole = reports.table4(subjects, made.disorder_names, more_than=3)[2]
+    older = reports.table4(subjects, made.disorder_names, more_than=3, left_out=[("age_categorical", "1-11")])[2]
     assert sum(fit.n for fit in older) < sum(fit.n for fit in whole)
     assert all("substance_use" not in fit.terms for fit in whole)

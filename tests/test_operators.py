@@ -49,6 +49,7 @@ def test_membership_and_relabel(spark, size):
 def test_membership_compares_text(spark):
     df = spark.createDataFrame([(0,), (1,), (7,)], "sex int")
     assert rows_of(membership.keep_members(df, "sex", {"0": "F", "1": "M", "7": None})) == [(0,), (1,)]
+    assert rows_of(membership.keep_members(df, "sex", {"1": "M", "07": "x", "7.0": "x", "a": "x"})) == [(1,)]
     assert rows_of(membership.relabel(df, "sex", {"0": "F"})) == [("1",), ("7",), ("F",)]
 
 
@@ -173,8 +174,9 @@ def test_drop_small_everywhere(spark):
 
 def test_design(spark):
     df = spark.createDataFrame([("a", 3), ("b", 4), ("c.d", 5)], "v string, n int")
-    levels = design.levels_of(df, ["v"])
-    assert levels == {"v": ["a", "b", "c.d"]}
+    found = design.level_support(df.withColumn("race", F.lit("r")), "race", ["v"])
+    assert found == {"r": {("v", "a"): 3, ("v", "b"): 4, ("v", "c.d"): 5}}
+    levels = {"v": ["a", "b", "c.d"]}
     table = design.dummies(df, levels, ["n"], drop=["v_a", "v_absent"])
     assert table.columns == ["n", "intercept", "v_b", "v_c.d"]
     assert rows_of(table) == [(3, 1, 0, 0), (4, 1, 1, 0), (5, 1, 0, 1)]

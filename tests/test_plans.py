@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from checks.study import diagnosed, study, visits
-from cohortry.operators import codes
+from cohortry.operators import codes, membership
 from cohortry.plans import cohort, reports
 
 # Run jobs while they are built, so their plan shows only the last part.
@@ -37,7 +37,8 @@ def test_cohort_shuffles_each_side_once(spark, folder, no_broadcast):
 
 
 def test_report_adds_small_shuffles_only(spark, folder, no_broadcast):
-    plan = plan_of(reports.table1(reports.study_cells(study(spark, folder))))
+    made = study(spark, folder)
+    plan = plan_of(reports.table1(reports.subject_cells(cohort.cohort(made), made.flag_names)))
     assert len(re.findall(r"Exchange hashpartitioning\(patientid", plan)) == 3
     assert "partial_sum" in plan and "partial_count" in plan
 
@@ -53,6 +54,8 @@ def test_map_filter_reaches_the_scan(spark, folder):
     plan = cohort.first_visits(study(spark, folder))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "In(o_orderpriority" in text
+    persons = membership.keep_members(spark.read.parquet(f"{folder}/customer.parquet"), "c_nationkey", {"3": "x", "4": "y"})
+    assert "In(c_nationkey, [3,4])" in plan_of(persons)
     columns = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
     assert "o_totalprice" not in columns
 

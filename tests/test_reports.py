@@ -4,11 +4,14 @@ import pytest
 
 from checks.study import study
 from cohortry.plans import reports
+from cohortry.plans.cohort import cohort, counted_cohort, flagged
+from cohortry.plans.run import run_study
 
 
 @pytest.fixture(scope="module")
 def table(spark, folder):
-    return reports.study_cells(study(spark, folder)).cache()
+    made = study(spark, folder)
+    return reports.subject_cells(cohort(made), made.flag_names).cache()
 
 
 def test_levels_without_subjects_have_a_row(table):
@@ -43,3 +46,23 @@ def test_figure_has_fixed_order(spark, folder, table):
     found = reports.figure1(table, study(spark, folder).disorder_names)
     assert {(row["race"], row["ord"]) for row in found.collect()} == {("AA", 1), ("NHPI", 2), ("MR", 3)}
     assert reports.figure1(table, study(spark, folder).disorder_names, least=101).count() == 0
+
+
+def test_whole_study(spark, folder, tmp_path, table):
+    made = study(spark, folder)
+    first = run_study(made, str(tmp_path))
+    assert sorted(first) == ["cells", "cohort", "figure1", "metrics", "table1", "table2", "table2_wide", "table3", "table4"]
+    assert first["cells"].exceptAll(table).isEmpty() and table.exceptAll(first["cells"]).isEmpty()
+    assert all(not rows.isEmpty() for rows in first.values())
+    written = {path: path.stat().st_mtime_ns for path in tmp_path.rglob("*.parquet")}
+    again = run_study(made, str(tmp_path))
+    assert written == {path: path.stat().st_mtime_ns for path in tmp_path.rglob("*.parquet")}
+    assert again["table3"].count() == first["table3"].count()
+
+
+def test_counts_and_flags_give_one_cohort(spark, folder):
+    """Flags taken directly equal the flags made from the counts of distinct codes."""
+    made = study(spark, folder)
+    direct = cohort(made)
+    counted = flagged(made, counted_cohort(made)).select(direct.columns)
+    assert direct.exceptAll(counted).isEmpty() and counted.exceptAll(direct).isEmpty()
