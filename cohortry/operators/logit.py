@@ -1,8 +1,8 @@
 """Logistic regression over covariate patterns, all strata and outcomes in the same jobs.
 
 Each step is one aggregate of the pattern table: its rows, however many, become
-one row of k(k+1)/2 + k sums per fit, which is all the driver sees. The Newton
-step is a k by k solve there.
+k rows of k + 2 sums per fit, which is all the driver sees. The Newton step is a
+k by k solve there.
 """
 
 from __future__ import annotations
@@ -31,7 +31,11 @@ INTERCEPT = "intercept"
 
 @dataclass
 class Fit:
-    """One regression: a stratum, an outcome and the terms allowed in it."""
+    """One regression: a stratum, an outcome and the terms allowed in it.
+
+    ``n`` counts the subjects with the most frequent term: all of them when the
+    terms include an intercept.
+    """
 
     stratum: str
     target: str
@@ -113,15 +117,19 @@ def _with_fit(table: DataFrame, terms: Sequence[str], fits: Sequence[Fit]) -> Da
 
 
 def _sums(table: DataFrame, terms: Sequence[str], fits: Sequence[Fit]) -> DataFrame:
-    """Per fit: subjects, score vector, upper triangle of the information matrix."""
-    k = range(len(terms))
+    """Per fit and term: subjects, score, and the term's row of the information matrix.
+
+    Pattern rows are taken apart by term, and only terms a pattern has go on.
+    So a step costs what the ones in the design cost, and the aggregate has k + 2
+    columns, few enough for generated code, rather than one per pair of terms.
+    """
+    x = [f"x{i}" for i in range(len(terms))]
     rows = _with_fit(table, terms, fits).selectExpr(
-        *table.columns, "y - n * p as residual", "n * p * (1D - p) as weight"
+        "stratum", "target", *x, "n", "y - n * p as residual", "n * p * (1D - p) as weight"
     )
-    score = [f"sum(x{i} * residual) as s{i}" for i in k]
-    information = [f"sum(x{i} * x{j} * weight) as h{i}_{j}" for i in k for j in k if i <= j]
-    sums = [F.expr(text) for text in ("sum(n) as n", *score, *information)]
-    return rows.groupBy("stratum", "target").agg(*sums)
+    apart = rows.unpivot(rows.columns, x, "term", "a").where("a <> 0")
+    sums = ["sum(n) as n", "sum(a * residual) as score", *(f"sum(a * weight * {name}) as h{name}" for name in x)]
+    return apart.groupBy("stratum", "target", "term").agg(*(F.expr(text) for text in sums))
 
 
 def fit_all(table: DataFrame, terms: Sequence[str], fits: list[Fit]) -> list[Fit]:
@@ -138,16 +146,16 @@ def fit_all(table: DataFrame, terms: Sequence[str], fits: list[Fit]) -> list[Fit
         moving = [fit for fit in fits if fit.status == "running"]
         if not moving:
             break
-        found = {(row["stratum"], row["target"]): row for row in _sums(table, terms, moving).collect()}
+        found = {(row["stratum"], row["target"], row["term"]): row for row in _sums(table, terms, moving).collect()}
         for fit in moving:
-            row = found.get((fit.stratum, fit.target))
-            if row is None or not row["n"]:
+            names = [f"x{terms.index(term)}" for term in fit.terms]
+            rows = [found.get((fit.stratum, fit.target, name)) for name in names]
+            if not any(rows):
                 fit.status = "empty"
                 continue
-            fit.n = row["n"]
-            at = [terms.index(term) for term in fit.terms]
-            information = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in at] for i in at])
-            fit.advance(information, np.array([row[f"s{i}"] for i in at]))
+            fit.n = max(row["n"] for row in rows if row)
+            information = np.array([[row[f"h{name}"] if row else 0.0 for name in names] for row in rows])
+            fit.advance(information, np.array([row["score"] if row else 0.0 for row in rows]))
     for fit in fits:
         if fit.status == "running":
             fit.status = "not_converged"
