@@ -274,6 +274,11 @@ def table1_strata(spark, folder):
     return rounded(reports.table1_strata(study_cells(spark, folder)), "pct", "lo", "hi")
 
 
+@query
+def table1_text(spark, folder):
+    return reports.table1_lines(study_cells(spark, folder))
+
+
 @query
 def table2_long(spark, folder):
     made = study(spark, folder)
@@ -432,3 +437,8 @@ def log_timing(spark, folder):
 def log_timing_bars(spark, folder):
     bars = logtimes.with_bars(logtimes.function_times(given.log_lines(spark, folder)))
     return rounded(bars.drop("total"), "average")
+
+
+@query
+def log_report(spark, folder):
+    return logtimes.report_lines(logtimes.function_times(given.log_lines(spark, folder)))

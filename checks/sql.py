@@ -499,6 +499,11 @@ def oracle() -> dict[str, str]:
         "stratum, dimension, level, total, round(p * 100, 6) as pct, round((p - half) * 100, 6) as lo, round((p + half) * 100, 6) as hi",
         "stratum <> 'ALL'",
     )
+    whole = "printf('%-9s: %-8s (%.1f)', level, cast(n as varchar), p * 100)"
+    stratum = "printf('%-9s: %-8s (%.1f-%.1f)', level, printf('%.1f', p * 100), (p - half) * 100, (p + half) * 100)"
+    sql["table1_text"] = table1(
+        f"stratum, dimension, level, case when stratum = 'ALL' then {whole} else {stratum} end as line", "true"
+    )
     sql["table2_long"] = f"select race, age, measure, n, round(value, 6) as value from ({table2()})"
     sql["table2_wide"] = (
         "select race, ord, measure, "
@@ -567,4 +572,6 @@ def oracle() -> dict[str, str]:
     sql["log_timing_bars"] = "with " + LOGS + """ select fn, n, round(average, 6) as average,
         cast(floor(30 * average / (select max(average) from times)) as integer) as steps,
         rpad(repeat('▥', cast(floor(30 * average / (select max(average) from times)) as integer)), 30, ' ') as bar from times"""
+    sql["log_report"] = "with " + LOGS + """ select printf('%40s %10d %7.2f %10.2e [%s]', fn, n, total, average,
+        rpad(repeat('▥', cast(floor(30 * average / (select max(average) from times)) as integer)), 30, ' ')) as line from times"""
     return sql

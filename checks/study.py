@@ -143,45 +143,45 @@ def module_configs(spark: SparkSession, folder: str) -> DataFrame:
     an order, an order is shipped to a customer.
     """
 
-    def entry(kind: str, where, note: str):
-        return F.struct(F.lit(kind).alias("type"), where.alias("location"), F.lit(note).alias("description"))
-
-    def config(inputs, outputs):
-        none = F.create_map().cast("map<string,string>")
-        return F.to_json(F.struct(inputs.alias("inputs"), outputs.alias("outputs"), none.alias("params")))
-
     def name(prefix: str, number):
         return F.concat(F.lit(prefix), number.cast("string"))
 
-    part = F.col("p_partkey")
-    made = spread(read(spark, folder, "part").select("p_partkey"))
-    lower = [F.floor(part / 3), F.floor(part / 2)]
-    parents = F.map_from_entries(
-        F.array_distinct(
-            F.filter(
-                F.array(*(F.struct(name("part_", x).alias("k"), entry("file-csv", name("parts/", x), "ingredient").alias("v")) for x in lower)),
-                lambda e: e["k"] != name("part_", part),
-            )
-        )
-    )
-    parts = made.select(
+    def entry(kind: str, place: str, number, note: str):
+        texts = (F.lit(kind).alias("type"), name(place, number).alias("location"), F.lit(note).alias("description"))
+        return F.struct(*texts)
+
+    def config(inputs, outputs):
+        none = F.create_map().cast("map<string,string>")
+        return F.to_json(F.struct(inputs.alias("inputs"), outputs.alias("outputs"), none.alias("params"))).alias("config")
+
+    part, order, customer = F.col("p_partkey"), F.col("l_orderkey"), F.col("o_custkey")
+    lower = [F.floor(part / divisor) for divisor in (3, 2)]
+    uses = [
+        F.struct(name("part_", x).alias("k"), entry("file-csv", "parts/", x, "ingredient").alias("v")) for x in lower
+    ]
+    others = F.filter(F.array_distinct(F.array(*uses)), lambda use: use["k"] != name("part_", part))
+    parts = spread(read(spark, folder, "part").select("p_partkey")).select(
         name("make_", part).alias("module"),
-        config(parents, F.create_map(name("part_", part), entry("DB-dbTable", name("stock.parts.", part), "product"))).alias("config"),
+        config(
+            F.map_from_entries(others),
+            F.create_map(name("part_", part), entry("DB-dbTable", "stock.parts.", part, "product")),
+        ),
     )
-    ordered = spread(read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
-    lines = ordered.select(
+    ordered = F.col("l_partkey")
+    lines = spread(read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")).select(
         F.concat_ws("_", F.lit("line"), "l_orderkey", "l_linenumber").alias("module"),
         config(
-            F.create_map(name("part_", F.col("l_partkey")), entry("file-csv", name("parts/", F.col("l_partkey")), "ordered part")),
-            F.create_map(name("order_", F.col("l_orderkey")), entry("file-csv", name("orders/", F.col("l_orderkey")), "order")),
-        ).alias("config"),
+            F.create_map(name("part_", ordered), entry("file-csv", "parts/", ordered, "ordered part")),
+            F.create_map(name("order_", order), entry("file-csv", "orders/", order, "order")),
+        ),
     )
+    order = F.col("o_orderkey")
     shipped = spread(read(spark, folder, "orders").select("o_orderkey", "o_custkey")).select(
-        name("ship_", F.col("o_orderkey")).alias("module"),
+        name("ship_", order).alias("module"),
         config(
-            F.create_map(name("order_", F.col("o_orderkey")), entry("DB-dbTable", name("sales.orders.", F.col("o_orderkey")), "order")),
-            F.create_map(name("customer_", F.col("o_custkey")), entry("file-meta", name("customers/", F.col("o_custkey")), "customer")),
-        ).alias("config"),
+            F.create_map(name("order_", order), entry("DB-dbTable", "sales.orders.", order, "order")),
+            F.create_map(name("customer_", customer), entry("file-meta", "customers/", customer, "customer")),
+        ),
     )
     return parts.unionByName(lines).unionByName(shipped)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.stats import one_decimal, percent, proportion, wald_bounds
-from cohortry.operators.counts import ALL, cells, complete, drop_small_everywhere, level_counts, with_total
+from cohortry.operators.counts import ALL, cells, complete, drop_small_everywhere, level_counts
 from cohortry.operators.design import dummies, dummy_names, level_support, patterns, support
 from cohortry.operators.logit import INTERCEPT, Fit, by_outcome, fit_all
 from cohortry.operators.membership import exclude
@@ -79,7 +79,10 @@ def table1_lines(table: DataFrame) -> DataFrame:
 
 
 def table2(
-    table: DataFrame, substances: Sequence[str], left_out: Sequence[str] = TABLE2_LEFT_OUT, total_left_out: Sequence[str] = ()
+    table: DataFrame,
+    substances: Sequence[str],
+    left_out: Sequence[str] = TABLE2_LEFT_OUT,
+    total_left_out: Sequence[str] = (),
 ) -> DataFrame:
     """``race, age, measure, n, value``: sample size, and percent with each substance flag.
 
@@ -137,7 +140,9 @@ def table3_patterns(subjects: DataFrame, left_out: Sequence[tuple[str, str]] = T
     return patterns(exclude(subjects.where(in_scope()), left_out), ("race", *TABLE3_COVARIATES), TARGETS)
 
 
-def table3_design(table: DataFrame, reference: Sequence[str] = TABLE3_REFERENCE) -> tuple[DataFrame, dict[str, list[str]]]:
+def table3_design(
+    table: DataFrame, reference: Sequence[str] = TABLE3_REFERENCE
+) -> tuple[DataFrame, dict[str, list[str]]]:
     """Dummy-coded patterns for all subjects (``ALL``) and each race, and the terms of each.
 
     Race terms belong to ``ALL`` only, without the reference race. A level
@@ -158,7 +163,9 @@ def table3_design(table: DataFrame, reference: Sequence[str] = TABLE3_REFERENCE)
     return dummies(copies, levels, ("stratum", "n", *TARGETS), dropped), used
 
 
-def adjusted(design: DataFrame, used: dict[str, list[str]], targets: Sequence[str]) -> tuple[DataFrame, list[str], list[Fit]]:
+def adjusted(
+    design: DataFrame, used: dict[str, list[str]], targets: Sequence[str]
+) -> tuple[DataFrame, list[str], list[Fit]]:
     """Fits of every stratum and target; returns the stored rows and terms they were fitted on."""
     terms = list(dict.fromkeys(term for names in used.values() for term in names))
     rows = stored(by_outcome(design, terms, targets))
@@ -172,14 +179,19 @@ def table3(subjects: DataFrame) -> tuple[DataFrame, list[str], list[Fit]]:
     return adjusted(design, used, TARGETS)
 
 
-def table4_patterns(subjects: DataFrame, disorders: Sequence[str], dropped: Sequence[str] = TABLE4_DROPPED) -> DataFrame:
+def table4_patterns(
+    subjects: DataFrame, disorders: Sequence[str], dropped: Sequence[str] = TABLE4_DROPPED
+) -> DataFrame:
     """Patterns of the disorder flags per race (``stratum``)."""
     kept = [name for name in disorders if name not in dropped]
     return patterns(subjects.where(in_scope()), ("race", *kept), ("any_sud",)).withColumnRenamed("race", "stratum")
 
 
 def table4(
-    subjects: DataFrame, disorders: Sequence[str], more_than: int = TABLE4_MORE_THAN, left_out: Sequence[tuple[str, str]] = ()
+    subjects: DataFrame,
+    disorders: Sequence[str],
+    more_than: int = TABLE4_MORE_THAN,
+    left_out: Sequence[tuple[str, str]] = (),
 ) -> tuple[DataFrame, list[str], list[Fit]]:
     """Adjusted odds ratios of any substance flag by the other disorders, per race.
 

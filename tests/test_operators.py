@@ -67,6 +67,20 @@ def test_dedupe(spark):
         dedupe.keep_one(df, ["k"], "v", "middle")
 
 
+@pytest.mark.parametrize("keep", ["lowest", "highest"])
+def test_dedupe_hot_key(spark, keep):
+    """A key with a third of all rows, spread over many partitions, against brute force."""
+    rng = random.Random(11)
+    rows = [("hot" if i % 3 == 0 else f"k{rng.randrange(50)}", rng.choice([None, *range(40)]), i) for i in range(9000)]
+    df = spark.createDataFrame(rows, "k string, v int, t int").repartition(16)
+    expected = {}
+    for k, v, t in rows:
+        rank = (v is None, v or 0, t) if keep == "lowest" else (v is None, -(v or 0), -t)
+        if k not in expected or rank < expected[k][0]:
+            expected[k] = (rank, (k, v, t))
+    assert rows_of(dedupe.keep_one(df, ["k"], "v", keep, ["t"])) == sorted((row for _, row in expected.values()), key=repr)
+
+
 def test_filtered_join(spark):
     left = spark.createDataFrame([(1, "hi"), (2, "no"), (3, "hi")], "id int, race string")
     right = spark.createDataFrame([(1, 9), (3, 2), (1, 6)], "identification int, age int")
