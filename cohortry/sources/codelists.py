@@ -17,6 +17,10 @@ from cohortry.functions.names import clean_name, clean_unique
 from cohortry.session import local_frame, rows_up_to
 
 
+# A code list of at most this many rows is also held on the driver, and broadcast.
+FEW_CODES = 10_000
+
+
 def read_category_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("value string, category string").csv(path, header=True)
 
@@ -78,12 +82,12 @@ class CodeList:
         return cls(
             {kind: tuple(clean[raw] for raw in named) for kind, named in lists.items()},
             local_frame(spark, columns, text),
-            rows,
+            rows if len(rows) <= FEW_CODES else None,
             {name: raw for raw, name in clean.items()},
         )
 
     @classmethod
-    def read(cls, spark: SparkSession, paths: dict[str, str], few: int = 10_000) -> CodeList:
+    def read(cls, spark: SparkSession, paths: dict[str, str], few: int = FEW_CODES) -> CodeList:
         """From one wide CSV per kind."""
         wide = {kind: read_wide_codes(spark, path) for kind, path in paths.items()}
         clean = clean_unique(raw for table in wide.values() for raw in table.columns)

@@ -4,7 +4,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from cohortry.session import rows_up_to
+from cohortry.session import rows_up_to, spread
 from cohortry.sources import codelists, logs, relational, stages
 from cohortry.sources.configs import read_configs
 
@@ -118,6 +118,19 @@ def test_configs(spark, tmp_path):
     assert sorted(row["module"] for row in read_configs(spark, str(tmp_path), recurse=True).collect()) == ["one", "two"]
 
 
+def test_spread_adds_tasks_only_where_they_are_few(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == cores
+    many = spark.range(100, numPartitions=cores + 3)
+    assert spread(many) is many
+
+
+def test_large_code_list_stays_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(codelists, "FEW_CODES", 1)
+    made = codelists.CodeList.of(spark, {"dx": {"A": ["1", "2"]}})
+    assert made.known is None and made.codes.count() == 2
+
+
 def test_rows_up_to(spark):
     assert len(rows_up_to(spark.range(5), 5)) == 5
     assert rows_up_to(spark.range(6), 5) is None
