@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.bands import AGE_BANDS, band, whole_number
 from cohortry.operators.codes import binary, category_counts, category_flags, with_summary
 from cohortry.operators.joins import renamed_keys, with_text_key
-from cohortry.operators.membership import CategoryMap, keep_members, relabel
+from cohortry.operators.membership import CategoryMap, keep_members, mapped_values, relabel
 from cohortry.sources.codelists import CodeList
 
 
@@ -26,6 +26,7 @@ class Study:
 
     ``keys`` name a subject in ``persons``; ``visit_keys`` and ``diagnosis_keys``
     are the matching columns of the other tables when they are named differently.
+    Category maps given as tables are read once, here.
     """
 
     persons: DataFrame
@@ -42,6 +43,10 @@ class Study:
     substances: str = "sud"
     disorders: str = "dx"
 
+    def __post_init__(self) -> None:
+        for name in ("races", "sexes", "settings"):
+            object.__setattr__(self, name, mapped_values(getattr(self, name)))
+
     @property
     def substance_names(self) -> list[str]:
         return list(self.codes.categories[self.substances])

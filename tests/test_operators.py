@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import pytest
 from conftest import rows_of
@@ -123,6 +124,20 @@ def test_cohort(spark):
     assert rows_of(flagged(made, counted).select(table.columns)) == rows_of(table)
 
 
+@pytest.mark.parametrize("size", ["small", "large"])
+def test_study_from_map_tables(spark, folder, size):
+    """Category maps read as tables, small and too large for an expression, give the same cohort."""
+    from checks.study import RACES, SETTINGS, SEXES, study
+
+    def table(pairs):
+        return large(spark, pairs) if size == "large" else spark.createDataFrame(list(pairs.items()), "value string, category string")
+
+    given = study(spark, folder)
+    other = replace(given, races=table(RACES), sexes=table(SEXES), settings=table(SETTINGS), visit_order=("visit_id",))
+    assert cohort(given).exceptAll(cohort(other)).isEmpty() and cohort(other).exceptAll(cohort(given)).isEmpty()
+    assert isinstance(other.races, dict) == (size == "small")
+
+
 def random_codes(spark, seed, names, per):
     """Code rows where one subject holds a third of them, and a list of ``names`` overlapping categories."""
     rng = random.Random(seed)
