@@ -1,0 +1,117 @@
+"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+
+from __future__ import annotations
+
+from .queries import SHARD_BYTES, WINDOW
+
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+SHARDING = f"""
+with rows as (
+    select doc_id, coalesce(strlen(text), 0)::bigint as n_bytes,
+        ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 12))::bigint as h
+    from documents
+), nodes as (
+    select len, h >> (48 - len) as prefix, sum(n_bytes) as size
+    from rows, range(0, 41) t(len)
+    group by all
+    having sum(n_bytes) <= {SHARD_BYTES} or min(h) = max(h)
+), best as (
+    select doc_id, n_bytes, h, min(len) as depth
+    from rows join nodes on nodes.prefix = rows.h >> (48 - len)
+    group by all
+)
+select doc_id, left(lpad(bin(h), 48, '0'), depth::int) as shard, depth::int as depth, n_bytes, size::bigint as shard_bytes
+from best join nodes on nodes.len = best.depth and nodes.prefix = best.h >> (48 - best.depth)
+"""
+
+MIXING = """
+with docs as (
+    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+        ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint as h
+    from documents
+), sources as (
+    select source, sum(size)::bigint as source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as weight,
+        row_number() over (order by source nulls last) as place
+    from docs group by source
+), levels as (
+    select *, (sum(source_size) over () - coalesce(sum(source_size) over (order by source_size / weight, place rows between unbounded preceding and 1 preceding), 0) * 3)
+        / sum(weight) over (order by source_size / weight, place rows between current row and unbounded following) as level,
+        row_number() over (order by source_size / weight, place) as spot
+    from sources
+), goals as (
+    select source, source_size, least(coalesce((select level from levels where level * weight <= source_size * 3 order by spot limit 1) * weight, 0.0), source_size * 3.0::double) as target
+    from levels
+), counted as (
+    select docs.*, source_size, target, sum(size) over (partition by docs.source order by h, doc_id, size rows unbounded preceding) as upto
+    from docs join goals on docs.source is not distinct from goals.source
+), queued as (
+    select *, (epoch * source_size + upto) / target as finish
+    from counted, range(0, 3) t(epoch) where size > 0 and target > 0
+), taken as (
+    select *, sum(size) over (order by finish, source nulls last, epoch, h, doc_id rows unbounded preceding) as within from queued
+), copies as (
+    select doc_id, sum(size) as words from taken where within <= (select round(sum(target)) from goals) group by doc_id
+)
+select doc_id, size, source_size, target, coalesce(words, 0)::bigint as taken
+from counted left join copies using (doc_id)
+"""
+
+NEARDUP = f"""
+with recursive words as (
+    select doc_id, {_WORDS.format("text")} as w from documents
+), grams as (
+    select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ')] end) as g
+    from words where len(w) > 0
+), sets as (select distinct doc_id, g from grams), sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (
+    select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c)
+), edges as (select a, b from links union all select b, a from links),
+reach(doc_id, at) as (
+    select doc_id, doc_id from documents
+    union
+    select reach.doc_id, edges.b from reach join edges on reach.at = edges.a
+), found as (select doc_id, min(at) as class_id from reach group by doc_id)
+select doc_id, class_id, count(*) over (partition by class_id) as class_size from found
+"""
+
+LINEDEDUP = """
+with lines as (
+    select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from documents
+), shared as (
+    select trim(line, ' ') as line from lines where length(trim(line, ' ')) >= 20 group by 1 having count(distinct source) >= 5
+), kept as (
+    select doc_id, count(*) as n_lines, count(shared.line) as n_removed,
+        coalesce(string_agg(lines.line, chr(10) order by place) filter (shared.line is null), '') as text
+    from lines left join shared on trim(lines.line, ' ') = shared.line group by doc_id
+)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(kept.text) as text_sha256
+from documents left join kept using (doc_id)
+"""
+
+DECONTAMINATE = f"""
+with items as (select item_id::varchar as item, {_WORDS.format("text")} as w from benchmark),
+windows as (
+    select distinct item, least(len(w), {WINDOW}) as size, unnest(list_transform(range(1, greatest(len(w) - {WINDOW}, 0) + 2), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) as g
+    from items where len(w) > 0
+), docs as (select doc_id, coalesce({_WORDS.format("text")}, []) as w from documents),
+spots as (
+    select doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') as g
+    from docs, (select distinct size from windows), unnest(range(1, greatest(len(w) - size + 2, 1))) t(i)
+), hits as (select doc_id, spots.size, i, item from spots join windows on spots.g = windows.g and spots.size = windows.size),
+places as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + size)) as p from hits) group by doc_id),
+found as (select doc_id, count(distinct item) as n, string_agg(distinct item, ',' order by item) as ids from hits group by doc_id)
+select docs.doc_id, len(w)::bigint as n_words, coalesce(places.n, 0) as n_hit, coalesce(found.n, 0) as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(places.n, 0) > 0 as contaminated
+from docs left join places using (doc_id) left join found using (doc_id)
+"""
+
+ORACLES = {
+    "op1_sharding": SHARDING,
+    "op3_mixing": MIXING,
+    "op4_neardup": NEARDUP,
+    "op5_linededup": LINEDEDUP,
+    "op6_decontaminate": DECONTAMINATE,
+}
