@@ -25,6 +25,17 @@ select doc_id, left(lpad(bin(h), 48, '0'), depth::int) as shard, depth::int as d
 from best join nodes on nodes.len = best.depth and nodes.prefix = best.h >> (48 - best.depth)
 """
 
+_FIVE = "('0x' || substr(hexed, 5 * i + 1, 5))::bigint"
+WARC = f"""
+with hashed as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hexed from pages)
+select page_id, strlen(payload)::bigint as payload_bytes,
+    array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+        lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_FIVE} >> b) & 31)::int + 1, 1)), '')), '') as payload_digest,
+    case when page_id = min(page_id) over (partition by payload) then 'response' else 'revisit' end as record_type,
+    nullif(min(page_id) over (partition by payload), page_id) as refers_to
+from hashed
+"""
+
 MIXING = """
 with docs as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
@@ -69,11 +80,11 @@ common as (
 ), links as (
     select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c)
 ), edges as (select a, b from links union all select b, a from links),
-reach(doc_id, at) as (
+reach(doc_id, node) as (
     select doc_id, doc_id from documents
     union
-    select reach.doc_id, edges.b from reach join edges on reach.at = edges.a
-), found as (select doc_id, min(at) as class_id from reach group by doc_id)
+    select reach.doc_id, edges.b from reach join edges on reach.node = edges.a
+), found as (select doc_id, min(node) as class_id from reach group by doc_id)
 select doc_id, class_id, count(*) over (partition by class_id) as class_size from found
 """
 
@@ -108,10 +119,23 @@ select docs.doc_id, len(w)::bigint as n_words, coalesce(places.n, 0) as n_hit, c
 from docs left join places using (doc_id) left join found using (doc_id)
 """
 
+TOPK = """
+with vectors as (
+    select distinct vec_id, list_transform(embedding, lambda x: floor(x::double * 64)::bigint) as v
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), pairs as (
+    select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+    from vectors q join vectors c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+), ranked as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from pairs)
+select * from ranked where rank <= 20
+"""
+
 ORACLES = {
     "op1_sharding": SHARDING,
+    "op2_warc": WARC,
     "op3_mixing": MIXING,
     "op4_neardup": NEARDUP,
     "op5_linededup": LINEDEDUP,
+    "op8_topk": TOPK,
     "op6_decontaminate": DECONTAMINATE,
 }

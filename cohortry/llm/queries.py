@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, mixing, neardup, quality, sharding, toxicity
+from . import decontaminate, language, linededup, mixing, mtree, neardup, quality, sharding, toxicity, warc
 
 #: Bytes of text that a shard holds.
 SHARD_BYTES = 1 << 20
@@ -36,6 +36,10 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents"), SHARD_BYTES, keep=["doc_id"])
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.page_records(table(spark, folder, "pages"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -62,6 +66,10 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return mtree.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.score(table(spark, folder, "documents"), toxicity_model(spark, folder), keep=["doc_id"])
     return found.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
@@ -75,11 +83,13 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_neardup": op4_neardup,
     "op5_linededup": op5_linededup,
     "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
+    "op8_topk": op8_topk,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
