@@ -16,7 +16,7 @@ Steps, all in Spark:
 3. Members still apart from some of their bucket are compared with a second leader, and what
    then remains with all members of other classes in the bucket, in blocks of bounded size: signatures there,
    whole texts for those that could be similar enough. No pair that shares a band
-   is left out, except by five standard deviations of the signature's estimate.
+   is left out, except by four standard deviations of the signature's estimate.
 4. Connected components of the links found, plus the classes of equal words.
 
 A link of similarity ``s`` shares no band with probability ``(1 - s**rows) ** bands``:
@@ -49,16 +49,17 @@ class Settings:
     threshold: float = 0.8
     bands: int = 25
     rows: int = 5
+    extra: int = 125  # coordinates beyond the bands, for a closer estimate
     weighted: bool = False  # True: a shingle weighs as often as it occurs
     block: int = 1000  # members of a bucket that one comparison block holds
 
     @property
     def size(self) -> int:
-        return self.bands * self.rows
+        return self.bands * self.rows + self.extra
 
 
 #: Rank regions start with one of this area; they double up to area 1.
-_FIRST_AREA = 2.0**-6
+_FIRST_AREA = 2.0**-4
 #: Chance of at most n darts in a region of area 1; beyond these terms it is below 1e-12.
 _POISSON_TERMS = 16
 
@@ -72,7 +73,10 @@ def _counts(uniform: np.ndarray, area: float) -> np.ndarray:
     chance = math.exp(-area)
     total, out = chance, np.zeros(len(uniform), np.int64)
     for n in range(1, _POISSON_TERMS):
-        out += uniform >= total
+        more = uniform >= total
+        if not more.any():
+            break
+        out += more
         chance *= area / n
         total += chance
     return out
@@ -85,33 +89,44 @@ def _throw(rows: np.ndarray, items: np.ndarray, weights: np.ndarray | None, limi
     [2,4), ...; rank regions of a weight region of width w have area at most 1.
     """
     found = []
+
+    def region(who: np.ndarray, number: np.ndarray | int, begin: np.ndarray | float, area: float) -> None:
+        """Darts of one region of each item: of the weight region at hand, ``begin`` ranks up."""
+        salt = tokens.mix(items[who] + np.uint64(level + 1) * np.uint64(0xA24BAED4963EE407) + np.asarray(number).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        count = _counts(_uniform(salt), area)
+        some = count > 0
+        base, who, count = salt[some], who[some], count[some]
+        if not len(base):
+            return
+        start = begin[some] if isinstance(begin, np.ndarray) else begin
+        if count.max() > 1:
+            each = np.repeat(np.arange(len(base)), count)
+            order = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            base, who = base[each] + order.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), who[each]
+            start = start[each] if isinstance(start, np.ndarray) else start
+        dart = tokens.mix(base + np.uint64(0x2545F4914F6CDD1D))
+        rank = start + _uniform(dart) * (area / width)
+        keep = rank < limit[who]
+        if weights is not None:
+            keep &= low + _uniform(tokens.salted(dart, 7)) * width < weights[who]
+        dart, rank, who = dart[keep], rank[keep], who[keep]
+        found.append((rows[who], ((tokens.salted(dart, 11) >> np.uint64(32)) % np.uint64(size)).astype(np.int64), rank, dart))
+
     level, low, width = 0, 0.0, 1.0
     active = np.arange(len(items))
     while len(active):
-        region, begin, area = 0, 0.0, _FIRST_AREA
-        here = active
-        while len(here):
-            salt = tokens.salted(items[here], 1 + level * 100_003 + region)
-            number = _counts(_uniform(salt), area)
-            some = number > 0
-            base, who, number = salt[some], here[some], number[some]
-            if len(base):
-                each = np.repeat(np.arange(len(base)), number)
-                order = np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number)
-                dart = tokens.mix(base[each] + (order.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-                rank = begin + _uniform(dart) * (area / width)
-                who = who[each]
-                keep = rank < limit[who]
-                if weights is not None:
-                    keep &= low + _uniform(tokens.salted(dart, 7)) * width < weights[who]
-                dart, rank, who = dart[keep], rank[keep], who[keep]
-                place = tokens.salted(dart, 11)
-                found.append((rows[who], ((place >> np.uint64(32)) % np.uint64(size)).astype(np.int64), rank, dart))
+        number, begin, area, here = 0, 0.0, _FIRST_AREA, active
+        while len(here) and begin * width < 1:  # two equally wide regions, then each twice as wide, up to area 1
+            region(here, number, begin, area)
             begin += area / width
-            if region:
-                area = min(area * 2, 1.0)  # the first two regions are equally wide, then they double
-            region += 1
+            area = area * 2 if number else area
+            number += 1
             here = here[limit[here] > begin]
+        if len(here):  # then all regions of area 1 at once
+            count = np.ceil((limit[here] - begin) * width).astype(np.int64)
+            each = np.repeat(here, count)
+            order = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            region(each, number + order, begin + order / width, 1.0)
         low, width, level = low + width, (width * 2 if level else 1.0), level + 1
         active = active[weights[active] > low] if weights is not None else active[:0]
     return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0), np.zeros(0, np.uint64)]
@@ -131,7 +146,7 @@ def signatures(rows: np.ndarray, items: np.ndarray, weights: np.ndarray | None,
         chosen = np.isin(rows, open_rows) if len(open_rows) < n_rows else slice(None)
         r, w = rows[chosen], None if weights is None else weights[chosen]
         at, place, rank, dart = _throw(r, items[chosen], w, factor / total[r], size)
-        order = np.argsort(rank, kind="stable")[::-1]  # the earliest is written last
+        order = np.argsort(rank)[::-1]  # the earliest is written last
         out[at[order], place[order]] = dart[order]
         seen = np.zeros((n_rows, size), bool)
         seen[at, place] = True
@@ -169,7 +184,7 @@ def sign(df: DataFrame, text: str, s: Settings, keep: list[str]) -> DataFrame:
             if s.weighted:
                 grams, gram_rows, weights = _weigh(grams, gram_rows)
             values = signatures(gram_rows, grams, weights, n, s.size)
-            joined = values.reshape(n, s.bands, s.rows)
+            joined = values[:, : s.bands * s.rows].reshape(n, s.bands, s.rows)
             band = np.zeros((n, s.bands), np.uint64)
             for i in range(s.rows):
                 band = band * np.uint64(0x100000001B3) + joined[:, :, i]
@@ -226,8 +241,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 
 def _lowest_estimate(s: Settings) -> float:
-    """Five standard deviations below the threshold, of an estimate from ``size`` coordinates."""
-    return s.threshold - 5 * math.sqrt(s.threshold * (1 - s.threshold) / s.size)
+    """Four standard deviations below the threshold, of an estimate from ``size`` coordinates."""
+    return s.threshold - 4 * math.sqrt(s.threshold * (1 - s.threshold) / s.size)
 
 
 def _star_pairs(members: DataFrame, s: Settings) -> DataFrame:
@@ -243,7 +258,8 @@ def _rest_pairs(rest: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
     """Pairs of one bucket and different classes whose signatures could be those of similar texts.
 
     A bucket is cut into blocks; each two blocks meet in one group, compared by
-    array operations. A group holds at most two blocks' short signatures.
+    array operations. A group holds at most two blocks' short signatures. A pair that
+    shares several bands comes from the first of them only.
     """
     sizes = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / s.block).cast("int")
@@ -259,10 +275,14 @@ def _rest_pairs(rest: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
         short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint16).reshape(len(ids), s.size)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        banded = (short[0] == short)[:, : s.bands * s.rows].reshape(len(ids), s.bands, s.rows)
+        band = int(banded.all(axis=(0, 2)).argmax())  # the one all agree in, or an earlier one
         found_a, found_b = [], []
         for at in left:
             against = right[(roots[right] != roots[at]) & ((ids[right] > ids[at]) | (i != j))]
-            near = against[(short[against] == short[at]).sum(axis=1) >= least * s.size]
+            same = short[against] == short[at]
+            sooner = same[:, : band * s.rows].reshape(len(against), band, s.rows).all(axis=2).any(axis=1)
+            near = against[(same.sum(axis=1) >= least * s.size) & ~sooner]
             found_a.append(np.minimum(ids[near], ids[at]))
             found_b.append(np.maximum(ids[near], ids[at]))
         return pa.table({"a": np.concatenate(found_a) if found_a else np.zeros(0, np.int64), "b": np.concatenate(found_b) if found_b else np.zeros(0, np.int64)})
