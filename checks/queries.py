@@ -79,11 +79,9 @@ def category_name_list(spark, folder):
 @query
 def code_categories(spark, folder):
     listed = study(spark, folder).codes.codes
-    rows = given.diagnosed(spark, folder).groupBy("patientid", "dsmno").agg(F.count("*").alias("n"))
-    joined = rows.join(listed, F.col("dsmno") == F.col("code"))
-    return joined.groupBy("kind", "category").agg(
-        F.sum("n").alias("n"), F.countDistinct("patientid").alias("patients")
-    )
+    joined = given.diagnosed(spark, folder).join(listed, F.col("dsmno") == F.col("code"))
+    rows = joined.groupBy("kind", "category", "patientid").agg(F.count("*").alias("n"))
+    return rows.groupBy("kind", "category").agg(F.sum("n").alias("n"), F.count("*").alias("patients"))
 
 
 @query
@@ -92,6 +90,29 @@ def relabel_map(spark, folder):
     return membership.relabel(visits, "visit_type", given.SETTINGS)
 
 
+def order_map(spark, folder):
+    """A category map of many rows: orders above a price by their status."""
+    orders = given.read(spark, folder, "orders")
+    category = F.when(F.col("o_totalprice") > 150000, F.col("o_orderstatus"))
+    return orders.select(F.col("o_orderkey").cast("string").alias("value"), category.alias("category"))
+
+
+def order_lines(spark, folder):
+    """Order lines under names that a category map has too."""
+    lines = given.read(spark, folder, "lineitem")
+    return lines.select("l_orderkey", F.col("l_linenumber").alias("value"), F.col("l_partkey").alias("category"))
+
+
+@query
+def category_membership_large(spark, folder):
+    return membership.keep_members(order_lines(spark, folder), "l_orderkey", order_map(spark, folder))
+
+
+@query
+def relabel_large(spark, folder):
+    return membership.relabel(order_lines(spark, folder), "l_orderkey", order_map(spark, folder))
+
+
 @query
 def age_bands(spark, folder):
     age = whole_number(F.col("age"))
@@ -134,7 +155,9 @@ def dedupe_highest(spark, folder):
 @query
 def dedupe_any(spark, folder):
     keys = ["o_custkey", "o_orderpriority"]
-    return dedupe.keep_any(given.read(spark, folder, "orders"), keys).select(keys)
+    orders = given.read(spark, folder, "orders")
+    kept = dedupe.keep_any(orders, keys)
+    return kept.join(orders, orders.columns, "left_semi").select(keys)  # whole rows of the table, not mixtures
 
 
 @query
@@ -224,7 +247,7 @@ def level_lists(spark, folder):
 def level_counts_of(spark, folder, dimension):
     subjects = cohort.cohort(study(spark, folder))
     table = counts.cells(subjects, ("race", dimension), [], cohort.in_scope())
-    return counts.level_counts(table, [dimension]).drop("dimension")
+    return counts.complete(counts.level_counts(table, [dimension])).drop("dimension")
 
 
 @query
@@ -253,7 +276,7 @@ def counts_dx(spark, folder):
 def metrics(spark, folder):
     made = study(spark, folder)
     groups = {"substances": [*reports.TARGETS, *made.substance_names], "disorders": made.disorder_names}
-    return counts.metrics(study_cells(spark, folder), reports.DIMENSIONS, groups).where(F.col("n") > 0)
+    return counts.complete(counts.metrics(study_cells(spark, folder), reports.DIMENSIONS, groups))
 
 
 # ---- reports
@@ -401,11 +424,14 @@ def lineage_subgraph(spark, folder):
 @query
 def lineage_roundtrip(spark, folder):
     graph = lineage.build_graph(given.module_configs(spark, folder))
-    rows = lineage.serialised(*graph, "workspace")
-    nodes, _ = lineage.deserialised(*rows)
+    rows = lineage.serialised(*graph, "runner")
+    nodes, edges = lineage.deserialised(stored(rows[0]), stored(rows[1]))
     modules, data = lineage.split_nodes(nodes)
     marked = modules.withColumn("is_module", F.lit(True)).unionByName(data.withColumn("is_module", F.lit(False)))
-    return marked.groupBy("is_module", "node_type").agg(
+    both = marked.unionByName(
+        edges.select(F.concat("node_from", "node_to").alias("node_name"), F.lit("edge").alias("node_type"), F.lit("").alias("summary"), F.lit(False).alias("is_module"))
+    )
+    return both.groupBy("is_module", "node_type").agg(
         F.count("*").alias("n"),
         F.sum(F.length("node_name")).alias("name_length"),
         F.sum(F.length("summary")).alias("summary_length"),

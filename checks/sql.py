@@ -350,9 +350,9 @@ LOGS = """
 log as (
   select case when event_type = 'error'
     then strftime(ts, '%Y-%m-%d %H:%M:%S,') || lpad(cast(millisecond(ts) % 1000 as varchar), 3, '0')
-         || ' - workspace.' || event_type || ' - ERROR - Unable to handle event ' || event_id
+         || ' - runner.' || event_type || ' - ERROR - Unable to handle event ' || event_id
     else strftime(ts, '%Y-%m-%d %H:%M:%S,') || lpad(cast(millisecond(ts) % 1000 as varchar), 3, '0')
-         || ' - workspace.' || event_type || ' - INFO - Finished the function [' || event_type || '] in '
+         || ' - runner.' || event_type || ' - INFO - Finished the function [' || event_type || '] in '
          || printf('%.6e', value) || ' seconds' end as value
   from events),
 timed as (
@@ -426,6 +426,11 @@ def oracle() -> dict[str, str]:
         """ select visit_id, patientid, coalesce(category, visit_type) as visit_type
         from typepatient left join setting_map on value = visit_type"""
     )
+    chosen = "select cast(o_orderkey as varchar) as k, o_orderstatus as c from orders where o_totalprice > 150000"
+    sql["category_membership_large"] = f"""select l_orderkey, l_linenumber as value, l_partkey as category from lineitem
+        where cast(l_orderkey as varchar) in (select k from ({chosen}))"""
+    sql["relabel_large"] = f"""select coalesce(c, cast(l_orderkey as varchar)) as l_orderkey, l_linenumber as value, l_partkey as category
+        from lineitem left join ({chosen}) m on m.k = cast(l_orderkey as varchar)"""
     age = "try_cast(age as integer)"
     sql["age_bands"] = over(
         f""" select {band_case(age)} as age_categorical, count(*) as n, min({age}) as youngest, max({age}) as oldest
@@ -479,20 +484,20 @@ def oracle() -> dict[str, str]:
     for key, column in (("counts_age", "age_categorical"), ("counts_sex", "sex")):
         sql[key] = scoped(
             f""" select g.stratum, l.level, count(s.patientid) as n from (select distinct race as stratum from flagged union all select 'ALL') g
-            join (select distinct race as stratum, {column} as level from flagged union select 'ALL', {column} from flagged) l on l.stratum = g.stratum
+            cross join (select distinct {column} as level from flagged) l
             left join strata s on s.stratum = g.stratum and s.{column} = l.level group by g.stratum, l.level""",
             STRATA,
         )
     sql["counts_sud"] = scoped(" " + stacked(SUD, "strata"), STRATA)
     sql["counts_dx"] = scoped(" " + stacked(DX, "strata"), STRATA)
     everyone = "select stratum, 'everyone' as dimension, '' as level, count(*) as n from strata group by stratum"
-    by_level = "select stratum, dimension, level, n from counted where n > 0"
+    by_level = "select stratum, dimension, level, n from counted"
     by_flag = " union all ".join(
         f"select stratum, '{label}' as dimension, level, n from ({stacked(names, 'strata')})"
         for label, names in (("substances", ["any_sud", "ge2_sud", *SUD]), ("disorders", DX))
     )
     sql["metrics"] = scoped(
-        f" select * from ({everyone} union all {by_level} union all {by_flag}) where n > 0", STRATA, LEVELS
+        f" select * from ({everyone} union all {by_level} union all {by_flag})", STRATA, LEVELS
     )
     sql["table1_total"] = table1("dimension, level, n, total, round(p * 100, 6) as pct", "stratum = 'ALL'")
     sql["table1_strata"] = table1(
@@ -562,7 +567,8 @@ def oracle() -> dict[str, str]:
     sql["lineage_roundtrip"] = (
         "with " + GRAPH.rstrip().rstrip(",") + """ select node_type = 'module' as is_module, node_type, count(*) as n,
         cast(sum(length(node_name)) as bigint) as name_length, cast(sum(length(summary)) as bigint) as summary_length
-        from nodes group by node_type"""
+        from nodes group by node_type
+        union all select false, 'edge', count(*), cast(sum(length(node_from) + length(node_to)) as bigint), 0 from edges"""
     )
     sql["log_errors"] = "with " + LOGS + " select value from log where contains(value, 'ERROR')"
     sql["log_fields"] = "with " + LOGS + """ select split_part(value, ' - ', 2) as logger, split_part(value, ' - ', 3) as level,

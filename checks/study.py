@@ -69,7 +69,7 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def diagnosed(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order line: the customer, the place of supply as site, and a code."""
+    """One row per order line: the customer, the visit and a code."""
     lines = read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
     stem, tail = (290 + F.col("l_partkey") % 200).cast("string"), (F.col("l_suppkey") % 2).cast("string")
@@ -129,9 +129,9 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """A log line per event: errors as error lines, the rest as timing lines of a function."""
     event, value = F.col("event_type"), F.col("value")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS")
-    error = F.format_string("%s - workspace.%s - ERROR - Unable to handle event %d", stamp, event, "event_id")
+    error = F.format_string("%s - runner.%s - ERROR - Unable to handle event %d", stamp, event, "event_id")
     timing = F.format_string(
-        "%s - workspace.%s - INFO - Finished the function [%s] in %.6e seconds", stamp, event, event, value
+        "%s - runner.%s - INFO - Finished the function [%s] in %.6e seconds", stamp, event, event, value
     )
     return read(spark, folder, "events").select(F.when(event == "error", error).otherwise(timing).alias("value"))
 
@@ -186,7 +186,6 @@ def module_configs(spark: SparkSession, folder: str) -> DataFrame:
     return parts.unionByName(lines).unionByName(shipped)
 
 
-@lru_cache(maxsize=None)
 def lineage_key(spark: SparkSession, folder: str) -> str:
     """The customer with the highest number that has an order."""
     return f"customer_{read(spark, folder, 'orders').agg(F.max('o_custkey')).first()[0]}"

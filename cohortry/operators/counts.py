@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.session import stored
+
 # Label of the row over all strata.
 ALL = "ALL"
 
@@ -81,17 +83,14 @@ def level_lists(table: DataFrame, dimensions: Sequence[str]) -> DataFrame:
 def complete(counts: DataFrame) -> DataFrame:
     """Adds a zero row for every level of a dimension that a stratum lacks.
 
-    Works on the rows of a report: one group is one stratum's level list.
+    Works on the rows of a report. Every level list is joined to the strata of its
+    dimension, so the result has a row per stratum and level, which is what is asked for.
     """
-    levels = F.collect_set("level").over(Window.partitionBy("dimension"))
-    known = counts.where(F.col("level").isNotNull()).withColumn("levels", levels)
-    grouped = known.groupBy("stratum", "dimension").agg(
-        F.first("levels").alias("levels"),
-        F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("by_level"),
-    )
-    listed = grouped.select("stratum", "dimension", "by_level", F.explode("levels").alias("level"))
-    n = F.coalesce(F.try_element_at("by_level", F.col("level")), F.lit(0).cast("long"))
-    return listed.select("stratum", "dimension", "level", n.alias("n"))
+    known = stored(counts.where(F.col("level").isNotNull()).select("stratum", "dimension", "level", "n"))
+    levels = known.select("dimension", "level").distinct()
+    grid = known.select("stratum", "dimension").distinct().join(levels, "dimension")
+    filled = grid.join(known, ["stratum", "dimension", "level"], "left")
+    return filled.select("stratum", "dimension", "level", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def drop_small_everywhere(table: DataFrame, by: str, value: str, least: float) -> DataFrame:

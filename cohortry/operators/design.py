@@ -8,11 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.names import quoted
-from cohortry.session import rows_up_to
-
-# A regression has one column per level, so variables with more levels than
-# this are no categorical covariates; they are refused, never cut short.
-MOST_LEVELS = 10_000
 
 
 def patterns(subjects: DataFrame, by: Sequence[str], outcomes: Sequence[str]) -> DataFrame:
@@ -26,14 +21,14 @@ def patterns(subjects: DataFrame, by: Sequence[str], outcomes: Sequence[str]) ->
 
 
 def level_support(table: DataFrame, stratum: str, variables: Sequence[str]) -> dict[str, dict[tuple[str, str], int]]:
-    """Per stratum, the subjects of each ``(variable, level)`` of a pattern table."""
+    """Per stratum, the subjects of each ``(variable, level)`` of a pattern table.
+
+    One row per stratum and level reaches the driver: the columns that the design will have.
+    """
     stacked = table.unpivot([stratum, "n"], list(variables), "variable", "level")
     counted = stacked.groupBy(stratum, "variable", "level").agg(F.sum("n").alias("n"))
-    rows = rows_up_to(counted.where(F.col("level").isNotNull()), MOST_LEVELS)
-    if rows is None:
-        raise ValueError(f"{list(variables)} have more than {MOST_LEVELS} levels over all strata")
     found: dict[str, dict[tuple[str, str], int]] = {}
-    for row in rows:
+    for row in counted.where(F.col("level").isNotNull()).collect():
         found.setdefault(row[stratum], {})[row["variable"], row["level"]] = row["n"]
     return found
 

@@ -24,8 +24,10 @@ MOST_STEPS = 35
 STEP_TOLERANCE = 1e-10
 # A coefficient this large that is still moving, with the score equations solved, has no finite estimate.
 RUNAWAY = 20.0
-# Stands for an infinite coefficient: exp(-800) is 0 in double precision.
+# From here on a coefficient stands for an infinite one: exp(-800) is 0 in double precision.
 INFINITE = 800.0
+# Terms pinned first outweigh all terms pinned later, so that a pattern stays as it was decided.
+FIRST_PIN = 1e280
 INTERCEPT = "intercept"
 
 
@@ -45,6 +47,7 @@ class Fit:
     beta: np.ndarray = field(default_factory=lambda: np.zeros(0))
     error: np.ndarray = field(default_factory=lambda: np.zeros(0))
     screened: bool = False
+    pins: int = 0
 
     def advance(self, information: np.ndarray, score: np.ndarray) -> None:
         """One Newton step from the sums at the present coefficients."""
@@ -54,7 +57,8 @@ class Fit:
         free = np.flatnonzero(np.abs(self.beta) < INFINITE)
         information, score = information[np.ix_(free, free)], score[free]
         if np.linalg.matrix_rank(_scaled(information), tol=1e-11) < len(free):
-            self.status = "separated" if np.abs(self.beta).max() > RUNAWAY / 2 else "singular"
+            self.status = "separated" if np.abs(self.beta[free]).max(initial=0) > RUNAWAY / 2 else "singular"
+            self._let_go(free)
             return
         step = np.linalg.solve(information, score)
         self.beta[free] += step
@@ -64,6 +68,13 @@ class Fit:
             self.status = "ok" if len(free) == len(self.beta) else "separated"
         elif largest > 0.1 and np.abs(self.beta[free]).max() > RUNAWAY and np.abs(score).max() < 1e-9 * self.n:
             self.status = "separated"
+            self._let_go(free)
+
+    def _let_go(self, free: np.ndarray) -> None:
+        """Terms that ran away have no finite estimate and are shown as such, not where the loop stopped."""
+        for j in free:
+            if abs(self.beta[j]) > RUNAWAY / 2:
+                self.beta[j], self.error[j] = np.copysign(INFINITE, self.beta[j]), np.inf
 
     def _pin(self, information: np.ndarray, score: np.ndarray) -> bool:
         """Fixes 0/1 terms whose subjects all have the outcome, or none have it, at infinity.
@@ -71,6 +82,8 @@ class Fit:
         Their subjects are then predicted exactly and weigh nothing in the rest of
         the fit, which is the limit the full fit tends to. While every other
         coefficient is 0 the sums show, for each term, its subjects and events.
+        A later round sees only patterns that no earlier one decided, and its
+        pins are smaller by more than the number of terms can make up for.
         """
         if INTERCEPT not in self.terms:
             return False
@@ -78,12 +91,14 @@ class Fit:
         subjects = 4 * information[base]
         events = score + subjects / 2
         pinned = False
+        size = max(FIRST_PIN / (10.0 * len(self.terms)) ** self.pins, INFINITE)
         for j in range(len(self.terms)):
             is_flag = j != base and information[j, j] == information[base, j]
             if is_flag and abs(self.beta[j]) < INFINITE and subjects[j] > 0 and events[j] in (0, subjects[j]):
-                self.beta[j] = INFINITE if events[j] else -INFINITE
+                self.beta[j] = size if events[j] else -size
                 self.error[j] = np.inf
                 pinned = True
+        self.pins += pinned
         return pinned
 
 
@@ -183,7 +198,7 @@ def odds_ratios(spark: SparkSession, fits: Sequence[Fit], level: float = 0.95) -
                 beta, error = fit.beta[i], fit.error[i]
                 with np.errstate(over="ignore"):
                     odds = np.exp([beta, beta - z * error, beta + z * error])
-                    if abs(beta) == INFINITE:
+                    if abs(beta) >= INFINITE:
                         beta = np.copysign(np.inf, beta)
                         odds[0] = np.exp(beta)
                 values = [float(v) for v in (beta, error, *odds)]

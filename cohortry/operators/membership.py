@@ -37,6 +37,17 @@ def _as_frame(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
     return local_frame(df.sparkSession, columns, {"value": pa.string(), "category": pa.string()})
 
 
+def _beside(df: DataFrame, pairs: dict[str, str] | DataFrame) -> tuple[DataFrame, str, str]:
+    """The map as a frame whose two column names no column of ``df`` has."""
+    frame = _as_frame(df, pairs) if isinstance(pairs, dict) else pairs
+    taken = {name.lower() for name in df.columns}
+    mark = "_"
+    while {f"{mark}value", f"{mark}category"} & taken:
+        mark += "_"
+    value, category = f"{mark}value", f"{mark}category"
+    return frame.select(F.col("value").alias(value), F.col("category").alias(category)), value, category
+
+
 def keep_members(df: DataFrame, column: str, categories: CategoryMap) -> DataFrame:
     """Rows whose value is in the map with a category; compared as text."""
     pairs = mapped_values(categories)
@@ -48,8 +59,8 @@ def keep_members(df: DataFrame, column: str, categories: CategoryMap) -> DataFra
             whole = [int(value) for value in pairs if re.fullmatch(r"0|-?[1-9]\d*", value)]
             return df.where(F.col(column).isin(whole))
         return df.where(text.isin(list(pairs)))
-    frame = _as_frame(df, pairs) if isinstance(pairs, dict) else pairs
-    return df.join(frame.select("value"), text == F.col("value"), "left_semi")
+    frame, value, _ = _beside(df, pairs)
+    return df.join(frame.select(value), text == F.col(value), "left_semi")
 
 
 def relabel(df: DataFrame, column: str, categories: CategoryMap) -> DataFrame:
@@ -59,9 +70,9 @@ def relabel(df: DataFrame, column: str, categories: CategoryMap) -> DataFrame:
     text = df.withColumn(column, F.col(column).cast("string"))
     if isinstance(pairs, dict) and len(pairs) <= EXPRESSION_ROWS:
         return text.replace(pairs, subset=[column]) if pairs else text
-    frame = _as_frame(df, pairs) if isinstance(pairs, dict) else pairs
-    joined = text.join(frame, text[column] == frame["value"], "left")
-    return joined.withColumn(column, F.coalesce("category", column)).select(order)
+    frame, value, category = _beside(df, pairs)
+    joined = text.join(frame, F.col(f"`{column}`") == F.col(value), "left")
+    return joined.withColumn(column, F.coalesce(F.col(category), F.col(f"`{column}`"))).select([f"`{name}`" for name in order])
 
 
 def exclude(df: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:

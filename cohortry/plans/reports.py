@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.stats import one_decimal, percent, proportion, wald_bounds
-from cohortry.operators.counts import ALL, cells, complete, drop_small_everywhere, level_counts
+from cohortry.operators.counts import ALL, cells, complete, drop_small_everywhere, level_counts, with_total
 from cohortry.operators.design import dummies, dummy_names, level_support, patterns, support
 from cohortry.operators.logit import INTERCEPT, Fit, by_outcome, fit_all
 from cohortry.operators.membership import exclude
@@ -39,15 +39,17 @@ def subject_cells(subjects: DataFrame, flags: Sequence[str]) -> DataFrame:
     return cells(subjects, ("race", *DIMENSIONS), [*TARGETS, *flags], in_scope())
 
 
-def _sized(counts: DataFrame) -> DataFrame:
-    """Adds ``total``, the size of the stratum: each dimension's levels add up to it."""
-    return counts.withColumn("total", F.sum("n").over(Window.partitionBy("stratum", "dimension")))
+def _sized(counts: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds ``total``, the size of the whole stratum, subjects without a level included."""
+    sizes = with_total(table, "race", [], ["n"]).withColumnRenamed("n", "total")
+    return counts.join(sizes, "stratum")
 
 
 def table1(table: DataFrame, keep_empty: bool = True) -> DataFrame:
     """``stratum, dimension, level, n, total, p, lo, hi``: sizes, proportions, 95 % intervals."""
     counts = level_counts(table, DIMENSIONS)
-    sized = _sized(complete(counts) if keep_empty else counts.where(F.col("n") > 0))
+    listed = complete(counts) if keep_empty else counts.where((F.col("n") > 0) & F.col("level").isNotNull())
+    sized = _sized(listed, table)
     p = proportion(F.col("n"), F.col("total"))
     low, high = wald_bounds(F.col("p"), F.col("total"))
     return sized.withColumn("p", p).withColumns({"lo": low, "hi": high})

@@ -2,35 +2,55 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from dataclasses import fields
 
 from pyspark.sql import DataFrame
 
 from cohortry.functions.bands import AGE_BANDS
-from cohortry.operators.counts import metrics
+from cohortry.operators.counts import complete, metrics
 from cohortry.operators.logit import odds_ratios
 from cohortry.plans import reports
 from cohortry.plans.cohort import Study, cohort
+from cohortry.sources.codelists import CodeList
 from cohortry.sources.stages import materialise
 
 
+def fingerprint(study: Study) -> str:
+    """A digest of what a study is made from: the files it reads, its maps, code list and keys."""
+    parts: list[str] = []
+    for field in fields(study):
+        value = getattr(study, field.name)
+        if isinstance(value, CodeList):
+            parts.append(repr((field.name, value.categories, value.known)))
+            value = value.codes
+        if isinstance(value, DataFrame):
+            parts.append(repr((field.name, value.schema.simpleString(), sorted(value.inputFiles()), value.semanticHash() if not value.inputFiles() else 0)))
+        elif not isinstance(value, CodeList):
+            parts.append(repr((field.name, value)))
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
 def run_study(study: Study, folder: str) -> dict[str, DataFrame]:
     """The stored cohort, cells and reports by name.
 
     The raw tables are read once, for the cohort; the reports start from the stored
-    cohort or its cells. A run that was stopped goes on after its last complete table.
+    cohort or its cells. A run that was stopped goes on after its last complete table;
+    tables of another study in the same folder are built anew.
     """
     spark = study.persons.sparkSession
+    mark = fingerprint(study)
     made: dict[str, DataFrame] = {}
 
     def keep(name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        made[name] = materialise(spark, f"{folder}/{name}", build)
+        made[name] = materialise(spark, f"{folder}/{name}", build, mark)
         return made[name]
 
     subjects = keep("cohort", lambda: cohort(study))
     table = keep("cells", lambda: reports.subject_cells(subjects, study.flag_names))
     groups = {"substances": [*reports.TARGETS, *study.substance_names], "disorders": study.disorder_names}
-    keep("metrics", lambda: metrics(table, reports.DIMENSIONS, groups))
+    keep("metrics", lambda: complete(metrics(table, reports.DIMENSIONS, groups)))
     keep("table1", lambda: reports.table1(table))
     long = keep("table2", lambda: reports.table2(table, study.substance_names))
     bands = [label for _, _, label in AGE_BANDS if label not in ("0", *reports.TABLE2_LEFT_OUT)]

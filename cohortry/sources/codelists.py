@@ -51,6 +51,14 @@ def category_names(codes: DataFrame, raw: str = "category") -> DataFrame:
     return codes.select("kind", F.col(raw).alias("raw_name"), clean_name(F.col(raw)).alias("name")).distinct()
 
 
+def _once(headers: list[str]) -> list[str]:
+    """The headers; one that stands in two lists would be one column for two categories."""
+    twice = sorted({name for name in headers if headers.count(name) > 1})
+    if twice:
+        raise ValueError(f"categories of the same name: {twice}")
+    return headers
+
+
 @dataclass(frozen=True)
 class CodeList:
     """A code list whose category names are known on the driver.
@@ -73,7 +81,7 @@ class CodeList:
     @classmethod
     def of(cls, spark: SparkSession, lists: dict[str, dict[str, list[str]]]) -> CodeList:
         """From ``{kind: {category: [code, ...]}}``."""
-        clean = clean_unique(raw for named in lists.values() for raw in named)
+        clean = clean_unique(_once([raw for named in lists.values() for raw in named]))
         rows = tuple(
             (kind, clean[raw], code) for kind, named in lists.items() for raw, codes in named.items() for code in codes
         )
@@ -90,7 +98,7 @@ class CodeList:
     def read(cls, spark: SparkSession, paths: dict[str, str], few: int = FEW_CODES) -> CodeList:
         """From one wide CSV per kind."""
         wide = {kind: read_wide_codes(spark, path) for kind, path in paths.items()}
-        clean = clean_unique(raw for table in wide.values() for raw in table.columns)
+        clean = clean_unique(_once([raw for table in wide.values() for raw in table.columns]))
         codes = combined(*(long_codes(table, kind) for kind, table in wide.items()))
         found = rows_up_to(codes, few)
         return cls(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table_exists(spark: SparkSession, table: str) -> bool:
@@ -34,11 +35,19 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
-def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _marked(spark: SparkSession, path: str, mark: str) -> bool:
+    """Whether the stage at ``path`` was written under ``mark``."""
+    found = f"{path}.mark"
+    return is_complete(spark, found) and spark.read.text(found).where(F.col("value") == mark).count() == 1
+
+
+def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame], mark: str = "") -> DataFrame:
     """The stage stored at ``path``; built and written first when no complete copy is there.
 
-    A half-written copy of a failed run has no commit marker and is overwritten.
+    A half-written copy of a failed run has no commit marker and is overwritten. So is a
+    copy written under another ``mark``: a text that says what the stage was made from.
     """
-    if not is_complete(spark, path):
+    if not (is_complete(spark, path) and _marked(spark, path, mark)):
         build().write.mode("overwrite").parquet(path)
+        spark.range(1).select(F.lit(mark).alias("value")).write.mode("overwrite").text(f"{path}.mark")
     return spark.read.parquet(path)

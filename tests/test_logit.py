@@ -121,3 +121,14 @@ def test_table4_can_leave_out_a_band(spark, folder):
     older = reports.table4(subjects, made.disorder_names, more_than=3, left_out=[("age_categorical", "1-11")])[2]
     assert sum(fit.n for fit in older) < sum(fit.n for fit in whole)
     assert all("substance_use" not in fit.terms for fit in whole)
+
+
+def test_separation_in_sequence(spark):
+    """x1 decides its subjects first; x2 is then decided among the rest and must not undo that."""
+    cases = [((1, 1), 50, 50), ((1, 0), 50, 50), ((0, 1), 50, 0), ((0, 0), 100, 40)]
+    rows = [(*x, int(i < y)) for x, n, y in cases for i in range(n)]
+    fit = fit_of(spark, rows, ["x1", "x2"])
+    assert fit.status == "separated"
+    assert fit.beta[2] == pytest.approx(math.log(40 / 60))
+    shown = {row["term"]: row["beta"] for row in odds_ratios(spark, [fit]).collect()}
+    assert shown["x1"] == math.inf and shown["x2"] == -math.inf

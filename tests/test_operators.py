@@ -212,3 +212,23 @@ def test_design(spark):
     found = design.support(table.withColumn("race", F.lit("r")), ["v_b", "v_c.d"])
     assert rows_of(design.supported(found, 4)) == [("r", "v_c.d", 5)]
     assert rows_of(design.supported(found, 3, drop=["v_c.d"])) == [("r", "v_b", 4)]
+
+
+@pytest.mark.parametrize("size", [11, 301])
+def test_map_columns_may_clash_with_the_table(spark, size):
+    pairs = spark.createDataFrame([(str(i), f"c{i}") for i in range(size)], "value string, category string")
+    df = spark.createDataFrame([(1, "a", "5"), (2, "b", "999")], "value int, _value string, category string")
+    assert rows_of(membership.keep_members(df, "category", pairs)) == [(1, "a", "5")]
+    assert rows_of(membership.relabel(df, "category", pairs)) == [(1, "a", "c5"), (2, "b", "999")]
+
+
+def test_one_header_in_two_lists_is_an_error(spark):
+    with pytest.raises(ValueError, match="Alcohol"):
+        CodeList.of(spark, {"dx": {"Alcohol": ["303.00"]}, "sud": {"Alcohol": ["305.00"]}})
+
+
+def test_complete_adds_zero_rows(spark):
+    rows = [("a", "d", "x", 1), ("b", "d", "y", 2), ("a", "e", "z", 3), ("b", "d", None, 9)]
+    df = spark.createDataFrame(rows, "stratum string, dimension string, level string, n long")
+    found = [("a", "d", "x", 1), ("a", "d", "y", 0), ("a", "e", "z", 3), ("b", "d", "x", 0), ("b", "d", "y", 2)]
+    assert rows_of(counts.complete(df)) == found

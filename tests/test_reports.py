@@ -66,3 +66,10 @@ def test_counts_and_flags_give_one_cohort(spark, folder):
     direct = cohort(made)
     counted = flagged(made, counted_cohort(made)).select(direct.columns)
     assert direct.exceptAll(counted).isEmpty() and counted.exceptAll(direct).isEmpty()
+
+
+@pytest.mark.parametrize("keep_empty", [True, False])
+def test_table1_divides_by_the_whole_stratum(spark, keep_empty):
+    rows = [("AA", "18-34", "F", 90), ("AA", None, "F", 10)]
+    cells = spark.createDataFrame(rows, "race string, age_categorical string, sex string, n long")
+    assert {row["total"] for row in reports.table1(cells, keep_empty).collect()} == {100}

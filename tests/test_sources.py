@@ -134,3 +134,10 @@ def test_large_code_list_stays_off_the_driver(spark, monkeypatch):
 def test_rows_up_to(spark):
     assert len(rows_up_to(spark.range(5), 5)) == 5
     assert rows_up_to(spark.range(6), 5) is None
+
+
+def test_stage_of_another_study_is_built_anew(spark, tmp_path):
+    path = str(tmp_path / "marked")
+    for mark, n in (("a", 1), ("a", 2), ("b", 3)):
+        made = stages.materialise(spark, path, lambda n=n: spark.range(n), mark)
+        assert made.count() == (3 if mark == "b" else 1)
