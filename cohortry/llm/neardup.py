@@ -92,7 +92,7 @@ def _throw(rows: np.ndarray, items: np.ndarray, weights: np.ndarray | None, limi
 
     def region(who: np.ndarray, number: np.ndarray | int, begin: np.ndarray | float, area: float) -> None:
         """Darts of one region of each item: of the weight region at hand, ``begin`` ranks up."""
-        salt = tokens.mix(items[who] + np.uint64(level + 1) * np.uint64(0xA24BAED4963EE407) + np.asarray(number).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        salt = tokens.mix(items[who] + np.uint64((level + 1) * 0xA24BAED4963EE407 % 2**64) + np.asarray(number).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
         count = _counts(_uniform(salt), area)
         some = count > 0
         base, who, count = salt[some], who[some], count[some]

@@ -377,7 +377,8 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", k
     """``df`` with the score of each whole text, 0 to 1, in column ``out``.
 
     Null and empty texts, and texts without words, get the score of no evidence.
-    Equal texts get equal scores. A column already named ``out`` is replaced; other
+    Equal texts get the same score up to the rounding
+    of 32-bit sums (1e-6), which depends on the batch. A column already named ``out`` is replaced; other
     columns (or those in ``keep``) stay as they are. An empty table stays empty.
     """
 
