@@ -10,14 +10,12 @@ Of records with equal payloads the one of the smallest key is the response, the
 others are revisits that refer to it. Equal payloads are found by their digest and
 length through one aggregation; no group of copies is gathered.
 
-Archives are read file by file: ``write`` keeps them near ``file_bytes`` by dealing rows out by a
-hash of their key, and a file from elsewhere must fit in an executor's memory.
+Archives are read file by file: ``write`` keeps them near ``file_bytes`` of payload by a number of records
+per file, and a file from elsewhere must fit in an executor's memory.
 """
 
 from __future__ import annotations
 
-import base64
-import hashlib
 import re
 import uuid
 import zlib
@@ -30,8 +28,6 @@ from pyspark.sql import types as T
 
 from cohortry.session import shared_folder, stored
 
-from .batches import add_columns
-
 END = "\r\n"
 VERSION = "WARC/1.1"
 #: Payload bytes that one archive should hold.
@@ -43,17 +39,11 @@ _HEADERS = {
 }
 
 
-def digest(payload: bytes) -> str:
+def digest(payload: Column) -> Column:
     """Base32 of the SHA-1 of a payload, in capitals."""
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
-
-
-def _digested(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
-    def compute(payloads: pa.Array) -> list[pa.Array]:
-        values = [v or b"" for v in payloads.cast(pa.binary()).to_pylist()]
-        return [pa.array([digest(v) for v in values], pa.string()), pa.array([len(v) for v in values], pa.int64())]
-
-    return add_columns(df, payload, [("digest", T.StringType()), ("size", T.LongType())], compute, keep)
+    hexed = F.sha1(payload)
+    parts = [F.lpad(F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def _record_id(kind: str, key: Column) -> Column:
@@ -72,17 +62,18 @@ def write(df: DataFrame, path: str, key: str, url: str, payload: str, date: str
     an empty one and never referred to. An empty table gives archives without records.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.regexp_replace(F.col(url), r"[\r\n]", ""), F.lit("about:blank")).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
-    keyed = stored(_digested(rows, "payload", ["key", "url"]))
-    firsts = keyed.where((F.col("size") >= least_bytes) & F.col("key").isNotNull()).groupBy("digest", "size").agg(F.min("key").alias("first"))
-    firsts = stored(firsts)
-    # one row per key says what the key's record is; the address of a first is looked up once
-    linked = keyed.join(firsts, ["digest", "size"], "left").withColumn("refers", F.when(F.col("key") != F.col("first"), F.col("first")))
-    addresses = keyed.groupBy(F.col("key").alias("refers")).agg(F.min("url").alias("refers_url"))
-    linked = stored(linked.join(addresses, "refers", "left").select(F.col("key").alias("_key"), F.col("digest").alias("_digest"), "size", "refers", "refers_url").distinct())
-    total = keyed.agg(F.sum("size")).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
-    sized = _digested(rows, "payload", ["key", "url", "payload"])
-    met = sized.drop("size").join(linked, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest")))
+    sized = rows.withColumns({"digest": digest(F.col("payload")), "size": F.octet_length("payload").cast("long")})
+    keyed = stored(sized.drop("payload"))
+    named = keyed.where((F.col("size") >= least_bytes) & F.col("key").isNotNull())
+    firsts = stored(named.groupBy("digest", "size").agg(F.min(F.struct("key", "url")).alias("first")))
+    # one row per key says what the key's record is, and names the first's address with it
+    linked = keyed.join(firsts, ["digest", "size"], "left")
+    refers = F.col("key") != F.col("first.key")
+    linked = linked.select(F.col("key").alias("_key"), F.col("digest").alias("_digest"), F.when(refers, F.col("first.key")).alias("refers"), F.when(refers, F.col("first.url")).alias("refers_url"))
+    linked = stored(linked.distinct())
+    facts = keyed.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    per_file = max(1, 3 * facts["rows"] * file_bytes // max(facts["bytes"] or 0, 1))
+    met = sized.join(linked, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest")))
 
     name = F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
     response, request, metadata = (_record_id(kind, name) for kind in ("response", "request", "metadata"))
@@ -108,8 +99,9 @@ def write(df: DataFrame, path: str, key: str, url: str, payload: str, date: str
     asked = record(F.lit("request"), request, [linked_to, F.lit("Content-Type: application/http; msgtype=request")], F.concat(F.lit("GET "), F.col("url"), F.lit(f" HTTP/1.1{END}{END}")))
     about = F.concat(F.lit("key: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(f"{END}size: "), F.col("size").cast("string"), F.lit(f"{END}refers-to-key: "), F.coalesce(F.col("refers").cast("string"), F.lit("")), F.lit(END))
     told = record(F.lit("metadata"), metadata, [linked_to, F.lit("Content-Type: application/warc-fields")], about)
-    records = met.repartition(files, F.xxhash64("key", "digest")).select(F.explode(F.array(asked, answer, told)).alias("record"))
-    records.select(F.col("record").cast("string")).write.option("lineSep", END + END).option("compression", "gzip").text(path)
+    records = met.select(F.explode(F.array(asked, answer, told)).alias("record"))
+    written = records.select(F.col("record").cast("string")).write.option("lineSep", END + END).option("compression", "gzip")
+    written.option("maxRecordsPerFile", per_file).text(path)
 
 
 def _inflated(content: bytes) -> Iterator[bytes]:
