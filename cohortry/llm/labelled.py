@@ -41,10 +41,16 @@ def bucket_counts(
 def sample(rows: DataFrame, docs: int, most_bytes: int, label: str = "label") -> tuple[list[str], list]:
     """At most ``docs`` texts of each label, of at most ``most_bytes`` each, the same ones in every run.
 
-    They are the first in the order of a hash of key and text; each task passes on no more than that.
+    They are the first in the order of a hash of key and text. Only rows whose hash can be among
+    the first, about four times ``docs`` of a label, leave their task.
     """
     order = F.xxhash64(F.col("key").cast("string"), "text").alias("_order")
     short = rows.where(F.octet_length("text") <= most_bytes).select("text", F.col(label).alias("_label"), order)
+    counts = short.groupBy("_label").count().collect()
+    if not counts:
+        return [], []
+    share = F.create_map(*[F.lit(x) for row in counts for x in (row["_label"], 4.0 * docs / row["count"])])
+    near = (F.col("_order").cast("double") + 2.0**63) / 2.0**64 <= F.element_at(share, F.col("_label"))
     place = F.row_number().over(Window.partitionBy("_label").orderBy("_order", "text"))
-    found = short.withColumn("_place", place).where(F.col("_place") <= docs).orderBy("_label", "_place").select("text", "_label").toArrow()
+    found = short.where(near).withColumn("_place", place).where(F.col("_place") <= docs).orderBy("_label", "_place").select("text", "_label").toArrow()
     return found["text"].to_pylist(), found["_label"].to_pylist()
