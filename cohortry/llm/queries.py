@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.session import stored
+
 from . import decontaminate, language, linededup, mixing, mtree, neardup, quality, sharding, toxicity, warc
 
 #: Bytes of text that a shard holds.
@@ -23,13 +25,18 @@ def in_fold(key: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def _labelled(spark: SparkSession, folder: str, label: str) -> DataFrame:
+def _labelled(spark: SparkSession, folder: str, label: str, folds: int, held_out: int) -> DataFrame:
+    """Texts of the training folds with their label, as a written table that the steps of a fit read again.
+
+    Labels grow with the documents, so no size of them is broadcast: the texts are shuffled once, at every size.
+    """
     labels = table(spark, folder, "labels").select("doc_id", F.col(label).alias("label")).where("label is not null")
-    return table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "text").where(~in_fold(F.col("doc_id"), folds, held_out))
+    return stored(docs.join(labels.hint("merge"), "doc_id"))
 
 
 def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
-    return toxicity.fit(_labelled(spark, folder, "toxic").where(~in_fold(F.col("doc_id"), 4, 2)))
+    return toxicity.fit(_labelled(spark, folder, "toxic", 4, 2))
 
 
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +83,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
-    model = quality.fit(_labelled(spark, folder, "quality").where(~in_fold(F.col("doc_id"), 5, 0)))
+    model = quality.fit(_labelled(spark, folder, "quality", 5, 0))
     found = quality.score(table(spark, folder, "documents"), model, keep=["doc_id"])
     return found.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
