@@ -17,7 +17,7 @@ from cohortry.session import stored
 _HALF = 48
 _BITS = 2 * _HALF
 #: Bits that a round looks at beyond those that equal parts would need.
-_SPARE_BITS = 6
+_SPARE_BITS = 2
 _MORE_BITS = 12
 
 
