@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from cohortry.functions.bands import AGE_BANDS, band, whole_number
 from cohortry.functions.names import clean_name
 from cohortry.operators import codes, counts, dedupe, design, joins, lineage, logit, logtimes, membership, odds
 from cohortry.plans import cohort, reports
-from cohortry.session import stored
-from cohortry.sources import codelists, relational
+from cohortry.session import shared_folder, stored
+from cohortry.sources import codelists, logs, relational, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +30,10 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: F.round(f"`{name}`", 6) for name in names})
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 # ---- sources, filters, relabelling
 
 
@@ -65,6 +70,43 @@ def code_list_long(spark, folder):
     return codelists.long_codes(wide, "part")
 
 
+def wide_codes(spark, folder, columns):
+    """One column per category, ragged."""
+    return given.read(spark, folder, "part").select(*columns)
+
+
+@query
+def code_list_files(spark, folder):
+    """Two wide code lists written as CSV files and read back."""
+    brand = F.col("p_brand").alias("Brand (code)")
+    even = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("Type or Class")
+    size = F.concat(F.col("p_size").cast("string"), F.lit(".00")).alias("Size-Class")
+    paths = {"part": new_folder(spark), "size": new_folder(spark)}
+    relational.write_csv(wide_codes(spark, folder, [brand, even]), paths["part"])
+    relational.write_csv(wide_codes(spark, folder, [size]), paths["size"])
+    return codelists.CodeList.read(spark, paths).codes
+
+
+@query
+def relabel_file(spark, folder):
+    """Relabelling by a category map written as CSV files and read back."""
+    path = new_folder(spark)
+    relational.write_csv(order_map(spark, folder), path)
+    return membership.relabel(order_lines(spark, folder), "l_orderkey", codelists.read_category_map(spark, path))
+
+
+@query
+def appended_parts(spark, folder):
+    """A stage handed on as files, and its parts appended to one table and read back."""
+    orders = given.read(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    stage, path = new_folder(spark), new_folder(spark)
+    stages.materialise(spark, stage, lambda: orders, "orders")
+    handed_on = stages.materialise(spark, stage, lambda: orders.where("false"), "orders")  # complete: not built again
+    for status in ("F", "O", "P"):
+        relational.append_files(handed_on.where(F.col("o_orderstatus") == status), path)
+    return spark.read.parquet(path)
+
+
 @query
 def category_name_list(spark, folder):
     parts = given.read(spark, folder, "part").select(
@@ -316,6 +358,14 @@ def table2_wide(spark, folder):
     return rounded(reports.table2_wide(long, bands, made.substance_names), "Total", *bands)
 
 
+@query
+def table2_text(spark, folder):
+    made = study(spark, folder)
+    bands = [label for _, _, label in AGE_BANDS if label not in ("0", *reports.TABLE2_LEFT_OUT)]
+    long = reports.table2(study_cells(spark, folder), made.substance_names)
+    return reports.table2_lines(long, bands, made.substance_names)
+
+
 @query
 def figure1_bars(spark, folder):
     made = study(spark, folder)
@@ -367,6 +417,16 @@ def table4_odds(spark, folder):
     return rounded(logit.odds_ratios(spark, table4_of(spark, folder)[2]), *ODDS)
 
 
+@query
+def table3_text(spark, folder):
+    return reports.odds_lines(table3_odds(spark, folder))
+
+
+@query
+def table4_text(spark, folder):
+    return reports.odds_lines(table4_odds(spark, folder))
+
+
 @query
 def table3_fit_totals(spark, folder):
     """Events predicted by the fits of table 3; at the maximum they equal the events seen."""
@@ -465,6 +525,15 @@ def log_timing_bars(spark, folder):
     return rounded(bars.drop("total"), "average")
 
 
+@query
+def log_latest(spark, folder):
+    """Times of the last of many log files, one per day of events."""
+    path = new_folder(spark)
+    lines = given.log_lines(spark, folder).withColumn("day", F.substring("value", 1, 10))
+    lines.repartition("day").write.partitionBy("day").text(path)
+    return logtimes.function_times(logs.latest_log(spark, path, "*.txt").select("value"))
+
+
 @query
 def log_report(spark, folder):
     return logtimes.report_lines(logtimes.function_times(given.log_lines(spark, folder)))

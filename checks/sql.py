@@ -413,6 +413,12 @@ def oracle() -> dict[str, str]:
           select 'brand_' as category, p_brand as code from part
           union all select 'type_or_class', p_type from part where p_size % 2 = 0
           union all select 'size_class', cast(p_size as varchar) || '.00' from part) where code is not null"""
+    sql["code_list_files"] = """
+        select distinct kind, category, code from (
+          select 'part' as kind, 'brand_' as category, p_brand as code from part
+          union all select 'part', 'type_or_class', p_type from part where p_size % 2 = 0
+          union all select 'size', 'size_class', cast(p_size as varchar) || '.00' from part) where code is not null"""
+    sql["appended_parts"] = "select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderstatus in ('F', 'O', 'P')"
     sql["category_name_list"] = """
         select distinct kind, raw_name, lower(replace(replace(raw_name, ' ', '_'), '-', '_')) as name
         from (select 'part' as kind, p_name || ' ' || p_type as raw_name from part
@@ -431,6 +437,7 @@ def oracle() -> dict[str, str]:
         where cast(l_orderkey as varchar) in (select k from ({chosen}))"""
     sql["relabel_large"] = f"""select coalesce(c, cast(l_orderkey as varchar)) as l_orderkey, l_linenumber as value, l_partkey as category
         from lineitem left join ({chosen}) m on m.k = cast(l_orderkey as varchar)"""
+    sql["relabel_file"] = sql["relabel_large"]
     age = "try_cast(age as integer)"
     sql["age_bands"] = over(
         f""" select {band_case(age)} as age_categorical, count(*) as n, min({age}) as youngest, max({age}) as oldest
@@ -515,6 +522,11 @@ def oracle() -> dict[str, str]:
         + ", ".join(f'round("{b}", 6) as "{b}"' for b in ("Total", *BANDS[1:]))
         + f" from ({table2_wide()})"
     )
+    cells = ", ".join(
+        f"""case when measure = 'sample_size' then cast(cast("{b}" as bigint) as varchar) else printf('%.1f', "{b}") end as "{b}\""""
+        for b in ("Total", *BANDS[1:])
+    )
+    sql["table2_text"] = f"select race, ord, measure, {cells} from ({table2_wide()})"
     sql["figure1_bars"] = scoped(
         f""" , sized as (select race, count(*) as size from scope group by race),
         bars as (select b.stratum as race, b.level as diagnosis, cast(b.n as double) / cast(size as double) * 100 as pct
@@ -578,6 +590,18 @@ def oracle() -> dict[str, str]:
     sql["log_timing_bars"] = "with " + LOGS + """ select fn, n, round(average, 6) as average,
         cast(floor(30 * average / (select max(average) from times)) as integer) as steps,
         rpad(repeat('▥', cast(floor(30 * average / (select max(average) from times)) as integer)), 30, ' ') as bar from times"""
+    sql["log_latest"] = (
+        "with last_day as (select * from events where cast(ts as date) = (select max(cast(ts as date)) from events)),"
+        + LOGS.replace("from events", "from last_day")
+        + " select fn, n, total, average from times"
+    )
     sql["log_report"] = "with " + LOGS + """ select printf('%40s %10d %7.2f %10.2e [%s]', fn, n, total, average,
         rpad(repeat('▥', cast(floor(30 * average / (select max(average) from times)) as integer)), 30, ' ')) as line from times"""
+    ratios = ", ".join(
+        f"case when {c} = 'infinity'::double then 'inf' when {c} is not null then printf('%.2f', {c}) end as {n}"
+        for c, n in (("or_", "odds"), ("lo", "lo"), ("hi", "hi"))
+    )
+    for name in ("table3", "table4"):
+        sql[f"{name}_text"] = f"""select replace(stratum, 'ALL', 'Total') || ' (' || n || ')' as heading, target, term, {ratios}
+            from ({sql[f"{name}_odds"]})"""
     return sql

@@ -48,6 +48,8 @@ class Fit:
     error: np.ndarray = field(default_factory=lambda: np.zeros(0))
     screened: bool = False
     pins: int = 0
+    #: Terms that ran away: shown as infinite, while predictions go by where they stopped.
+    gone: set[int] = field(default_factory=set)
 
     def advance(self, information: np.ndarray, score: np.ndarray) -> None:
         """One Newton step from the sums at the present coefficients."""
@@ -71,10 +73,15 @@ class Fit:
             self._let_go(free)
 
     def _let_go(self, free: np.ndarray) -> None:
-        """Terms that ran away have no finite estimate and are shown as such, not where the loop stopped."""
+        """Terms that ran away have no finite estimate and are shown as such, not where the loop stopped.
+
+        Their coefficients stay: two that run away against each other add up to a
+        finite limit for the patterns that have both.
+        """
         for j in free:
             if abs(self.beta[j]) > RUNAWAY / 2:
-                self.beta[j], self.error[j] = np.copysign(INFINITE, self.beta[j]), np.inf
+                self.gone.add(int(j))
+                self.error[j] = np.inf
 
     def _pin(self, information: np.ndarray, score: np.ndarray) -> bool:
         """Fixes 0/1 terms whose subjects all have the outcome, or none have it, at infinity.
@@ -198,7 +205,7 @@ def odds_ratios(spark: SparkSession, fits: Sequence[Fit], level: float = 0.95) -
                 beta, error = fit.beta[i], fit.error[i]
                 with np.errstate(over="ignore"):
                     odds = np.exp([beta, beta - z * error, beta + z * error])
-                    if abs(beta) >= INFINITE:
+                    if abs(beta) >= INFINITE or i in fit.gone:
                         beta = np.copysign(np.inf, beta)
                         odds[0] = np.exp(beta)
                 values = [float(v) for v in (beta, error, *odds)]

@@ -123,6 +123,32 @@ def table2_wide(long: DataFrame, bands: Sequence[str], substances: Sequence[str]
     )
 
 
+def table2_lines(long: DataFrame, bands: Sequence[str], substances: Sequence[str]) -> DataFrame:
+    """Table 2 as text: ``table2_wide`` with whole sample sizes and one-decimal percentages."""
+    shown = F.when(F.col("value").isNotNull(), one_decimal(F.col("value")))
+    cell = F.when(F.col("measure") == "sample_size", F.col("n").cast("string")).otherwise(shown)
+    return table2_wide(long.withColumn("value", cell), bands, substances)
+
+
+def odds_lines(odds: DataFrame) -> DataFrame:
+    """Tables 3 and 4 as text: ``heading, target, term, odds, lo, hi``.
+
+    The heading is the stratum with its size, ``Total`` for all; ratios have two
+    digits, and ``inf`` for infinity. A fit without estimates has NULL cells.
+    """
+
+    def cell(name: str) -> Column:
+        ratio = F.col(name)
+        text = F.when(ratio == float("inf"), F.lit("inf")).otherwise(F.format_string("%.2f", ratio))
+        return F.when(ratio.isNotNull(), text)
+
+    stratum = F.when(F.col("stratum") == ALL, F.lit("Total")).otherwise(F.col("stratum"))
+    heading = F.format_string("%s (%d)", stratum, "n")
+    return odds.select(
+        heading.alias("heading"), "target", "term", *(cell(c).alias(n) for c, n in (("or_", "odds"), ("lo", "lo"), ("hi", "hi")))
+    )
+
+
 def figure1(table: DataFrame, disorders: Sequence[str], least: float = FIGURE_LEAST_PERCENT) -> DataFrame:
     """``race, diagnosis, pct, ord, label``: a bar per race and disorder.
 
@@ -137,23 +163,32 @@ def figure1(table: DataFrame, disorders: Sequence[str], least: float = FIGURE_LE
     return kept.withColumns({"ord": order, "label": one_decimal(F.col("pct"))})
 
 
-def table3_patterns(subjects: DataFrame, left_out: Sequence[tuple[str, str]] = TABLE3_LEFT_OUT) -> DataFrame:
-    """Patterns of the covariates, with the events of both targets."""
-    return patterns(exclude(subjects.where(in_scope()), left_out), ("race", *TABLE3_COVARIATES), TARGETS)
+def table3_patterns(
+    subjects: DataFrame,
+    left_out: Sequence[tuple[str, str]] = TABLE3_LEFT_OUT,
+    covariates: Sequence[str] = TABLE3_COVARIATES,
+    targets: Sequence[str] = TARGETS,
+) -> DataFrame:
+    """Patterns of the covariates, with the events of the targets."""
+    return patterns(exclude(subjects.where(in_scope()), left_out), ("race", *covariates), targets)
 
 
 def table3_design(
-    table: DataFrame, reference: Sequence[str] = TABLE3_REFERENCE
+    table: DataFrame,
+    reference: Sequence[str] = TABLE3_REFERENCE,
+    covariates: Sequence[str] = TABLE3_COVARIATES,
+    targets: Sequence[str] = TARGETS,
+    total_reference: Sequence[str] = TABLE3_TOTAL_REFERENCE,
 ) -> tuple[DataFrame, dict[str, list[str]]]:
     """Dummy-coded patterns for all subjects (``ALL``) and each race, and the terms of each.
 
     Race terms belong to ``ALL`` only, without the reference race. A level
     that a stratum lacks is no term there.
     """
-    dropped = [*reference, *TABLE3_TOTAL_REFERENCE]
-    found = level_support(table, "race", TABLE3_COVARIATES)
+    dropped = [*reference, *total_reference]
+    found = level_support(table, "race", covariates)
     levels = {"race": sorted(found)}
-    for variable in TABLE3_COVARIATES:
+    for variable in covariates:
         levels[variable] = sorted({level for pairs in found.values() for v, level in pairs if v == variable})
     order = dummy_names(levels, dropped)
     races = dummy_names({"race": levels["race"]}, dropped)
@@ -162,7 +197,7 @@ def table3_design(
         mine = {f"{variable}_{level}" for variable, level in pairs}
         used[race] = [name for name in order if name in mine and name not in races] + [INTERCEPT]
     copies = table.withColumn("stratum", F.explode(F.array(F.lit(ALL), F.col("race"))))
-    return dummies(copies, levels, ("stratum", "n", *TARGETS), dropped), used
+    return dummies(copies, levels, ("stratum", "n", *targets), dropped), used
 
 
 def adjusted(
@@ -175,10 +210,22 @@ def adjusted(
     return rows, terms, fit_all(rows, terms, fits)
 
 
-def table3(subjects: DataFrame) -> tuple[DataFrame, list[str], list[Fit]]:
-    """Adjusted odds ratios of the substance flags by age band, sex, setting (and race)."""
-    design, used = table3_design(stored(table3_patterns(subjects)))
-    return adjusted(design, used, TARGETS)
+def table3(
+    subjects: DataFrame,
+    covariates: Sequence[str] = TABLE3_COVARIATES,
+    targets: Sequence[str] = TARGETS,
+    left_out: Sequence[tuple[str, str]] = TABLE3_LEFT_OUT,
+    reference: Sequence[str] = TABLE3_REFERENCE,
+    total_reference: Sequence[str] = TABLE3_TOTAL_REFERENCE,
+) -> tuple[DataFrame, list[str], list[Fit]]:
+    """Adjusted odds ratios of the ``targets`` by the ``covariates`` (and race, over all strata).
+
+    ``left_out`` pairs of column and value take no part; ``reference`` and
+    ``total_reference`` name the dummies (``column_level``) that are no terms.
+    """
+    table = stored(table3_patterns(subjects, left_out, covariates, targets))
+    design, used = table3_design(table, reference, covariates, targets, total_reference)
+    return adjusted(design, used, targets)
 
 
 def table4_patterns(
@@ -194,12 +241,13 @@ def table4(
     disorders: Sequence[str],
     more_than: int = TABLE4_MORE_THAN,
     left_out: Sequence[tuple[str, str]] = (),
+    dropped: Sequence[str] = TABLE4_DROPPED,
 ) -> tuple[DataFrame, list[str], list[Fit]]:
-    """Adjusted odds ratios of any substance flag by the other disorders, per race.
+    """Adjusted odds ratios of any substance flag by the other disorders but ``dropped`` ones, per race.
 
     A disorder recorded for ``more_than`` subjects of a race or fewer is no term there.
     """
-    table = stored(table4_patterns(exclude(subjects, left_out), disorders))
+    table = stored(table4_patterns(exclude(subjects, left_out), disorders, dropped))
     kept = [name for name in disorders if name in table.columns]
     used: dict[str, list[str]] = {}
     for row in support(table, kept, "stratum").collect():

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import fields
+from typing import Any
 
 from pyspark.sql import DataFrame
 
@@ -32,19 +33,29 @@ def fingerprint(study: Study) -> str:
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 
-def run_study(study: Study, folder: str) -> dict[str, DataFrame]:
+def run_study(
+    study: Study,
+    folder: str,
+    table3: Mapping[str, Any] | None = None,
+    table4: Mapping[str, Any] | None = None,
+    level: float = 0.95,
+) -> dict[str, DataFrame]:
     """The stored cohort, cells and reports by name.
 
+    ``table3`` and ``table4`` are further arguments of those reports, ``level`` that of their intervals.
+
     The raw tables are read once, for the cohort; the reports start from the stored
     cohort or its cells. A run that was stopped goes on after its last complete table;
     tables of another study in the same folder are built anew.
     """
     spark = study.persons.sparkSession
     mark = fingerprint(study)
+    first, second = dict(table3 or {}), dict(table4 or {})
+    asked = f"{mark} {level} {sorted(first.items())} {sorted(second.items())}"
     made: dict[str, DataFrame] = {}
 
-    def keep(name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        made[name] = materialise(spark, f"{folder}/{name}", build, mark)
+    def keep(name: str, build: Callable[[], DataFrame], under: str = mark) -> DataFrame:
+        made[name] = materialise(spark, f"{folder}/{name}", build, under)
         return made[name]
 
     subjects = keep("cohort", lambda: cohort(study))
@@ -54,8 +65,14 @@ def run_study(study: Study, folder: str) -> dict[str, DataFrame]:
     keep("table1", lambda: reports.table1(table))
     long = keep("table2", lambda: reports.table2(table, study.substance_names))
     bands = [label for _, _, label in AGE_BANDS if label not in ("0", *reports.TABLE2_LEFT_OUT)]
+    keep("table2_text", lambda: reports.table2_lines(long, bands, study.substance_names))
     keep("table2_wide", lambda: reports.table2_wide(long, bands, study.substance_names))
     keep("figure1", lambda: reports.figure1(table, study.disorder_names))
-    keep("table3", lambda: odds_ratios(spark, reports.table3(subjects)[2]))
-    keep("table4", lambda: odds_ratios(spark, reports.table4(subjects, study.disorder_names)[2]))
+    odds = {
+        "table3": lambda: odds_ratios(spark, reports.table3(subjects, **first)[2], level),
+        "table4": lambda: odds_ratios(spark, reports.table4(subjects, study.disorder_names, **second)[2], level),
+    }
+    for name, build in odds.items():
+        keep(name, build, asked)
+        keep(f"{name}_text", lambda name=name: reports.odds_lines(made[name]), asked)
     return made

@@ -3,8 +3,9 @@ from __future__ import annotations
 import pytest
 
 from checks.study import study
+from cohortry.operators import logit
 from cohortry.plans import reports
-from cohortry.plans.cohort import cohort, counted_cohort, flagged
+from cohortry.plans.cohort import cohort, counted_cohort, flagged, scoped
 from cohortry.plans.run import run_study
 
 
@@ -51,7 +52,7 @@ def test_figure_has_fixed_order(spark, folder, table):
 def test_whole_study(spark, folder, tmp_path, table):
     made = study(spark, folder)
     first = run_study(made, str(tmp_path))
-    assert sorted(first) == ["cells", "cohort", "figure1", "metrics", "table1", "table2", "table2_wide", "table3", "table4"]
+    assert sorted(first) == ["cells", "cohort", "figure1", "metrics", "table1", "table2", "table2_text", "table2_wide", *(f"table{n}{kind}" for n in (3, 4) for kind in ("", "_text"))]
     assert first["cells"].exceptAll(table).isEmpty() and table.exceptAll(first["cells"]).isEmpty()
     assert all(not rows.isEmpty() for rows in first.values())
     written = {path: path.stat().st_mtime_ns for path in tmp_path.rglob("*.parquet")}
@@ -73,3 +74,25 @@ def test_table1_divides_by_the_whole_stratum(spark, keep_empty):
     rows = [("AA", "18-34", "F", 90), ("AA", None, "F", 10)]
     cells = spark.createDataFrame(rows, "race string, age_categorical string, sex string, n long")
     assert {row["total"] for row in reports.table1(cells, keep_empty).collect()} == {100}
+
+
+def test_table3_takes_its_parameters(spark, folder):
+    subjects = scoped(study(spark, folder))
+    _, terms, fits = reports.table3(
+        subjects, covariates=("sex",), targets=("any_sud",), reference=("sex_M",), total_reference=("race_MR",)
+    )
+    assert {fit.target for fit in fits} == {"any_sud"}
+    assert set(terms) == {"race_AA", "race_NHPI", "sex_F", "intercept"}
+    lines = reports.odds_lines(logit.odds_ratios(spark, fits)).collect()
+    assert any(line["heading"].startswith("Total (") for line in lines)
+
+
+def test_odds_lines_of_infinite_and_missing_ratios(spark):
+    schema = "stratum string, target string, term string, or_ double, lo double, hi double, n long"
+    rows = [("ALL", "t", "a", float("inf"), 0.0, float("inf"), 7), ("AA", "t", "b", None, None, None, 2), ("AA", "t", "c", 1.234, 0.5, 10.0, 2)]
+    found = [tuple(row) for row in reports.odds_lines(spark.createDataFrame(rows, schema)).collect()]
+    assert found == [
+        ("Total (7)", "t", "a", "inf", "0.00", "inf"),
+        ("AA (2)", "t", "b", None, None, None),
+        ("AA (2)", "t", "c", "1.23", "0.50", "10.00"),
+    ]
