@@ -22,7 +22,7 @@ _NO_KEY = -(2**63)
 @dataclass(frozen=True)
 class Settings:
     min_sites: int = 5
-    min_chars: int = 20  # shorter lines are never boilerplate
+    min_chars: int = 1  # shorter lines are never boilerplate; 1 leaves out blank lines only
     sketch_bits: int = 12
 
     @property

@@ -56,7 +56,9 @@ def op4_neardup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_linededup(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = linededup.clean(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    # its SQL looks at lines of 20 characters or more only
+    settings = linededup.Settings(min_chars=20)
+    cleaned = linededup.clean(table(spark, folder, "documents").select("doc_id", "text", "source"), settings=settings)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 

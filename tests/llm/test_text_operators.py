@@ -145,6 +145,13 @@ def test_lines_odd_rows(spark, odd, none):
     assert linededup.clean(odd).count() == odd.count() and linededup.clean(none).count() == 0
 
 
+def test_short_lines_on_many_sites_go(spark):
+    rows = [(i, f"Menu\n\nOK\n only here {i} \n Menu", f"s{i}") for i in range(6)] + [(6, "OK\nrare", "s1"), (7, "rare", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in linededup.clean(df).collect()}
+    assert found == {i: (f"\n only here {i} ", 5, 3) for i in range(6)} | {6: ("rare", 2, 1), 7: ("rare", 1, 0)}
+
+
 def test_archives_hold_anything(spark, tmp_path):
     tricky = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "http://a", "x" * 3_000_000), (2, "http://b", tricky), (3, None, None), (4, "http://c\r\nX: 1", ""), (5, "http://d", tricky), (5, "http://d", tricky)]
