@@ -133,7 +133,7 @@ def _throw(rows: np.ndarray, items: np.ndarray, weights: np.ndarray | None, limi
 
 
 def signatures(rows: np.ndarray, items: np.ndarray, weights: np.ndarray | None, n_rows: int, size: int) -> np.ndarray:
-    """n_rows x size signature values; a row without items has zeros.
+    """n_rows x size signature values; a row without items has zeros. The items of a row are distinct.
 
     Darts are thrown below a rank bound that suits the row's weight; rows with an
     empty coordinate get a bound twice as high, which changes no coordinate already filled.
@@ -180,10 +180,8 @@ def sign(df: DataFrame, text: str, s: Settings, keep: list[str]) -> DataFrame:
         bands: list[np.ndarray | None] = [None] * len(texts)
         short: list[bytes | None] = [None] * len(texts)
         for first, n, words, row, grams, gram_rows in _row_shingles(texts, s):
-            weights = None
-            if s.weighted:
-                grams, gram_rows, weights = _weigh(grams, gram_rows)
-            values = signatures(gram_rows, grams, weights, n, s.size)
+            grams, gram_rows, weights = _weigh(grams, gram_rows)
+            values = signatures(gram_rows, grams, weights if s.weighted else None, n, s.size)
             joined = values[:, : s.bands * s.rows].reshape(n, s.bands, s.rows)
             band = np.zeros((n, s.bands), np.uint64)
             for i in range(s.rows):

@@ -80,6 +80,26 @@ def test_dart_signatures_estimate_similarity(weighted):
     assert abs((made[0] == made[1]).mean() - want) < 4 * np.sqrt(want * (1 - want) / 2000)
 
 
+def test_repeats_throw_no_darts(monkeypatch):
+    thrown, throw = [], neardup._throw
+
+    def counted(*args):
+        found = throw(*args)
+        thrown.append(len(found[0]))
+        return found
+
+    monkeypatch.setattr(neardup, "_throw", counted)
+    monkeypatch.setattr(neardup, "add_columns", lambda df, text, fields, compute, keep: compute)
+    line = "one line of ten words that fills a whole text"
+    texts = [" ".join(["word"] * 3000), " ".join(["word"] * 5), " ".join([line] * 300), " ".join([line] * 2)]
+    for weighted in (False, True):
+        thrown.clear()
+        _, bands, short = neardup.sign(None, "text", neardup.Settings(weighted=weighted), [])(pa.array(texts))
+        assert sum(thrown) < 100_000
+        if not weighted:  # equal sets of shingles
+            assert bands[0] == bands[1] and bands[2] == bands[3] and short[0] == short[1] and short[2] == short[3] and bands[0] != bands[2]
+
+
 def test_near_copies_found_and_others_left(spark, odd, none):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base), " ".join(base).upper(), " ".join([*base[:-3], "x", "y", "z"]), " ".join(base[::-1]), "one two", "One, two!"]
