@@ -187,7 +187,8 @@ def sign(df: DataFrame, text: str, s: Settings, keep: list[str]) -> DataFrame:
             for i in range(s.rows):
                 band = band * np.uint64(0x100000001B3) + joined[:, :, i]
             band = tokens.mix(band + np.arange(s.bands, dtype=np.uint64)).view(np.int64)
-            brief = (values >> np.uint64(48)).astype(np.uint16)
+            # salted: a dart's own high bits tell its rank, and the earliest ones of a long text share them
+            brief = (tokens.salted(values, 13) >> np.uint64(48)).astype(np.uint16)
             cut = np.searchsorted(row, np.arange(n + 1))
             for i in range(n):
                 if cut[i] < cut[i + 1]:
@@ -256,16 +257,16 @@ def _rest_pairs(rest: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
     """Pairs of one bucket and different classes whose signatures could be those of similar texts.
 
     A bucket is cut into blocks; each two blocks meet in one group, compared by
-    array operations. A group holds at most two blocks' short signatures. A pair that
-    shares several bands comes from the first of them only.
+    array operations. A group holds at most two blocks' band values and short signatures. A pair that
+    shares several band values comes from the first of them only.
     """
     sizes = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / s.block).cast("int")
-    dealt = rest.join(sizes, "bucket").join(signed.select("id", "short"), "id").withColumn("blocks", blocks)
+    dealt = rest.join(sizes, "bucket").join(signed.select("id", "bands", "short"), "id").withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("own", own).select("bucket", "id", "root", "short", "own", other.alias("other"))
-    dealt = dealt.select("bucket", "id", "root", "short", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.withColumn("own", own).select("bucket", "id", "root", "bands", "short", "own", other.alias("other"))
+    dealt = dealt.select("bucket", "id", "root", "bands", "short", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     least = _lowest_estimate(s)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -273,13 +274,13 @@ def _rest_pairs(rest: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
         short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint16).reshape(len(ids), s.size)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        banded = (short[0] == short)[:, : s.bands * s.rows].reshape(len(ids), s.bands, s.rows)
-        band = int(banded.all(axis=(0, 2)).argmax())  # the one all agree in, or an earlier one
+        bands = table["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), s.bands)
+        band = int((bands == table["bucket"][0].as_py()).any(axis=0).argmax())  # the one this bucket is of
         found_a, found_b = [], []
         for at in left:
             against = right[(roots[right] != roots[at]) & ((ids[right] > ids[at]) | (i != j))]
             same = short[against] == short[at]
-            sooner = same[:, : band * s.rows].reshape(len(against), band, s.rows).all(axis=2).any(axis=1)
+            sooner = (bands[against, :band] == bands[at, :band]).any(axis=1)
             near = against[(same.sum(axis=1) >= least * s.size) & ~sooner]
             found_a.append(np.minimum(ids[near], ids[at]))
             found_b.append(np.maximum(ids[near], ids[at]))
@@ -327,7 +328,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Se
     rest, found = _rooted(members, links)
     links = stored(links.unionByName(_second_star(rest, texts, s)))
     rest, found = _rooted(rest.select("bucket", "id", "shared"), links)
-    links = stored(links.unionByName(_verified(_rest_pairs(rest, single.select("id", "short"), s), texts, s)))
+    links = stored(links.unionByName(_verified(_rest_pairs(rest, single.select("id", "bands", "short"), s), texts, s)))
     # Both kinds of link together: rows of equal words hang on the row that was compared.
     roots = stored(components(links.unionByName(equal)))
     out = docs.select("id").join(roots, "id", "left").withColumn("class_id", F.coalesce("root", "id"))

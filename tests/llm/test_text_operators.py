@@ -100,6 +100,20 @@ def test_repeats_throw_no_darts(monkeypatch):
             assert bands[0] == bands[1] and bands[2] == bands[3] and short[0] == short[1] and short[2] == short[3] and bands[0] != bands[2]
 
 
+def test_rest_pairs_by_band_values(spark, monkeypatch):
+    s = neardup.Settings()
+    # all three share band 3 alone; the short forms of 1 and 2 agree everywhere, that of 3 in band 3 only
+    short = {i: np.arange(s.size, dtype=np.uint16) + (1000 if i == 3 else 0) for i in (1, 2, 3)}
+    short[3][3 * s.rows : 4 * s.rows] -= 1000
+    bands = {i: [7 if b == 3 else 100 * i + b for b in range(s.bands)] for i in (1, 2, 3)}
+    signed = spark.createDataFrame([(i, bands[i], short[i].tobytes()) for i in (1, 2, 3)], "id long, bands array<long>, short binary")
+    rest = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 1)], "bucket long, id long, root long")
+    assert [tuple(r) for r in neardup._rest_pairs(rest, signed, s).collect()] == [(1, 2)]
+    monkeypatch.setattr(neardup, "add_columns", lambda df, text, fields, compute, keep: compute)
+    *_, made = neardup.sign(None, "text", s, [])(pa.array([" ".join(f"w{i}" for i in range(1_000_000))]))
+    assert len(set(np.frombuffer(made[0].as_py(), np.uint16))) > 240
+
+
 def test_near_copies_found_and_others_left(spark, odd, none):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base), " ".join(base).upper(), " ".join([*base[:-3], "x", "y", "z"]), " ".join(base[::-1]), "one two", "One, two!"]
