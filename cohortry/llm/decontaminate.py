@@ -114,6 +114,7 @@ def near(docs: DataFrame, items: DataFrame, slack: int, key: str = "doc_id", tex
     """(doc, sum, item, begin, span): places where all words of an item occur in order, with at most ``slack`` words between neighbours.
 
     The places of each next word are joined with those of the word before, so only chains that still hold go on.
+    Every place a chain from ``begin`` can have reached goes on, once; the span is that of the shortest whole chain.
     """
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("sum")).where("text is not null")
     lines = stored(item_terms(items, item, item_text))
@@ -133,8 +134,9 @@ def near(docs: DataFrame, items: DataFrame, slack: int, key: str = "doc_id", tex
         wanted = open_chains.join(steps.where(F.col("step") == step).select("item", "copy", "t"), ["item", "copy"])
         wanted = wanted.withColumn("place", F.explode(F.sequence(F.col("end") + 1, F.col("end") + 1 + slack)))
         met = wanted.join(postings, ["doc", "sum", "t", "place"])
-        chains = met.groupBy("doc", "sum", "item", "copy", "words", "begin").agg(F.min("place").alias("end"))
-    return done.select("doc", "sum", "item", "begin", (F.col("end") - F.col("begin") + 1).alias("span")).distinct()
+        chains = met.select("doc", "sum", "item", "copy", "words", "begin", F.col("place").alias("end")).distinct()
+    first = done.groupBy("doc", "sum", "item", "copy", "begin").agg(F.min("end").alias("end"))
+    return first.select("doc", "sum", "item", "begin", (F.col("end") - F.col("begin") + 1).alias("span")).distinct()
 
 
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None) -> DataFrame:

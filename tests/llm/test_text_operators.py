@@ -140,6 +140,26 @@ def test_decontaminate_odd_rows(spark, odd, none):
     assert {(r["item"], r["span"]) for r in near.collect()} == {("7", 5)}
 
 
+def test_near_with_repeated_words(spark):
+    random = np.random.default_rng(5)
+    texts = ["a b b x c"] + [" ".join(random.choice(list("abcx"), 12)) for _ in range(40)]
+    items = ["a b c", "a a b", "b c", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc"], r["item"], r["begin"], r["span"]) for r in decontaminate.near(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), 1).collect()}
+    want = set()
+    for d, text in enumerate(texts):
+        held = text.split()
+        for i, item in enumerate(items):
+            first, *others = item.split()
+            for begin in [p for p, w in enumerate(held) if w == first]:
+                ends = {begin}
+                for word in others:
+                    ends = {q for p in ends for q in (p + 1, p + 2) if q < len(held) and held[q] == word}
+                if ends:
+                    want.add((d, str(i), begin, min(ends) - begin + 1))
+    assert (0, "0", 0, 5) in found and found == want
+
+
 def test_mixing_odd_rows(odd, none):
     rows = mixing.shares(odd).collect()
     assert len(rows) == odd.count()
