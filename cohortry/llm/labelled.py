@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,13 @@ def bucket_counts(
     return (total[0, :buckets], total[1, :buckets]), (float(total[0, buckets]), float(total[1, buckets]))
 
 
+def held_back(sizes: tuple[float, float], docs: int) -> Column:
+    """Whether a row (key, text, label) is one of about ``docs`` of its label, a fifth at most, by a hash of key and text."""
+    share = F.when(F.col("label") == 1, F.lit(min(0.2, docs / sizes[1]))).otherwise(F.lit(min(0.2, docs / sizes[0])))
+    drawn = F.xxhash64(F.lit("held back"), F.col("key").cast("string"), F.col("text"))
+    return (drawn.cast("double") + 2.0**63) / 2.0**64 < share
+
+
 def sample(rows: DataFrame, docs: int, most_bytes: int, label: str = "label") -> tuple[list[str], list]:
     """At most ``docs`` texts of each label, of at most ``most_bytes`` each, the same ones in every run.
 

@@ -11,6 +11,8 @@ highest-scoring window.
 Log-odds are counted by Spark over all training rows, into a fixed number of
 hash buckets. The network is trained in numpy on the driver with a bounded sample
 of training rows (``sample_docs`` rows of each class, ``sample_bytes`` of text each).
+A logistic curve over texts held back from that sample, of any length and weighted to
+the classes' true sizes, makes probabilities of the logits, so a cut means the same at any size of the tables.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import tokens
 from .batches import add_columns
-from .labelled import bucket_counts, sample
+from .labelled import bucket_counts, held_back, sample
 
 WORD_BUCKETS = 1 << 18
 CHAR_BUCKETS = 1 << 18
@@ -48,6 +50,7 @@ class Settings:
     rate: float = 0.01
     sample_docs: int = 1500
     sample_bytes: int = 20_000
+    curve_docs: int = 750  # texts of each class that are held back for the curve, about, and at most a fifth
     seed: int = 17
 
 
@@ -57,6 +60,8 @@ class Model:
     word_odds: np.ndarray
     char_odds: np.ndarray
     weights: dict[str, np.ndarray] = field(default_factory=dict)
+    slope: float = 1.0
+    offset: float = 0.0
 
 
 def _word_buckets(hashes: np.ndarray) -> np.ndarray:
@@ -203,8 +208,8 @@ def _window_logits(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.
     return logits, rows, first
 
 
-def scores(model: Model, texts: pa.Array) -> np.ndarray:
-    """The score of each text: that of its highest window; a text without words has the score of no evidence."""
+def _logits(model: Model, texts: pa.Array) -> np.ndarray:
+    """The logit of each text: that of its highest window; a text without words has the logit of no evidence."""
     out = np.full(len(texts), -30.0 if not model.weights else float(model.weights["prior"][0]), np.float32)
     for first, data, at in tokens.blocks(texts) if model.weights else ():
         starts, ends, row = tokens.word_bounds(data, at)
@@ -212,7 +217,12 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
             logits, rows, _ = _window_logits(model, data, starts, ends, row)
             begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
             out[rows[begin] + first] = np.maximum.reduceat(logits, begin)
-    return 1 / (1 + np.exp(-out.astype(np.float64)))
+    return out.astype(np.float64)
+
+
+def scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """The score of each text: the curve's value at its logit."""
+    return 1 / (1 + np.exp(-np.clip(model.slope * _logits(model, texts) + model.offset, -30, 30)))
 
 
 def _start(s: Settings, random: np.random.Generator) -> dict[str, np.ndarray]:
@@ -360,6 +370,52 @@ def _train(model: Model, texts: list[str], labels: np.ndarray, counts: tuple[np.
     weights["prior"] = np.array([min(float(logits_of(b).min()) for b in range(min(8, len(docs))))], np.float32)
 
 
+def _set_curve(model: Model, held: DataFrame, trained: list[int], counts: tuple[np.ndarray, np.ndarray], sizes: tuple[float, float]) -> None:
+    """Slope and offset by the logits of the held-back texts, which are taken by the executors.
+
+    The ridge draws to slope 1 and to the offset that corrects the trained mix of classes, for tables with few texts to hold back.
+    """
+    zeros, ones = counts
+    margins, labels, weights = [], [], []
+    for y in (0, 1):
+        # as in training, a text's own words are taken out of the counts
+        odds = _odds(ones - y, zeros - (1 - y), sizes[1] - y, sizes[0] - (1 - y))
+        without = Model(model.settings, odds[:WORD_BUCKETS], odds[WORD_BUCKETS:], model.weights)
+
+        def compute(texts: pa.Array, without: Model = without) -> list[pa.Array]:
+            return [pa.array(_logits(without, texts), pa.float64())]
+
+        found = add_columns(held.where(F.col("label") == y), "text", [("logit", T.DoubleType())], compute, ["label"]).select("logit").toArrow()["logit"].to_numpy()
+        margins.append(found)
+        labels.append(np.full(len(found), float(y)))
+        weights.append(np.full(len(found), sizes[y] / max(len(found), 1)))
+    x, target, weight = np.concatenate(margins), np.concatenate(labels), np.concatenate(weights)
+    n_ones = sum(trained)
+    shift = float(np.log(sizes[1] / sizes[0]) - np.log(max(n_ones, 1) / max(len(trained) - n_ones, 1)))
+    model.slope, model.offset = 1.0, shift
+    if not (len(margins[0]) and len(margins[1])):
+        return
+    weight /= weight.mean()
+    design, start, ridge = np.stack([x, np.ones_like(x)], axis=1), np.array([1.0, shift]), np.diag([1.0, 0.1])
+
+    def loss(beta: np.ndarray) -> float:
+        z = design @ beta
+        return float(weight @ (np.logaddexp(0, z) - target * z) + 0.5 * (beta - start) @ ridge @ (beta - start))
+
+    beta = start.copy()
+    for _ in range(100):
+        p = _sigmoid(design @ beta)
+        gradient = design.T @ (weight * (target - p)) - ridge @ (beta - start)
+        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge, gradient)
+        while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:  # logits far out make full steps too long
+            step /= 2
+        beta += step
+        if np.abs(step).max() < 1e-8:
+            break
+    if beta[0] > 0:
+        model.slope, model.offset = float(beta[0]), float(beta[1])
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", settings: Settings = Settings()) -> Model:
     """A model of rows with a 0/1 label. Rows without label or text do not count; without rows of both classes every score is 0."""
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.col(key).alias("key"))
@@ -368,8 +424,11 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     odds = _odds(counts[1], counts[0], sizes[1], sizes[0])
     model = Model(settings, odds[:WORD_BUCKETS], odds[WORD_BUCKETS:])
     if min(sizes) > 0:
-        texts, labels = sample(rows, settings.sample_docs, settings.sample_bytes)
+        back = held_back(sizes, settings.curve_docs)
+        texts, labels = sample(rows.where(~back), settings.sample_docs, settings.sample_bytes)
         _train(model, texts, np.array(labels), counts, sizes)
+        if model.weights:
+            _set_curve(model, rows.where(back), labels, counts, sizes)
     return model
 
 

@@ -265,6 +265,16 @@ def test_held_out_accuracy(labelled, odd, none, module, label, least):
     assert {r["score"] < 0.3 for r in module.score(odd, empty).collect()} == {True}
 
 
+def test_toxicity_is_a_probability_after_balanced_training(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    docs = docs.withColumn("held", queries.in_fold(F.col("doc_id"), 4, 2)).withColumn("label", F.col("toxic"))
+    model = toxicity.fit(docs.where("not held"), settings=toxicity.Settings(sample_docs=150))
+    rows = toxicity.score(docs.where("held"), model, out="s", keep=["toxic"]).collect()
+    toxic, clean = (np.array([r["s"] for r in rows if r["toxic"] == y]) for y in (1, 0))
+    assert np.mean(toxic >= 0.3) >= 0.85 and np.mean(clean >= 0.3) <= 0.04
+    assert abs(np.mean(np.concatenate([toxic, clean])) - len(toxic) / len(rows)) < 0.03
+
+
 def test_languages_held_out(labelled, odd, none):
     model = language.fit(labelled.where("not held"))
     rows = language.predict(labelled.where("held"), model, out="found", keep=["lang"]).collect()
