@@ -130,6 +130,69 @@ with vectors as (
 select * from ranked where rank <= 20
 """
 
+_CRC_STEPS = "list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n))"
+RESAMPLING = f"""
+with steps as (select {_CRC_STEPS} as step),
+texts as (
+    select 'd' as side, row_number() over () as row, doc_id, coalesce({_WORDS.format("text")}, []) as w from documents
+    union all select 't', row_number() over (), null, coalesce({_WORDS.format("text")}, []) from benchmark
+), grams as (
+    select side, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as g from texts where len(w) > 0
+), crcs as (
+    select g, xor(4294967295, list_reduce(list_transform(range(0, strlen(g)), lambda i: ('0x' || substr(hex(g), 2 * i + 1, 2))::bigint),
+        lambda c, b: xor(step[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) % 10000 as bucket
+    from (select distinct g from grams), steps
+), placed as (select side, row, bucket from grams join crcs using (g)),
+counts as (
+    select b.bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 't') as t from range(0, 10000) b(bucket) left join placed using (bucket) group by 1
+), gains as (
+    select bucket, floor(1000 * ln((t + 1)::double * ((select sum(s) from counts) + 10000) / ((s + 1)::double * ((select sum(t) from counts) + 10000))))::bigint as gain from counts
+), means as (
+    select row, count(*) as n_features, floor(sum(gain)::double / count(*))::bigint as weight from placed join gains using (bucket) where side = 'd' group by 1
+), scored as (
+    select doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+        coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+    from texts left join means using (row) where side = 'd'
+), ranked as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place from scored)
+select doc_id, n_features, weight, score,
+    case when n_words >= 20 and place <= (select count(*) from scored where n_words >= 20) * 25 // 100 then place end as rank
+from ranked
+"""
+
+
+def _clustering(clusters: int, rounds: int) -> str:
+    """One assignment and one set of centroids after the other."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::bigint"
+    mean = "(s - ((s % n) + n) % n) // n"
+    steps = ["""
+with kept as materialized (
+    select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)""", f"""c0 as materialized (
+    select (row_number() over (order by h) - 1)::int as cluster, v as c from (select *, sha256('2:' || vec_id) as h from kept order by h limit {clusters})
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (
+    select row, first(vec_id) as vec_id, first(v) as v, min_by(cluster, square::hugeint * 1000 + cluster) as cluster, min(square) as distance
+    from (select row, vec_id, v, {square} as square, cluster from kept, c{i}) group by row
+)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} as materialized (
+    select cluster, coalesce(m, c) as c from c{i} left join (
+        select cluster, list({mean} order by place)::bigint[] as m
+        from (select cluster, place, sum(x)::hugeint as s, count(*)::hugeint as n from (select cluster, unnest(v) as x, generate_subscripts(v, 1) as place from a{i}) group by 1, 2)
+        group by 1
+    ) using (cluster)
+)""")
+    return ",\n".join(steps) + f"""
+select vec_id, cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia,
+    sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} using (cluster)
+"""
+
+
+CLUSTERING = _clustering(40, 5)
+
 ORACLES = {
     "op1_sharding": SHARDING,
     "op2_warc": WARC,
@@ -138,4 +201,6 @@ ORACLES = {
     "op5_linededup": LINEDEDUP,
     "op8_topk": TOPK,
     "op6_decontaminate": DECONTAMINATE,
+    "op12_resampling": RESAMPLING,
+    "op13_clustering": CLUSTERING,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import stored
 
-from . import decontaminate, language, linededup, mixing, mtree, neardup, quality, sharding, toxicity, warc
+from . import clusters, decontaminate, importance, language, linededup, mixing, mtree, neardup, packing, quality, sharding, toxicity, warc
 
 #: Bytes of text that a shard holds.
 SHARD_BYTES = 1 << 20
@@ -90,6 +90,20 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pieces(table(spark, folder, "documents"))
+    return packing.placed(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.clustered(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_warc": op2_warc,
@@ -101,4 +115,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_packing": op11_packing,
+    "op12_resampling": op12_resampling,
+    "op13_clustering": op13_clustering,
 }

@@ -23,6 +23,16 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.multiply.accumulate(np.full(4096, 0x100000001B3, np.uint64))
 
 
+def is_word(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is part of a word."""
+    return _WORD[data]
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A to Z as a to z."""
+    return _LOWER[data]
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
