@@ -32,14 +32,18 @@ from pyspark.sql import types as T
 from cohortry.session import stored
 
 _BLANK = re.compile(r"[ \t\n\r]+")
+# No token of the tokenizer spans a change between ASCII letters and other ASCII characters, but for an apostrophe before letters.
+_CHANGE = re.compile(r"(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-z])")
+# Controls that str.split takes for blanks and the tokenizer does not.
+_CONTROLS = re.compile("[\x1c-\x1f]")
 
 
 @dataclass(frozen=True)
 class Settings:
     capacity: int = 2048  # tokens of a sequence
-    tokenizer: str = field(default_factory=lambda: public_tokenizers.path("word_bpe_49k.json"))  # drops white space
+    tokenizer: str = field(default_factory=lambda: public_tokenizers.path("word_bpe_49k.json"))  # one that parts white space, letters and others, in lower case
     end: int = 0  # id that closes a document
-    known_words: int = 200_000  # ids of so many different words are kept at hand in a task
+    known_words: int = 500_000  # ids of so many different words are kept at hand in a task
     segment: int = 1 << 20  # characters of a long text that are looked at together
 
 
@@ -47,16 +51,44 @@ class Words:
     """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those of its
-    blank-separated words in a row; a word met again is not tokenised again.
+    blank-separated words in a row, and those of a word are the ids of its runs of letters and of other characters. A
+    word or run met again is not tokenised again; new runs are tokenised many at a time.
     """
 
     def __init__(self, settings: Settings):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        made = Tokenizer.from_file(settings.tokenizer)
         self.settings = settings
-        self.encode = Tokenizer.from_file(settings.tokenizer).encode_batch_fast
+        self.encode = made.encode
+        added = [re.escape(token.content) for token in made.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(added) or "(?!)")
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts the ids of words that are not known yet into ``known``."""
+        parts = {}
+        special = [word for word in words if self._special.search(word)]
+        for word in words:
+            # lower case only where no letter can combine with a mark
+            plain = word.lower() if word.isascii() else word
+            parts[word] = [plain] if plain.isalpha() else _CHANGE.split(plain)
+        parts |= {word: [word] for word in special}
+        new = [run for run in {run for runs in parts.values() for run in runs}.difference(self.runs) if run]
+        for first in range(0, len(new), 256):
+            some = new[first : first + 256]
+            found = self.encode(" ".join(some), add_special_tokens=False)
+            ends = np.cumsum([len(run) + 1 for run in some])
+            cuts = 4 * np.searchsorted(np.array([begin for begin, _ in found.offsets]), ends)
+            ids, begin = np.array(found.ids, "<u4").tobytes(), 0
+            for run, end in zip(some, cuts.tolist(), strict=True):
+                self.runs[run] = ids[begin:end]
+                begin = end
+        self.runs[""] = b""
+        for word, runs in parts.items():
+            self.known[word] = self.runs[runs[0]] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))
 
     def segments(self, text: str) -> Iterator[str]:
         """The text in parts that end at a blank; a single longer word is a part of its own."""
@@ -70,21 +102,32 @@ class Words:
             at = cut
         yield text[at:] if at else text
 
-    def ids(self, text: str) -> bytes:
-        parts = []
-        for segment in self.segments(text):
-            words = _BLANK.split(segment)
-            new = list(set(words).difference(self.known))
-            if new:
-                if len(self.known) + len(new) > self.settings.known_words:
-                    self.known.clear()
-                    new = list(set(words))
-                for first in range(0, len(new), 1024):
-                    some = new[first : first + 1024]
-                    for word, found in zip(some, self.encode(some, add_special_tokens=False), strict=True):
-                        self.known[word] = np.array(found.ids, "<u4").tobytes()
-            parts.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(parts)
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; texts of some length together are looked at together."""
+        segments = [(i, segment) for i, text in enumerate(texts) for segment in self.segments(text)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        first = 0
+        while first < len(segments):
+            last, size, split, different = first, 0, [], set()
+            while last < len(segments) and (last == first or size + len(segments[last][1]) <= self.settings.segment):
+                segment = segments[last][1]
+                split.append(_BLANK.split(segment) if _CONTROLS.search(segment) else segment.split())
+                different.update(split[-1])
+                last, size = last + 1, size + len(segment)
+            if len(self.known) + len(different) > self.settings.known_words:
+                self.known.clear()
+                self.runs.clear()
+            self._learn(list(different.difference(self.known)))
+            for (i, _), words in zip(segments[first:last], split, strict=True):
+                out[i].append(b"".join(map(self.known.__getitem__, words)))
+            first = last
+        return [found[0] if len(found) == 1 else b"".join(found) for found in out]
+
+
+def id_lists(words: Words, texts: pa.Array) -> Iterator[bytes]:
+    """The ids of each text of a column, a few texts at a time."""
+    for first in range(0, len(texts), 64):
+        yield from words.ids([text or "" for text in texts.slice(first, 64).to_pylist()])
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -111,8 +154,8 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Set
 
         for given in batches:
             rows, held = [], 0
-            for i in range(given.num_rows):
-                ids = words.ids(given.column(1)[i].as_py() or "") + end
+            for i, found in enumerate(id_lists(words, given.column(1))):
+                ids = found + end
                 for at in range(0, len(ids), width):
                     cut = ids[at : at + width]
                     length = len(cut) // 4

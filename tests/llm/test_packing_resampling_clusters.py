@@ -54,6 +54,16 @@ def plain_ids(text):
     return [*found, 0]
 
 
+def test_ids_of_words_and_runs_are_those_of_the_text():
+    odd = ["J̌Á á.b", "it's 'S x'll ''re-do!!A'd", "a\x1cb\x1d c", "<|endoftext|> A<|ENDOFTEXT|>b <|startoftext|>", "ͅa ẞSS ΑΣ. Σ", "12ab34,.;x9", "x́'S", "naïve-Test"]
+    odd += [f"A{c}b{c}" for c in map(chr, range(0x110000)) if c.isspace()]
+    rng = random.Random(9)
+    odd += ["".join(rng.choice("aB'.<|>1 ́é\n\x1fſİΣ日") for _ in range(60)) for _ in range(300)]
+    words = packing.Words(packing.Settings(segment=25, known_words=40))
+    for text, found in zip(odd, words.ids(odd), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == plain_ids(text)[:-1], repr(text)
+
+
 def check_packed(rows, docs, capacity):
     """Every document whole, in pieces; every sequence gapless and no longer than the capacity."""
     held, docs_seen = defaultdict(list), defaultdict(list)
