@@ -8,7 +8,8 @@ compressed or not, by the length each record states, so a payload may hold anyth
 
 Of records with equal payloads the one of the smallest key is the response, the
 others are revisits that refer to it. Equal payloads are found by their digest and
-length through one aggregation; no group of copies is gathered.
+length through one aggregation; no group of copies is gathered. Payload sizes and digests
+are taken from the blocks that were read, and held against what the headers state.
 
 Archives are read file by file: ``write`` keeps them near ``file_bytes`` of payload by a number of records
 per file, and a file from elsewhere must fit in an executor's memory.
@@ -16,6 +17,8 @@ per file, and a file from elsewhere must fit in an executor's memory.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 import uuid
 import zlib
@@ -57,25 +60,34 @@ def write(df: DataFrame, path: str, key: str, url: str, payload: str, date: str
     """Archives under ``path`` (gzip) with three records per row of ``df``.
 
     A null payload is empty, a null address is ``about:blank``; line ends in an address are
-    taken out. Payloads below ``least_bytes`` are always responses. Rows of one key (repeated rows) are told apart
-    by their number of copies only if their payloads differ; a null key is written as
-    an empty one and never referred to. An empty table gives archives without records.
+    taken out. Payloads below ``least_bytes`` are always responses. Every row has a transaction of its own, whatever it
+    shares with others: rows that repeat key, address and payload get a number each. Of several rows of the smallest key all are
+    responses, and a revisit of them names their address and digest but no record. A null key is written as an
+    empty one; it has no place in the order, so it is always a response and never referred to. An empty table gives archives without records.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.regexp_replace(F.col(url), r"[\r\n]", ""), F.lit("about:blank")).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     sized = rows.withColumns({"digest": digest(F.col("payload")), "size": F.octet_length("payload").cast("long")})
-    keyed = stored(sized.drop("payload"))
+    # a row for each different (key, address, payload), with its number of copies
+    keyed = stored(sized.groupBy("key", "url", "digest", "size").agg(F.count("*").alias("copies")))
     named = keyed.where((F.col("size") >= least_bytes) & F.col("key").isNotNull())
     firsts = stored(named.groupBy("digest", "size").agg(F.min(F.struct("key", "url")).alias("first")))
-    # one row per key says what the key's record is, and names the first's address with it
+    # how many rows of the smallest key there are: a record can be named only if it is the only one
+    lone = named.join(firsts, ["digest", "size"]).where(F.col("key") == F.col("first.key")).groupBy("digest", "size").agg(F.sum("copies").alias("n"))
+    firsts = stored(firsts.join(stored(lone), ["digest", "size"]))
     linked = keyed.join(firsts, ["digest", "size"], "left")
     refers = F.col("key") != F.col("first.key")
-    linked = linked.select(F.col("key").alias("_key"), F.col("digest").alias("_digest"), F.when(refers, F.col("first.key")).alias("refers"), F.when(refers, F.col("first.url")).alias("refers_url"))
-    linked = stored(linked.distinct())
-    facts = keyed.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
-    per_file = max(1, 3 * facts["rows"] * file_bytes // max(facts["bytes"] or 0, 1))
-    met = sized.join(linked, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest")))
-
-    name = F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
+    linked = stored(linked.select(
+        F.col("key").alias("_key"), F.col("url").alias("_url"), F.col("digest").alias("_digest"), "copies",
+        F.when(refers, F.col("first.key")).alias("refers"), F.when(refers, F.col("first.url")).alias("refers_url"), F.col("n").alias("rivals"),
+    ))
+    facts = keyed.agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("rows")).first()
+    per_file = max(1, 3 * (facts["rows"] or 0) * file_bytes // max(facts["bytes"] or 0, 1))
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("url") == F.col("_url")) & (F.col("digest") == F.col("_digest"))
+    # rows that are all alike are told apart by where they stand in their task; no other record names theirs
+    met = sized.join(linked, same).withColumn("copy", F.when(F.col("copies") > 1, F.monotonically_increasing_id()))
+
+    parts = [F.coalesce(F.col("key").cast("string"), F.lit("")), F.col("digest"), F.md5("url"), F.coalesce(F.col("copy").cast("string"), F.lit(""))]
+    name = F.concat_ws(":", *parts)
     response, request, metadata = (_record_id(kind, name) for kind in ("response", "request", "metadata"))
 
     def record(kind: Column, own_id: Column, fields: list[Column], block: Column) -> Column:
@@ -87,12 +99,13 @@ def write(df: DataFrame, path: str, key: str, url: str, payload: str, date: str
     # A payload is of any bytes; the text writer passes a string's bytes on as they are.
     body = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}{END}").cast("binary"), F.col("payload"))
     is_visit = F.col("refers").isNotNull()
-    first_id = _record_id("response", F.concat(F.col("refers").cast("string"), F.lit(":"), F.col("digest")))
+    first_id = _record_id("response", F.concat_ws(":", F.col("refers").cast("string"), F.col("digest"), F.md5("refers_url"), F.lit("")))
+    named_first = F.when(F.col("rivals") == 1, F.concat(F.lit("WARC-Refers-To: "), first_id, F.lit(END)))
     full_digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"))
     answer = record(
         F.when(is_visit, "revisit").otherwise("response"), response,
         [full_digest, F.lit("Content-Type: application/http; msgtype=response"),
-         F.when(is_visit, F.concat(F.lit("WARC-Refers-To: "), first_id, F.lit(f"{END}WARC-Refers-To-Target-URI: "), F.coalesce("refers_url", F.lit("")), F.lit(f"{END}WARC-Profile: {_PROFILE}")))],
+         F.when(is_visit, F.concat(F.coalesce(named_first, F.lit("")), F.lit("WARC-Refers-To-Target-URI: "), F.coalesce("refers_url", F.lit("")), F.lit(f"{END}WARC-Profile: {_PROFILE}")))],
         F.when(is_visit, F.lit(f"HTTP/1.1 200 OK{END}{END}").cast("binary")).otherwise(body),
     )
     linked_to = F.concat(F.lit("WARC-Concurrent-To: "), response)
@@ -109,13 +122,15 @@ def _inflated(content: bytes) -> Iterator[bytes]:
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    while content:
-        member = zlib.decompressobj(31)
-        at = 0
+    at = 0
+    while at < len(content):
+        member, step = zlib.decompressobj(31), 1 << 12
         while not member.eof and at < len(content):
-            yield member.decompress(content[at : at + (1 << 20)])
-            at += 1 << 20
-        content = member.unused_data + content[at:] if member.eof else b""
+            part = content[at : at + step]
+            yield member.decompress(part)
+            # what the member did not use begins the next one; nothing else of the file is copied for it
+            at += len(part) - len(member.unused_data)
+            step = min(2 * step, 1 << 20)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
@@ -153,14 +168,15 @@ def parse(content: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
 
 RECORD = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("record_id", "concurrent_to", "record_type", "target_uri", "date", "payload_digest", "refers_to_uri", "refers_to")]
-    + [T.StructField("payload_bytes", T.LongType()), T.StructField("block", T.BinaryType())]
+    + [T.StructField("payload_bytes", T.LongType()), T.StructField("block_digest", T.StringType()), T.StructField("block", T.BinaryType())]
 )
 
 
 def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
     """One row per record of the archives under ``path``; ``blocks=False`` leaves the blocks of responses out.
 
-    payload_bytes is the size of a block without its HTTP head. A header that a record lacks is null.
+    payload_bytes is the size of a block without its HTTP head and block_digest the base32 of its SHA-1, both of what the archive
+    holds. A header that a record lacks is null.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
@@ -174,11 +190,12 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
                     for name, at in _HEADERS.items():
                         if name in headers:
                             found[at] = headers[name].decode("utf-8", "replace")
-                    payload = len(block)
+                    payload = memoryview(block)
                     if headers.get(b"content-type", b"").startswith(b"application/http"):
-                        payload = len(block) - block.find(b"\r\n\r\n") - 4
+                        payload = payload[block.find(b"\r\n\r\n") + 4 :]
+                    summed = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     light = not blocks and found[2] in ("response", "revisit", "request")
-                    rows.append((*found, payload, None if light else block))
+                    rows.append((*found, len(payload), summed, None if light else block))
                     held += 0 if light else len(block)
                     if held > 1 << 22 or len(rows) >= 4096:
                         yield _batch(rows)
@@ -187,7 +204,7 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
                     yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string()] * 8 + [pa.int64(), pa.binary()]
+        kinds = [pa.string()] * 8 + [pa.int64(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=RECORD.names)
 
     return files.mapInArrow(run, RECORD)
@@ -197,21 +214,25 @@ def captures(records: DataFrame) -> DataFrame:
     """One row per response or revisit, with its request and its metadata records nested in.
 
     Records name the one they belong to by their concurrent-to identifier; the response's own identifier is
-    the transaction's. Records that repeat count once. A response without a request or metadata has null
+    the transaction's. Records that are wholly alike count once. A response without a request or metadata has null
     or an empty list there; a request or metadata whose response is missing is left out, as it belongs to no capture.
     """
     names = [c for c in records.columns if c not in ("record_id", "concurrent_to")]
+    kind = F.col("record_type")
+    is_answer = kind.isin("response", "revisit")
+    told = records.where(is_answer | (kind.isin("request", "metadata") & F.col("concurrent_to").isNotNull()))
     whole = F.struct("record_id", *names)
-    answers = records.where(F.col("record_type").isin("response", "revisit")).dropDuplicates(["record_id"]).select(F.col("record_id").alias("transaction"), whole.alias("response"))
-    parts = records.where(F.col("record_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull()).dropDuplicates(["record_id"])
     # a transaction has a handful of records; a page's copies each have their own
-    others = parts.select(F.col("concurrent_to").alias("transaction"), "record_type", whole.alias("record")).groupBy("transaction").agg(
-        F.min(F.when(F.col("record_type") == "request", F.col("record"))).alias("request"),
-        F.array_sort(F.collect_list(F.when(F.col("record_type") == "metadata", F.col("record")))).alias("metadata"),
+    met = told.select(F.when(is_answer, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("transaction"), kind.alias("kind"), whole.alias("record")).groupBy("transaction").agg(
+        F.min(F.when(kind_is("request"), F.col("record"))).alias("request"),
+        F.min(F.when(~kind_is("request", "metadata"), F.col("record"))).alias("response"),
+        F.array_sort(F.collect_set(F.when(kind_is("metadata"), F.col("record")))).alias("metadata"),
     )
-    met = answers.join(others, "transaction", "left")
-    none = F.array().cast(met.schema["metadata"].dataType)
-    return met.select("transaction", "request", "response", F.coalesce("metadata", none).alias("metadata"))
+    return met.where(F.col("response").isNotNull()).select("transaction", "request", "response", "metadata")
+
+
+def kind_is(*kinds: str) -> Column:
+    return F.col("kind").isin(*kinds)
 
 
 def field(block: Column, name: str) -> Column:
@@ -220,18 +241,33 @@ def field(block: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
+def checked(found: DataFrame) -> DataFrame:
+    """Captures with payload_bytes and payload_digest (bare base32) of their payload, from the blocks that were read.
+
+    A revisit's are those of a response in ``found`` with the digest that the revisit states. The query
+    fails where a response's block is not what its header says, or a revisit's response is missing.
+    """
+    stated = F.regexp_replace(F.col("response.payload_digest"), "^sha1:", "")
+    visit = F.col("response.record_type") == "revisit"
+    read_here = found.where(~visit).select(F.col("response.block_digest").alias("_digest"), F.col("response.payload_bytes").alias("_bytes"))
+    once = stored(read_here.groupBy("_digest").agg(F.max("_bytes").alias("_bytes")))
+    met = found.withColumn("_stated", stated).join(once, (F.col("_digest") == F.col("_stated")), "left")
+    wrong = F.when(F.col("_digest").isNull() | (~visit & (F.col("response.block_digest") != F.col("_stated"))), F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("transaction"))))
+    digest = F.coalesce(wrong.cast("string"), F.col("_digest"))
+    return met.select(*found.columns, F.col("_bytes").alias("payload_bytes"), digest.alias("payload_digest"))
+
+
 def page_records(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """The pages written as archives to the shared folder, read back and assembled: one row per record of a page.
+    """The pages written as archives to the shared folder, read back and assembled: one row per row of ``df``.
 
-    Columns: key, payload_bytes, payload_digest, record_type, refers_to. Rows that repeat key, address and payload are
-    one transaction each with the same identifier, hence one row.
+    Columns: key, payload_bytes, payload_digest, record_type, refers_to. Size and digest are those of the payload in the archive. A row with a null
+    key is a response; so are all rows of the smallest key of a payload.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     write(df, path, key, url, html)
-    whole = captures(read(df.sparkSession, path, blocks=False))
+    whole = checked(stored(captures(read(df.sparkSession, path, blocks=False))))
     about = F.col("metadata")[0]["block"]
     return whole.select(
-        field(about, "key").cast("long").alias(key), field(about, "size").cast("long").alias("payload_bytes"),
-        F.regexp_replace(F.col("response.payload_digest"), "^sha1:", "").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
+        field(about, "key").cast("long").alias(key), "payload_bytes", "payload_digest", F.col("response.record_type").alias("record_type"),
         field(about, "refers-to-key").cast("long").alias("refers_to"),
     )
