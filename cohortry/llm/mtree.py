@@ -16,6 +16,7 @@ Bounds allow for rounding; scores are exact integers.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 
 from cohortry.session import stored
 
+_MOST = 2**63 - 1
+#: Longs of 60 bits that hold any product of vectors of finite components.
+_LIMBS = 6
 _RESULT = "query_id long, vec_id long, score long"
 
 
@@ -39,9 +43,14 @@ class Settings:
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component as long; null for a vector that is null, empty, or has a null or non-finite component."""
-    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when((F.size(vector) > 0) & good, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    """floor(scale * x) of each component as a double that holds the integer; null for a vector that is null, empty, or has a null or non-finite component."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) < 2.0**52, F.floor(scaled).cast("double")).otherwise(scaled)  # beyond that a double is whole
+
+    return F.when((F.size(vector) > 0) & good, F.transform(vector, whole))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -79,7 +88,7 @@ def _split(points: np.ndarray, rows: np.ndarray, most: int) -> list[np.ndarray]:
 def build(objects: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, dict]:
     """The written pages of an M-tree over (id, v) and what searches need of its top."""
     s = settings
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda total, x: total + x * x)
+    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
     facts = objects.agg(F.count("*").alias("n"), F.max(square).alias("most"), F.max(F.size("v")).alias("dim")).first()
     n, dim, most = facts["n"], facts["dim"] or 1, float(facts["most"] or 0)
     wanted = int(min(s.routers, max(1, -(-n // s.block))))
@@ -92,7 +101,7 @@ def build(objects: DataFrame, settings: Settings = Settings()) -> tuple[DataFram
                 far = _distances(_lifted(_matrix(batch.column(1), dim), most), routers)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far.argmin(axis=1), pa.int32())], names=["id", "v", "cell"])
 
-    placed = stored(objects.select("id", "v").mapInArrow(assign, "id long, v array<long>, cell int"))
+    placed = stored(objects.select("id", "v").mapInArrow(assign, "id long, v array<double>, cell int"))
     cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
     placed = placed.join(stored(cells), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
@@ -174,9 +183,10 @@ def _best_first(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, table:
 def _visit(pairs: DataFrame, pages: DataFrame, top: dict, s: Settings) -> DataFrame:
     """Candidates of (query, cell) pairs; a block and a bounded number of queries meet at a time."""
     blocks = stored(pages.select("cell", "block").distinct())
-    parts = max(1, -(-pairs.groupBy("cell").count().agg(F.max("count")).first()[0] // s.chunk)) if not pairs.isEmpty() else 1
-    asked = pairs.join(blocks, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    held = pages.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # pages are copied as often as their own cell's queries ask for; pages of cells without queries not at all
+    parts = stored(pairs.groupBy("cell").agg(F.ceil(F.count("*") / s.chunk).cast("int").alias("parts")))
+    asked = pairs.join(blocks, "cell").join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    held = pages.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64)] * 3
@@ -209,7 +219,44 @@ def _cells(queries: DataFrame, top: dict, nearest: bool) -> DataFrame:
                 row, cell = np.nonzero(chosen)
                 yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in part.columns], pa.array(cell, pa.int32())], names=["id", "v", "floor", "cell"])
 
-    return queries.select("id", "v", "floor").mapInArrow(run, "id long, v array<long>, floor double, cell int")
+    return queries.select("id", "v", "floor").mapInArrow(run, "id long, v array<double>, floor double, cell int")
+
+
+def _limbs(value: int) -> list[int]:
+    """An integer of any size as longs that compare as it does."""
+    return [value >> 60 * i & (1 << 60) - 1 if i < _LIMBS - 1 else value >> 60 * i for i in reversed(range(_LIMBS))]
+
+
+def _exact(rows: DataFrame, n: int, n_large: int, s: Settings) -> DataFrame:
+    """(query_id, vec_id, score, limbs): the k best of pairs with a vector of very large components, in exact integers.
+
+    Such vectors meet all rows in blocks of bounded size. A score beyond a long is given as the nearest long.
+    """
+    large = rows.where("large").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(-(-n_large // s.page))).cast("int"))
+    parts = max(1, -(-n // s.block))
+    large = large.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    every = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-n_large // s.page) - 1))))
+
+    def whole(table: pa.Table) -> np.ndarray:
+        return np.array([[int(x) for x in row] for row in table["v"].to_pylist()], object)
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            scores = whole(left) @ whole(right).T
+            a, b = left["id"].to_pylist(), right["id"].to_pylist()
+            asks, others = left["asks"].to_pylist(), [ask and not big for ask, big in zip(right["asks"].to_pylist(), right["large"].to_pylist(), strict=True)]
+            for queries, ids, asked, table in ((a, b, asks, scores), (b, a, others, scores.T)):
+                for query, ask, row in zip(queries, asked, table, strict=True):
+                    if ask:
+                        best = heapq.nsmallest(s.k, ((-score, vec) for score, vec in zip(row, ids, strict=True) if vec != query))
+                        found += [(query, vec, max(-_MOST - 1, min(_MOST, -score)), _limbs(-score)) for score, vec in best]
+        columns = list(zip(*found, strict=True)) if found else [()] * 4
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+        return pa.table([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score", "limbs"])
+
+    names = ["block", "part", "id", "v", "asks", "large"]
+    return large.select(*names).groupBy("block", "part").cogroup(every.select(*names).groupBy("block", "part")).applyInArrow(search, f"{_RESULT}, limbs array<long>")
 
 
 def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", scale: int = 64, settings: Settings = Settings()) -> DataFrame:
@@ -217,19 +264,29 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
 
     Vectors that are null or hold null or non-finite components take no part, nor do
     rows without key and vectors of another length than the most frequent one. A query is not compared with rows of its own key; a
-    repeated row counts once. Other columns play no part; an empty table gives an empty result.
+    repeated row counts once. Keys are integers. Components may be of any finite size: pairs with a vector whose products doubles
+    cannot add exactly are compared in blocks, in integers of any size. Other columns play no part; an empty table gives an empty result.
     """
     s = settings
     rows = vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = stored(rows.where("id is not null and v is not null").dropDuplicates(["id", "v"]))
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    rows = rows.where(F.size("v") == (length["d"] if length else 1))
-    pages, top = build(rows.select("id", "v"), s)
-    queries = rows.where("asks").select("id", "v", F.lit(float("-inf")).alias("floor"))
+    biggest = F.array_max(F.transform("v", F.abs))
+    rows = rows.where(F.size("v") == (length["d"] if length else 1)).withColumn("large", biggest * biggest * F.size("v") > 2.0**53)
+    n, n_large = rows.agg(F.count("*"), F.count_if("large")).first()
+    plain = rows.where("not large")
+    pages, top = build(plain.select("id", "v"), s)
+    queries = plain.where("asks").select("id", "v", F.lit(float("-inf")).alias("floor"))
     first = stored(_visit(stored(_cells(queries, top, True)), pages, top, s))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     floors = first.withColumn("place", place).where(F.col("place") == s.k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("known"))
     queries = queries.join(stored(floors), "id", "left").select("id", "v", F.coalesce("known", "floor").alias("floor"))
     second = stored(_visit(stored(_cells(queries, top, False)), pages, top, s))
-    found = first.unionByName(second).distinct().withColumn("rank", place).where(F.col("rank") <= s.k)
+    found = first.unionByName(second).distinct()
+    if n_large:
+        sign = F.when(F.col("score") < 0, -1).otherwise(0).cast("long")
+        found = found.withColumn("limbs", F.array(*[sign] * (_LIMBS - 2), F.shiftright("score", 60), F.col("score").bitwiseAND(F.lit((1 << 60) - 1))))
+        found = found.unionByName(_exact(rows, n, n_large, s)).distinct()
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("limbs"), "vec_id"))
+    found = found.withColumn("rank", place).where(F.col("rank") <= s.k)
     return found.select("query_id", "rank", "vec_id", "score")
