@@ -22,7 +22,6 @@ _NO_KEY = -(2**63)
 @dataclass(frozen=True)
 class Settings:
     min_sites: int = 5
-    min_chars: int = 1  # shorter lines are never boilerplate; 1 leaves out blank lines only
     sketch_bits: int = 12
 
     @property
@@ -32,16 +31,16 @@ class Settings:
 
 
 def _lines(df: DataFrame, *keys: str) -> DataFrame:
-    """Lines worth a look, by 96 hash bits of the line without blanks around it."""
+    """Lines that are not blank, by 96 hash bits of the line without blanks around it."""
     spread = df.select(*keys, F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn("line", F.trim("line"))
-    return spread.select(*keys, "place", F.char_length("line").alias("size"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    return spread.where(F.col("line") != "").select(*keys, "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
 def boilerplate(df: DataFrame, text: str = "text", site: str = "source", settings: Settings = Settings()) -> DataFrame:
     """The written hashes (h1, h2) of the lines with at least ``min_sites`` distinct sites; a null site is no site."""
     s = settings
     rows = df.select(F.col(text).alias("text"), F.col(site).cast("string").alias("site")).where("site is not null")
-    lines = _lines(rows, "site").where(F.col("size") >= s.min_chars).select("h1", "h2", "site")
+    lines = _lines(rows, "site").select("h1", "h2", "site")
     sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", s.sketch_bits)).alias("sites"))
     # far below the threshold nothing has to be written
     sketched = stored(sketched.where(F.col("sites") >= s.min_sites * (1 - s.margin) - 1))
@@ -54,19 +53,22 @@ def boilerplate(df: DataFrame, text: str = "text", site: str = "source", setting
 def clean(df: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", settings: Settings = Settings()) -> DataFrame:
     """``df`` with its boilerplate lines taken out of the text, n_lines (before) and n_removed.
 
-    Lines end at a line feed; those kept stay as they are. A null text stays null with no lines, an empty
+    Lines end at a line feed; a carriage return before it is part of the line. Blanks (not tabs) around a line do not count, lines
+    of blanks alone are never boilerplate, and lines kept stay as they are. A null text stays null with no lines, an empty
     text has one empty line. Rows without a site are cleaned but add no
     site. Repeated rows count their site once. Columns named n_lines or n_removed give way. An empty table stays empty.
     """
     doc = F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY))
     rows = df.select(doc.alias("doc"), F.xxhash64(F.col(text)).alias("sum"), F.col(text).alias("text"))
-    gone = _lines(rows, "doc", "sum").where(F.col("size") >= settings.min_chars).join(boilerplate(df, text, site, settings), ["h1", "h2"], "left_semi")
+    gone = _lines(rows, "doc", "sum").join(boilerplate(df, text, site, settings), ["h1", "h2"], "left_semi")
     gone = gone.groupBy(F.col("doc").alias("_doc"), F.col("sum").alias("_sum")).agg(F.collect_set("place").alias("_gone"))
     kept = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed")]
     side = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)], doc.alias("_doc"), F.xxhash64(F.col(text)).alias("_sum"), F.col(text).alias("_text"))
     met = side.join(stored(gone), ["_doc", "_sum"], "left")
     lines = F.split("_text", "\n")
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    # a set difference of places: the work grows with the lines, not with lines times removed ones
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    left = F.array_join(F.transform(places, lambda i: lines[i]), "\n")
     cleaned = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(left)
     names = {text: cleaned}
     return met.select(

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -298,43 +298,49 @@ def _rooted(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
     return stored(found.join(mixed, "bucket")), classes
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(key, class_id, class_size) of every row: texts linked, directly or in steps, by a similarity of at least the threshold.
+def _numbered(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """Rows under numbers of their own (id), as a written table: read again, a row has the same number."""
+    return stored(df.select(F.monotonically_increasing_id().alias("id"), *columns))
 
-    ``class_id`` is the smallest key of the class. Texts of equal words (case of A
-    to Z and punctuation aside) are one class. A text without words, null or
-    empty, is a class of its own; so is any text without a near copy. Rows with a
-    null key each get class null. Rows of the same key count as one text (repeated rows) and
-    keep their number; if their texts differ, they are in one class. A text of fewer words than a shingle is
-    one shingle. Other columns play no part. An empty table gives an empty result.
-    """
-    s = settings
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stored(sign(docs, "text", s, ["id"]).where(F.col("id").isNotNull()))
+
+def _roots(docs: DataFrame, s: Settings) -> DataFrame:
+    """(id, root) of the rows of a written table (id, text) that are linked to another row, as a written table; root is the smallest id."""
+    signed = stored(sign(docs, "text", s, ["id"]))
     words = signed.where(F.col("digest").isNotNull())
     firsts = stored(words.groupBy("digest").agg(F.min("id").alias("first")))
-    equal = words.select("id", "digest").join(firsts, "digest").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    equal = stored(equal)
-    # one row per class of equal words; a key with several texts sends each of them
-    single = stored(words.join(firsts, ["digest"]).where(F.col("id") == F.col("first")).dropDuplicates(["id", "digest"]).select("id", "bands", "short"))
+    equal = stored(words.select("id", "digest").join(firsts, "digest").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    # one row per class of equal words
+    single = stored(words.join(firsts, ["digest"]).where(F.col("id") == F.col("first")).select("id", "bands", "short"))
     bands = single.select("id", F.explode("bands").alias("bucket")).distinct()
     full = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = bands.join(stored(full), "bucket")
     share = stored(members.groupBy("id").agg(F.sum("n").alias("shared")))
     members = stored(members.join(share, "id").select("bucket", "id", "shared"))
     # The texts of those that share a bucket with another: read once, and all that later joins shuffle.
-    texts = stored(docs.where(F.col("id").isNotNull()).join(share.select("id"), "id", "left_semi").dropDuplicates(["id", "text"]))
+    texts = stored(docs.select("id", "text").join(share.select("id"), "id", "left_semi"))
     links = stored(_verified(_star_pairs(members, s), texts, s))
     rest, found = _rooted(members, links)
     links = stored(links.unionByName(_second_star(rest, texts, s)))
     rest, found = _rooted(rest.select("bucket", "id", "shared"), links)
     links = stored(links.unionByName(_verified(_rest_pairs(rest, single.select("id", "bands", "short"), s), texts, s)))
     # Both kinds of link together: rows of equal words hang on the row that was compared.
-    roots = stored(components(links.unionByName(equal)))
-    out = docs.select("id").join(roots, "id", "left").withColumn("class_id", F.coalesce("root", "id"))
-    out = stored(out.select("id", "class_id"))
-    sizes = stored(out.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("class_size")))
-    return out.join(sizes, "class_id", "left").select(F.col("id").alias(key), "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return stored(components(links.unionByName(equal)))
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """(key, class_id, class_size) of every row: texts linked, directly or in steps, by a similarity of at least the threshold.
+
+    ``class_id`` is the smallest key of the class, of whatever type keys are; null keys come last. Texts of equal words (case of A
+    to Z and punctuation aside) are one class. A text without words, null or
+    empty, is a class of its own; so is any text without a near copy, and a class of null keys alone has the class id null. Rows of one key are
+    rows like any other: if their texts differ, they need not be in one class. A text of fewer words than a shingle is
+    one shingle. Other columns play no part. An empty table gives an empty result.
+    """
+    docs = _numbered(df, [F.col(key).alias("key"), F.col(text).alias("text")])
+    roots = _roots(docs, settings)
+    out = stored(docs.select("id", "key").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("root")))
+    sizes = stored(out.groupBy("root").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size")))
+    return out.join(sizes, "root").select(F.col("key").alias(key), "class_id", "class_size")
 
 
 def _second_star(rest: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -345,10 +351,14 @@ def _second_star(rest: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 
 def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """``df`` with one row of each class: a row of the smallest key. All columns stay; rows with a null key all stay."""
-    found = stored(classes(df, key, text, settings))
-    gone = found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
-    kept = df.join(gone, df[key] == F.col("_gone"), "left_anti")
-    names = [c for c in kept.columns]
-    once = kept.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return once.select(*names).unionByName(kept.where(F.col(key).isNull()).select(*names))
+    """``df`` with one row of each class: a row of the smallest key, null keys last, and of those the row read first.
+
+    All columns stay, whatever their names. Rows of one key with different texts are told apart; rows with a null or empty text all stay.
+    """
+    docs = _numbered(df, [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    at = {c: F.col(f"c{i}") for i, c in enumerate(df.columns)}
+    roots = _roots(docs.select("id", at[text].alias("text")), settings)
+    held = docs.select("id", at[key].alias("key")).join(roots, "id").select("root", "key", "id")
+    best = held.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "id")).alias("best")).select("root", F.col("best.id").alias("best"))
+    gone = stored(held.join(best, "root").where("id != best").select("id"))
+    return docs.join(gone, "id", "left_anti").drop("id").toDF(*df.columns)

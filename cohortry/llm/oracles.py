@@ -88,11 +88,14 @@ reach(doc_id, node) as (
 select doc_id, class_id, count(*) over (partition by class_id) as class_size from found
 """
 
+# a shingle that occurs three times counts as three: g#1, g#2, g#3
+NEARDUP_WEIGHTED = NEARDUP.replace("sets as (select distinct doc_id, g from grams)", "sets as (select doc_id, g || '#' || row_number() over (partition by doc_id, g) as g from grams)")
+
 LINEDEDUP = """
 with lines as (
     select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from documents
 ), shared as (
-    select trim(line, ' ') as line from lines where length(trim(line, ' ')) >= 20 group by 1 having count(distinct source) >= 5
+    select trim(line, ' ') as line from lines where trim(line, ' ') <> '' group by 1 having count(distinct source) >= 5
 ), kept as (
     select doc_id, count(*) as n_lines, count(shared.line) as n_removed,
         coalesce(string_agg(lines.line, chr(10) order by place) filter (shared.line is null), '') as text
@@ -198,6 +201,7 @@ ORACLES = {
     "op2_warc": WARC,
     "op3_mixing": MIXING,
     "op4_neardup": NEARDUP,
+    "neardup_weighted": NEARDUP_WEIGHTED,
     "op5_linededup": LINEDEDUP,
     "op8_topk": TOPK,
     "op6_decontaminate": DECONTAMINATE,

@@ -55,10 +55,13 @@ def op4_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(table(spark, folder, "documents"))
 
 
+def neardup_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """As op4_neardup with every shingle weighing as often as it occurs."""
+    return neardup.classes(table(spark, folder, "documents"), settings=neardup.Settings(weighted=True))
+
+
 def op5_linededup(spark: SparkSession, folder: str) -> DataFrame:
-    # its SQL looks at lines of 20 characters or more only
-    settings = linededup.Settings(min_chars=20)
-    cleaned = linededup.clean(table(spark, folder, "documents").select("doc_id", "text", "source"), settings=settings)
+    cleaned = linededup.clean(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
@@ -109,6 +112,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_neardup": op4_neardup,
+    "neardup_weighted": neardup_weighted,
     "op5_linededup": op5_linededup,
     "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,

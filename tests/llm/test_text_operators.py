@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import math
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -122,9 +125,13 @@ def test_near_copies_found_and_others_left(spark, odd, none):
     assert jaccard(texts[0], texts[2]) >= 0.8
     assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
     odds = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(odd).collect()), key=repr)
-    assert (0, 0, 1) in odds and (1, 1, 1) in odds and (4, 3, 2) in odds and (7, 6, 2) in odds and (None, None, 1) in odds and odds.count((5, 5, 3)) == 3
+    assert (0, 0, 1) in odds and (1, 1, 1) in odds and (4, 3, 2) in odds and (7, 6, 2) in odds and (None, None, 1) in odds and len(odds) == odd.count() and odds.count((5, 5, 3)) == 3
     assert neardup.classes(none).count() == 0
     assert neardup.distinct(odd).columns == odd.columns
+    rows = [("k1", " ".join(base), 1), ("k1", " ".join(base[::-1]), 2), ("k0", " ".join([*base[:-1], "x"]), 3), (None, " ".join(base), 4), (None, "own", 5)]
+    named = spark.createDataFrame(rows, "doc_id string, text string, _gone int")
+    assert sorted(r["_gone"] for r in neardup.distinct(named).collect()) == [2, 3, 5]
+    assert sorted(((r["doc_id"], r["class_id"]) for r in neardup.classes(named).collect()), key=repr) == sorted([("k1", "k0"), ("k1", "k1"), ("k0", "k0"), (None, "k0"), (None, None)], key=repr)
     assert sorted(r["doc_id"] for r in neardup.distinct(odd).where("doc_id is not null").collect()) == [0, 1, 2, 3, 5, 6, 8]
 
 
@@ -210,7 +217,9 @@ def test_archives_hold_anything(spark, tmp_path):
     tricky = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "http://a", "x" * 3_000_000), (2, "http://b", tricky), (3, None, None), (4, "http://c\r\nX: 1", ""), (5, "http://d", tricky), (5, "http://d", tricky)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    found = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.page_records(df).collect()}
+    rows = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.page_records(df).collect()]
+    assert len(rows) == df.count()
+    found = {r[0]: r[1:] for r in rows}
     digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
     assert found == {
         1: (3_000_000, digest("x" * 3_000_000), "response", None), 2: (len(tricky), digest(tricky), "response", None), 3: (0, digest(""), "response", None),
@@ -223,6 +232,35 @@ def test_archives_hold_anything(spark, tmp_path):
     assert warc.page_records(df.where("false")).count() == 0
 
 
+def test_one_record_per_page(spark):
+    rows = [(1, "http://a", "x"), (1, "http://b", "x"), (None, "http://c", None), (None, "http://d", None), (2, "http://e", "x"), (2, "http://e", "x"), (2, "http://e", "x"), (3, "http://f", ""), (4, "http://f", "")]
+    found = warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in found.collect()), key=repr) == sorted(
+        [(1, 1, "response", None)] * 2 + [(None, 0, "response", None)] * 2 + [(2, 1, "revisit", 1)] * 3 + [(3, 0, "response", None), (4, 0, "revisit", 3)], key=repr
+    )
+
+
+def test_changed_payload_is_noticed(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a", "first page"), (2, "http://b", "first page")], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write(df, path, "page_id", "url", "html")
+    good = warc.checked(warc.captures(warc.read(spark, path))).collect()
+    assert {(r["payload_bytes"], r["payload_digest"]) for r in good} == {(10, base64.b32encode(hashlib.sha1(b"first page").digest()).decode())}
+    (tmp_path / "bad").mkdir()
+    for i, file in enumerate(sorted((tmp_path / "w").glob("*.gz"))):
+        (tmp_path / "bad" / f"{i}.warc").write_bytes(gzip.decompress(file.read_bytes()).replace(b"first page", b"first pagE"))
+    with pytest.raises(Exception, match="payload differs from its digest"):
+        warc.checked(warc.captures(warc.read(spark, str(tmp_path / "bad")))).collect()
+
+
+def test_archive_of_many_members():
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    content = gzip.compress(record) * 100_000
+    began = time.process_time()
+    assert sum(block == b"body" for _, block in warc.parse(content)) == 100_000
+    assert time.process_time() - began < 30
+
+
 def test_top_k_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 9.0]), (3, None), (4, [1.0, None]), (5, [nan, 1.0]), (6, [1.0]), (7, [0.5, 0.0]), (7, [0.5, 0.0]), (20, [-1.0, 0.0]), (None, [1.0, 1.0])]
@@ -232,6 +270,21 @@ def test_top_k_odd_vectors(spark):
     assert mtree.top_k(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_with_very_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(4).astype(np.float32).astype(float).tolist()) for i in range(90)]
+    rows += [(100, [1e9, 0.0, 0.0, 0.0]), (101, [1e9, 1.0, 0.0, 0.0]), (120, [3e38, -3e38, 0.0, 1.0]), (121, [-3e38] * 4), (140, [1e9, 1e9, 1e9, 1e9])]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in mtree.top_k(df, F.col("vec_id") % 20 == 0, settings=mtree.Settings(k=7, block=30, page=4)).collect()}
+    ints = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = {}
+    for q in (i for i in ints if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:7]
+        want |= {(q, n + 1): (i, max(-(2**63), min(2**63 - 1, -score))) for n, (score, i) in enumerate(best)}
+    assert got == want
+
+
 def test_top_k_over_many_pages(spark):
     random = np.random.default_rng(0)
     data = (random.standard_normal((3000, 8)) + 3 * random.standard_normal((10, 8))[random.integers(0, 10, 3000)]).astype(np.float32)
