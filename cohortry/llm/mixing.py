@@ -125,7 +125,7 @@ def shares(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Column | None = None, budget: float = 1.0, seed: str = "mix") -> DataFrame:
     """The rows of the mix, with the columns of ``df``: a row taken twice stands twice, one not taken is left out.
 
-    Of rows with equal key and text any of the row's versions may be the one repeated. See ``shares`` for everything else.
+    Of rows with equal key and text those of the smallest hash over all columns are the ones repeated. See ``shares`` for everything else.
     """
     doc = F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY))
     taken = shares(df, key, text, source, weights, budget, seed).groupBy(doc.alias("_doc"), F.col("sum").alias("_sum"))
@@ -133,7 +133,8 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     names = df.columns
     side = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], doc.alias("_doc"), F.xxhash64(F.col(text)).alias("_sum"))
     met = side.join(taken, ["_doc", "_sum"])
-    place = F.row_number().over(Window.partitionBy("_doc", "_sum").orderBy("_rows"))
+    version = F.xxhash64(*[F.to_json(F.struct(f"_c{i}")) if "map<" in df.schema[c].dataType.simpleString() else F.col(f"_c{i}") for i, c in enumerate(names)])
+    place = F.row_number().over(Window.partitionBy("_doc", "_sum").orderBy(version))
     times = F.floor(F.col("_copies") / F.col("_rows")) + (place <= F.col("_copies") % F.col("_rows")).cast("long")
     repeated = met.withColumn("_times", times).where("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
     return repeated.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

@@ -41,3 +41,25 @@ def test_stages(spark):
     assert max(size.values()) <= 3 and set(size) <= kept
     last = stages["sharding"](spark, mix, folder)
     assert last.count() == mix.count() and set(names) < set(last.columns)
+
+
+def test_stages_on_odd_rows(spark):
+    """Null, empty, very long and repeated texts, one key with two texts, a null key, and names that operators use."""
+    folder = "/root/testdata/sf0.001"
+    prose = " ".join(f"word{i}" for i in range(80))
+    long = " ".join(f"w{i % 5000}" for i in range(40_000))
+    texts = [(1, None), (2, ""), (3, prose), (3, prose), (3, prose[::-1]), (4, prose + " more"), (5, long), (None, prose), (6, "short")]
+    rows = [(i, t, "en", None if n == 2 else "s", 1, float(n), "x", n, "b", 5) for n, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, _gone string, contaminated int, shard string, c0 int")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, docs.where("false")):
+            found = stage(spark, given, folder)
+            assert name == "sharding" or found.columns == docs.columns
+            seen[name] = found.select("doc_id", "text", *["contaminated"] * (name != "sharding")).collect()
+            assert given is docs or not seen[name]
+            if given is docs:
+                kept = seen[name]
+                assert name in ("toxicity", "near duplicates", "mixing") or len(kept) == len(rows), name
+                if name == "near duplicates":
+                    assert sorted(r["contaminated"] for r in kept) in ([0, 1, n, 4, 6, 8] for n in (2, 3))
