@@ -14,21 +14,29 @@ from cohortry.llm import decontaminate, mixing, neardup, queries, sharding, toxi
 from cohortry.session import stored
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator gives to a column of its own, and those names."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the cut."""
-    scored = toxicity.score(docs, queries.toxicity_model(spark, sf_dir), out="_toxicity")
-    return scored.where(F.col("_toxicity") < queries.CUT).select(*docs.columns)
+    plain, names = _renamed(docs)
+    scored = toxicity.score(plain, queries.toxicity_model(spark, sf_dir), text=names["text"])
+    return scored.where(F.col("score") < queries.CUT).drop("score").toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest id."""
-    return neardup.distinct(docs).select(*docs.columns)
+    return neardup.distinct(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.report(docs, queries.table(spark, sf_dir, "benchmark"), window=queries.WINDOW)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    plain, names = _renamed(docs)
+    found = decontaminate.report(plain, queries.table(spark, sf_dir, "benchmark"), names["doc_id"], names["text"], window=queries.WINDOW)
+    return found.where(~F.col("contaminated")).select(*plain.columns).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
