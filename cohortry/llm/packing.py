@@ -15,6 +15,7 @@ runs of these numbers which sequences they fill.
 from __future__ import annotations
 
 import bisect
+import gc
 import os
 import re
 from collections import defaultdict
@@ -34,6 +35,11 @@ from cohortry.session import stored
 _BLANK = re.compile(r"[ \t\n\r]+")
 # No token of the tokenizer spans a change between ASCII letters and other ASCII characters, but for an apostrophe before letters.
 _CHANGE = re.compile(r"(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-z])")
+# Texts of Latin letters, and of characters that are neither letters nor numbers nor marks, or ASCII digits, are parted into their runs at once.
+_LETTER = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+_OTHER = r"!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞"
+_LATIN = re.compile(rf"[{_LETTER}{_OTHER}0-9 \t\n\r]*")
+_RUN = re.compile(rf"[{_LETTER}]+|[0-9]|[{_OTHER}]+(?:(?<=')[{_LETTER}]+)?")
 # Controls that str.split takes for blanks and the tokenizer does not.
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -76,7 +82,14 @@ class Words:
             plain = word.lower() if word.isascii() else word
             parts[word] = [plain] if plain.isalpha() else _CHANGE.split(plain)
         parts |= {word: [word] for word in special}
-        new = [run for run in {run for runs in parts.values() for run in runs}.difference(self.runs) if run]
+        self._learn_runs({run for runs in parts.values() for run in runs})
+        self.runs[""] = b""
+        for word, runs in parts.items():
+            self.known[word] = self.runs[runs[0]] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))
+
+    def _learn_runs(self, runs: set[str]) -> None:
+        """Puts the ids of runs that are not known yet into ``runs``."""
+        new = [run for run in runs.difference(self.runs) if run]
         for first in range(0, len(new), 256):
             some = new[first : first + 256]
             found = self.encode(" ".join(some), add_special_tokens=False)
@@ -86,9 +99,6 @@ class Words:
             for run, end in zip(some, cuts.tolist(), strict=True):
                 self.runs[run] = ids[begin:end]
                 begin = end
-        self.runs[""] = b""
-        for word, runs in parts.items():
-            self.known[word] = self.runs[runs[0]] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))
 
     def segments(self, text: str) -> Iterator[str]:
         """The text in parts that end at a blank; a single longer word is a part of its own."""
@@ -108,26 +118,36 @@ class Words:
         out: list[list[bytes]] = [[] for _ in texts]
         first = 0
         while first < len(segments):
-            last, size, split, different = first, 0, [], set()
+            last, size, split, words, runs = first, 0, [], set(), set()
             while last < len(segments) and (last == first or size + len(segments[last][1]) <= self.settings.segment):
                 segment = segments[last][1]
-                split.append(_BLANK.split(segment) if _CONTROLS.search(segment) else segment.split())
-                different.update(split[-1])
+                if _LATIN.fullmatch(segment) and not self._special.search(segment):
+                    split.append((self.runs, _RUN.findall(segment.lower())))
+                    runs.update(split[-1][1])
+                else:
+                    split.append((self.known, _BLANK.split(segment) if _CONTROLS.search(segment) else segment.split()))
+                    words.update(split[-1][1])
                 last, size = last + 1, size + len(segment)
-            if len(self.known) + len(different) > self.settings.known_words:
+            if len(self.known) + len(self.runs) + len(words) + len(runs) > self.settings.known_words:
                 self.known.clear()
                 self.runs.clear()
-            self._learn(list(different.difference(self.known)))
-            for (i, _), words in zip(segments[first:last], split, strict=True):
-                out[i].append(b"".join(map(self.known.__getitem__, words)))
+            self._learn_runs(runs)
+            self._learn(list(words.difference(self.known)))
+            for (i, _), (known, found) in zip(segments[first:last], split, strict=True):
+                out[i].append(b"".join(map(known.__getitem__, found)))
             first = last
         return [found[0] if len(found) == 1 else b"".join(found) for found in out]
 
 
 def id_lists(words: Words, texts: pa.Array) -> Iterator[bytes]:
-    """The ids of each text of a column, a few texts at a time."""
-    for first in range(0, len(texts), 64):
-        yield from words.ids([text or "" for text in texts.slice(first, 64).to_pylist()])
+    """The ids of each text of a column, a few texts at a time, so that their words are still at hand when they are joined."""
+    for first in range(0, len(texts), 8):
+        gc.disable()  # lists of many words, none of them in a cycle
+        try:
+            found = words.ids([text or "" for text in texts.slice(first, 8).to_pylist()])
+        finally:
+            gc.enable()
+        yield from found
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:

@@ -59,6 +59,8 @@ def test_ids_of_words_and_runs_are_those_of_the_text():
     odd += [f"A{c}b{c}" for c in map(chr, range(0x110000)) if c.isspace()]
     rng = random.Random(9)
     odd += ["".join(rng.choice("aB'.<|>1 ́é\n\x1fſİΣ日") for _ in range(60)) for _ in range(300)]
+    letters = [chr(c) for c in range(0x180)] + [chr(c) for c in range(0x2010, 0x205F)] + ["'s", "'ll", "'", " "]
+    odd += ["".join(rng.choice(letters) for _ in range(50)) for _ in range(2000)] + [f"a{c}b {c} 'S{c}x'" for c in letters]
     words = packing.Words(packing.Settings(segment=25, known_words=40))
     for text, found in zip(odd, words.ids(odd), strict=True):
         assert np.frombuffer(found, "<u4").tolist() == plain_ids(text)[:-1], repr(text)
