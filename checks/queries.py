@@ -465,7 +465,7 @@ def lineage_edges(spark, folder):
 
 @query
 def lineage_ancestors(spark, folder):
-    edges = stored(lineage.build_edges(given.module_configs(spark, folder)))
+    edges = lineage.searchable(lineage.build_edges(given.module_configs(spark, folder)))
     return lineage.ancestors(edges, given.lineage_key(spark, folder))
 
 
@@ -488,13 +488,13 @@ def lineage_roundtrip(spark, folder):
     nodes, edges = lineage.deserialised(stored(rows[0]), stored(rows[1]))
     modules, data = lineage.split_nodes(nodes)
     marked = modules.withColumn("is_module", F.lit(True)).unionByName(data.withColumn("is_module", F.lit(False)))
-    both = marked.unionByName(
-        edges.select(F.concat("node_from", "node_to").alias("node_name"), F.lit("edge").alias("node_type"), F.lit("").alias("summary"), F.lit(False).alias("is_module"))
-    )
-    return both.groupBy("is_module", "node_type").agg(
-        F.count("*").alias("n"),
-        F.sum(F.length("node_name")).alias("name_length"),
-        F.sum(F.length("summary")).alias("summary_length"),
+    rows = marked.select("is_module", "node_type", F.array("node_name", "node_type", "summary").alias("row"))
+    ends = edges.select(F.lit(False).alias("is_module"), F.lit("edge").alias("node_type"), F.array("node_from", "node_to").alias("row"))
+    # sums of hashes of whole rows: the same for the same rows in any order, and for no others
+    digest = F.md5(F.array_join("row", "|", "-"))
+    halves = [F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9)]
+    return rows.unionByName(ends).groupBy("is_module", "node_type").agg(
+        F.count("*").alias("n"), F.sum(halves[0]).alias("first_sum"), F.sum(halves[1]).alias("second_sum")
     )
 
 

@@ -576,11 +576,11 @@ def oracle() -> dict[str, str]:
         , kept as (select node_from, node_to from edges where node_from in (select node_name from above) and node_to in (select node_name from above))
         select k.node_from, f.node_type as type_from, k.node_to, t.node_type as type_to
         from kept k join nodes f on f.node_name = k.node_from join nodes t on t.node_name = k.node_to"""
+    halves = ", ".join(f"cast(sum(('0x' || substr(md5(row), {at}, 8))::bigint) as bigint) as {name}_sum" for at, name in ((1, "first"), (9, "second")))
     sql["lineage_roundtrip"] = (
-        "with " + GRAPH.rstrip().rstrip(",") + """ select node_type = 'module' as is_module, node_type, count(*) as n,
-        cast(sum(length(node_name)) as bigint) as name_length, cast(sum(length(summary)) as bigint) as summary_length
-        from nodes group by node_type
-        union all select false, 'edge', count(*), cast(sum(length(node_from) + length(node_to)) as bigint), 0 from edges"""
+        "with " + GRAPH.rstrip().rstrip(",") + f""" select is_module, node_type, count(*) as n, {halves} from (
+          select node_type = 'module' as is_module, node_type, node_name || '|' || node_type || '|' || summary as row from nodes
+          union all select false, 'edge', node_from || '|' || node_to from edges) group by is_module, node_type"""
     )
     sql["log_errors"] = "with " + LOGS + " select value from log where contains(value, 'ERROR')"
     sql["log_fields"] = "with " + LOGS + """ select split_part(value, ' - ', 2) as logger, split_part(value, ' - ', 3) as level,

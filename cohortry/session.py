@@ -40,6 +40,33 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote to the shared folder."""
+    if not path.startswith(shared_folder(spark)):
+        raise ValueError(f"not in the shared folder: {path}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` as a written table in buckets by ``keys``, each sorted by them.
+
+    A join by the keys neither shuffles nor sorts it, and a filter by single values of one key reads
+    the buckets of these values only. There are as many buckets as shuffle partitions. The files stay in the shared
+    folder; the table's name is gone from the catalog when this returns.
+    """
+    spark = df.sparkSession
+    name, path = f"bucketed_{uuid.uuid4().hex}", f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out first, so that each bucket is one file
+    dealt = df.repartition(count, *keys)
+    dealt.write.bucketBy(count, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    made = spark.table(name)
+    made.schema  # resolved while the name is there
+    spark.sql(f"drop table {name}")  # of an external table only the name goes
+    return made
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan dealt out to all cores when the scan has fewer tasks than there are cores.
 
