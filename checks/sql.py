@@ -203,7 +203,7 @@ def table4_fit(more_than: int = 30) -> str:
     return scoped(" " + " union all ".join(parts))
 
 
-NEWTON_STEPS = 9
+NEWTON_STEPS = 10
 
 
 def newton(cases: str, terms: list[str], *parts: str) -> str:
@@ -211,28 +211,34 @@ def newton(cases: str, terms: list[str], *parts: str) -> str:
 
     ``cases`` names a table ``stratum, target, pid, n, y`` of covariate patterns and
     ``ones`` a table ``stratum, target, pid, term`` of the terms a pattern has.
-    Each Newton step sums the information matrix and solves it by Gauss-Jordan
-    elimination, one pivot term after the other. Terms all or none of whose
-    subjects have the outcome are set to infinity and their patterns left out.
+    Directions of -1, 0 and 1 that no pattern without or full of events speaks against are found by trying all of them:
+    patterns that one of them moves are decided and left out, terms that they move have no finite estimate. Each Newton step
+    on the rest sums the information matrix and solves it by Gauss-Jordan
+    elimination, one pivot term after the other, leaving out terms that the pivots before them make up.
     """
     key = "stratum, target"
+    k = range(len(terms))
+    dot = " + ".join(f"x{i} * d{i}" for i in k)
+    flags = ", ".join(f"max(cast(term = '{term}' as integer)) as x{i}" for i, term in enumerate(terms))
+    xs, ds = ", ".join(f"x{i}" for i in k), ", ".join(f"d{i}" for i in k)
+    free_dims = " and ".join(f"(h{i} = 1 or d{i} = 0)" for i in k)
     ctes = list(parts)
+    ctes.append(f"vectors as materialized (select {key}, pid, n, y, {flags} from ones join {cases} using ({key}, pid) group by {key}, pid, n, y)")
+    ctes.append(f"merged as materialized (select {key}, {xs}, sum(n) as n, sum(y) as y from vectors group by {key}, {xs})")
+    ctes.append(f"has as (select {key}, {', '.join(f'max(x{i}) as h{i}' for i in k)} from merged group by {key})")
+    ctes.append("dirs as materialized (select * from " + ", ".join(f"(values (-1), (0), (1)) t{i}(d{i})" for i in k) + ")")
     ctes.append(
-        f"""term_sums as materialized (select {key}, term, sum(n) as subjects, sum(y) as events
-        from ones join {cases} using ({key}, pid) group by {key}, term)"""
+        f"""growing as materialized (select {key}, {ds} from merged join has using ({key}), dirs where {free_dims} group by {key}, {ds}
+        having bool_and(case when y = 0 then {dot} <= 0 when y = n then {dot} >= 0 else {dot} = 0 end))"""
     )
+    ctes.append(f"decided as materialized (select distinct {key}, {xs} from merged join growing using ({key}) where {dot} <> 0)")
     ctes.append(
-        f"""pinned as materialized (select *, case when events = 0 then -1 else 1 end as sign from term_sums
-        where term <> 'intercept' and (events = 0 or events = subjects))"""
-    )
-    ctes.append(
-        f"""live as materialized (select c.* from {cases} c where not exists (select 1 from ones o join pinned p using ({key}, term)
-        where o.stratum = c.stratum and o.target = c.target and o.pid = c.pid))"""
-    )
-    ctes.append(
-        f"""used as materialized (select distinct {key}, o.pid, o.term from ones o join live using ({key}, pid)
-        where not exists (select 1 from pinned p where p.stratum = o.stratum and p.target = o.target and p.term = o.term))"""
+        "moved as materialized ("
+        + " union all ".join(f"select {key}, '{term}' as term, bool_or(d{i} > 0) as up, bool_or(d{i} < 0) as down from growing group by {key}" for i, term in enumerate(terms))
+        + ")"
     )
+    ctes.append(f"live as materialized (select v.* from vectors v where not exists (select 1 from decided d where d.stratum = v.stratum and d.target = v.target and {' and '.join(f'd.x{i} = v.x{i}' for i in k)}))")
+    ctes.append(f"used as materialized (select distinct {key}, o.pid, o.term from ones o join live using ({key}, pid))")
     ctes.append(f"free as materialized (select distinct {key}, term from used)")
     ctes.append(f"b0 as materialized (select {key}, term, cast(0 as double) as b from free)")
     for step in range(NEWTON_STEPS):
@@ -258,29 +264,40 @@ def newton(cases: str, terms: list[str], *parts: str) -> str:
         for k, term in enumerate(terms):
             ctes.append(
                 f"""m{step}_{k + 1} as (select {key}, i, j,
-                case when centre is null then v when i = '{term}' then v / centre else v - across * down / centre end as v
+                case when centre is null or abs(centre) < 1e-9 then v when i = '{term}' then v / centre else v - across * down / centre end as v
                 from (select *, max(case when i = '{term}' and j = '{term}' then v end) over (partition by {key}) as centre,
                       max(case when j = '{term}' then v end) over (partition by {key}, i) as across,
                       max(case when i = '{term}' then v end) over (partition by {key}, j) as down from m{step}_{k}))"""
             )
         ctes.append(f"s{step} as materialized (select * from m{step}_{len(terms)})")
         ctes.append(
-            f"""b{step + 1} as materialized (select {key}, term, b + v as b from b{step}
-            join s{step} s using ({key}) where s.i = term and s.j = '=')"""
+            f"""b{step + 1} as materialized (select {key}, term, b + case when p.v > 0.5 then s.v else 0 end as b from b{step}
+            join s{step} s using ({key}) join s{step} p using ({key}) where s.i = term and s.j = '=' and p.i = term and p.j = term)"""
         )
     final = NEWTON_STEPS
+    ctes.append(f"made_up as (select {key}, i as term from s{final - 1} where i = j and v < 0.5)")
+    ctes.append(
+        f"""loose as (select distinct {key}, s.i as term from s{final - 1} s join made_up m using ({key}) where s.j = m.term and (s.i = m.term or abs(s.v) > 1e-9))"""
+    )
     ctes.append(
-        f"""fitted as (select {key}, term, b as beta, sqrt(v) as se from b{final} join s{final - 1} s using ({key})
-        where s.i = term and s.j = '+' || term
-        union all select {key}, term, sign * 'infinity'::double, 'infinity'::double from pinned)"""
+        f"""fitted as (select o.stratum, o.target, o.term,
+        case when d.stratum is null and l.stratum is not null then null
+             when coalesce(up, false) and coalesce(down, false) then null when up then 'infinity'::double when down then '-infinity'::double
+             when own.term is null then null else b end as beta,
+        case when up or down then 'infinity'::double else sqrt(v) end as se,
+        case when d.stratum is not null then 'separated' when l.stratum is not null then 'singular' else 'ok' end as status
+        from (select distinct {key}, term from ones) o left join b{final} b using ({key}, term)
+        left join (select {key}, i as term, v from s{final - 1} where j = '+' || i) using ({key}, term)
+        left join moved using ({key}, term)
+        left join (select distinct {key}, term from free except select {key}, term from loose) own using ({key}, term)
+        left join (select distinct {key} from decided) d using ({key}) left join (select distinct {key} from made_up) l using ({key}))"""
     )
     ctes.append(f"sizes as (select {key}, cast(sum(n) as bigint) as n from {cases} group by {key})")
     return scoped(
-        f""" select {key}, term, round(beta, 6) as beta, round(se, 6) as se,
+        f""" select {key}, term, round(beta, 6) as beta, case when beta is not null then round(se, 6) end as se,
         case when isinf(beta) then case when beta > 0 then beta else 0 end else round(exp(beta), 6) end as or_,
         case when isinf(beta) then 0 else round(exp(beta - {Z} * se), 6) end as lo,
-        case when isinf(beta) then 'infinity'::double else round(exp(beta + {Z} * se), 6) end as hi, n,
-        case when exists (select 1 from pinned p where p.stratum = f.stratum and p.target = f.target) then 'separated' else 'ok' end as status
+        case when isinf(beta) then 'infinity'::double else round(exp(beta + {Z} * se), 6) end as hi, n, status
         from fitted f join sizes using ({key})""",
         *ctes,
     )
@@ -562,9 +579,16 @@ def oracle() -> dict[str, str]:
           count_if(sex = 'F' and y = 1) as c, count_if(sex = 'F' and y = 0) as d, count(*) as n from (
             select stratum, sex, 'any_sud' as target, any_sud as y from copies
             union all select stratum, sex, 'ge2_sud', ge2_sud from copies) g group by stratum, target)
-        select stratum, target, n, round({lo}, 6) as beta, round({se}, 6) as se, round(exp({lo}), 6) as or_,
-          round(exp({lo} - {Z} * {se}), 6) as lo, round(exp({lo} + {Z} * {se}), 6) as hi
-        from c where a > 0 and b > 0 and c > 0 and d > 0""",
+        , told as (select *, a + b > 0 as m, c + d > 0 as f, case when a + b = 0 then null when b = 0 then 1 when a = 0 then -1 else 0 end as sm,
+            case when c + d = 0 then null when d = 0 then 1 when c = 0 then -1 else 0 end as sf from c),
+        judged as (select *, case when sm = 0 and sf = 0 then 'ok' when coalesce(sm, 0) = 0 and coalesce(sf, 0) = 0 then 'singular' else 'separated' end as status,
+            case when sm <> 0 and sf = 0 or sm <> 0 and sf = -sm then sm when sm = 0 and sf <> 0 then -sf end as sign from told)
+        select stratum, target, n, status,
+          case when status = 'ok' then round({lo}, 6) else sign * 'infinity'::double end as beta, case when status = 'ok' then round({se}, 6) when sign <> 0 then 'infinity'::double end as se,
+          case when status = 'ok' then round(exp({lo}), 6) when sign > 0 then 'infinity'::double when sign < 0 then 0 end as or_,
+          case when status = 'ok' then round(exp({lo} - {Z} * {se}), 6) when sign <> 0 then 0 end as lo,
+          case when status = 'ok' then round(exp({lo} + {Z} * {se}), 6) when sign <> 0 then 'infinity'::double end as hi
+        from judged""",
         T3,
         "copies as (select 'ALL' as stratum, * from t3 union all select race as stratum, * from t3)",
     )

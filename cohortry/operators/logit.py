@@ -2,11 +2,13 @@
 
 Each step is one aggregate of the pattern table: its rows, however many, become
 k rows of k + 2 sums per fit, which is all the driver sees. The Newton step is a
-k by k solve there.
+k by k solve there. Before the first step one more aggregate shows which likelihoods have
+no maximum; those fits go to their limit, see ``separation``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -17,17 +19,14 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.names import quoted
 from cohortry.functions.stats import normal_quantile
+from cohortry.operators.separation import Limit, limit
 from cohortry.session import local_frame
 
 # Fixed value: the most Newton steps.
 MOST_STEPS = 35
 STEP_TOLERANCE = 1e-10
-# A coefficient this large that is still moving, with the score equations solved, has no finite estimate.
-RUNAWAY = 20.0
-# From here on a coefficient stands for an infinite one: exp(-800) is 0 in double precision.
-INFINITE = 800.0
-# Terms pinned first outweigh all terms pinned later, so that a pattern stays as it was decided.
-FIRST_PIN = 1e280
+# exp(-800) is 0 in double precision: subjects at this distance are predicted exactly.
+FAR = 800.0
 INTERCEPT = "intercept"
 
 
@@ -46,67 +45,39 @@ class Fit:
     status: str = "running"
     beta: np.ndarray = field(default_factory=lambda: np.zeros(0))
     error: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    screened: bool = False
-    pins: int = 0
-    #: Terms that ran away: shown as infinite, while predictions go by where they stopped.
-    gone: set[int] = field(default_factory=set)
+    #: What the fit tends to where its likelihood has no maximum; None where it has one.
+    limit: Limit | None = None
+
+    @property
+    def infinite(self) -> np.ndarray:
+        """Per term 0, or the sign of its infinite estimate, or not-a-number without any."""
+        return self.limit.infinite if self.limit else np.zeros(len(self.terms))
+
+    def start(self, limit: Limit | None) -> None:
+        """Coefficients to begin with: those that already predict what the limit decides, and 0."""
+        self.limit = limit
+        self.beta = np.zeros(len(self.terms)) if limit is None else FAR * limit.direction
+        self.error = np.full(len(self.terms), np.nan)
+        self.status = "running" if self.terms else "empty"
 
     def advance(self, information: np.ndarray, score: np.ndarray) -> None:
-        """One Newton step from the sums at the present coefficients."""
-        if not self.screened and self._pin(information, score):
+        """One Newton step from the sums at the present coefficients.
+
+        Decided patterns weigh nothing in the sums, so the steps are those of the fit of the others.
+        """
+        if self.limit is not None and not self.limit.decided:
+            self.status = "singular"
             return
-        self.screened = True
-        free = np.flatnonzero(np.abs(self.beta) < INFINITE)
+        free = np.arange(len(self.beta)) if self.limit is None else self.limit.free
         information, score = information[np.ix_(free, free)], score[free]
         if np.linalg.matrix_rank(_scaled(information), tol=1e-11) < len(free):
-            self.status = "separated" if np.abs(self.beta[free]).max(initial=0) > RUNAWAY / 2 else "singular"
-            self._let_go(free)
+            self.status = "singular"
             return
-        step = np.linalg.solve(information, score)
+        step = np.linalg.solve(information, score) if len(free) else np.zeros(0)
         self.beta[free] += step
-        self.error[free] = np.sqrt(np.diag(np.linalg.inv(information)))
-        largest = np.abs(step).max(initial=0)
-        if largest < STEP_TOLERANCE:
-            self.status = "ok" if len(free) == len(self.beta) else "separated"
-        elif largest > 0.1 and np.abs(self.beta[free]).max() > RUNAWAY and np.abs(score).max() < 1e-9 * self.n:
-            self.status = "separated"
-            self._let_go(free)
-
-    def _let_go(self, free: np.ndarray) -> None:
-        """Terms that ran away have no finite estimate and are shown as such, not where the loop stopped.
-
-        Their coefficients stay: two that run away against each other add up to a
-        finite limit for the patterns that have both.
-        """
-        for j in free:
-            if abs(self.beta[j]) > RUNAWAY / 2:
-                self.gone.add(int(j))
-                self.error[j] = np.inf
-
-    def _pin(self, information: np.ndarray, score: np.ndarray) -> bool:
-        """Fixes 0/1 terms whose subjects all have the outcome, or none have it, at infinity.
-
-        Their subjects are then predicted exactly and weigh nothing in the rest of
-        the fit, which is the limit the full fit tends to. While every other
-        coefficient is 0 the sums show, for each term, its subjects and events.
-        A later round sees only patterns that no earlier one decided, and its
-        pins are smaller by more than the number of terms can make up for.
-        """
-        if INTERCEPT not in self.terms:
-            return False
-        base = self.terms.index(INTERCEPT)
-        subjects = 4 * information[base]
-        events = score + subjects / 2
-        pinned = False
-        size = max(FIRST_PIN / (10.0 * len(self.terms)) ** self.pins, INFINITE)
-        for j in range(len(self.terms)):
-            is_flag = j != base and information[j, j] == information[base, j]
-            if is_flag and abs(self.beta[j]) < INFINITE and subjects[j] > 0 and events[j] in (0, subjects[j]):
-                self.beta[j] = size if events[j] else -size
-                self.error[j] = np.inf
-                pinned = True
-        self.pins += pinned
-        return pinned
+        self.error[free] = np.sqrt(np.diag(np.linalg.inv(information))) if len(free) else 0
+        if np.abs(step).max(initial=0) < STEP_TOLERANCE:
+            self.status = "ok" if self.limit is None else "separated"
 
 
 def _scaled(matrix: np.ndarray) -> np.ndarray:
@@ -154,16 +125,56 @@ def _sums(table: DataFrame, terms: Sequence[str], fits: Sequence[Fit]) -> DataFr
     return apart.groupBy("stratum", "target", "term").agg(*(F.expr(text) for text in sums))
 
 
+def _limits(table: DataFrame, terms: Sequence[str], fits: Sequence[Fit]) -> dict[tuple[str, str], Limit]:
+    """Limits of the fits that need one.
+
+    One aggregate says what patterns of both outcomes span. Where that is everything, as on large data, the likelihood
+    has a maximum. Only for other fits the patterns of one outcome come to the driver: distinct combinations of
+    their terms, a number that the design bounds, not the subjects.
+    """
+    x = [f"x{i}" for i in range(len(terms))]
+    columns: dict[str, list] = {"stratum": [f.stratum for f in fits], "target": [f.target for f in fits]}
+    columns |= {f"m{i}": [int(term in f.terms) for f in fits] for i, term in enumerate(terms)}
+    types = {name: pa.string() if name in ("stratum", "target") else pa.int32() for name in columns}
+    wanted = local_frame(table.sparkSession, columns, types)
+    own = table.join(wanted, ["stratum", "target"]).selectExpr("stratum", "target", *(f"x{i} * m{i} as x{i}" for i in range(len(terms))), "n", "y")
+    patterns = own.groupBy("stratum", "target", *x).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    varied = patterns.where("y > 0 and y < n")
+    apart = varied.unpivot(varied.columns, x, "term", "a").where("a <> 0")
+    spans = {(r["stratum"], r["target"], r["term"]): r for r in apart.groupBy("stratum", "target", "term").agg(*(F.expr(f"sum(a * {name}) as h{name}") for name in x)).collect()}
+    held: dict[tuple[str, str], np.ndarray] = {}
+    for fit in fits:
+        names = [f"x{terms.index(term)}" for term in fit.terms]
+        rows = [spans.get((fit.stratum, fit.target, name)) for name in names]
+        span = np.array([[float(row[f"h{name}"]) if row else 0.0 for name in names] for row in rows]).reshape(len(names), len(names))
+        if names and np.linalg.matrix_rank(_scaled(span), tol=1e-11) < len(names):
+            held[fit.stratum, fit.target] = span
+    if not held:
+        return {}
+    keys = local_frame(table.sparkSession, {"stratum": [k[0] for k in held], "target": [k[1] for k in held]}, {"stratum": pa.string(), "target": pa.string()})
+    sided: dict[tuple[str, str], list] = {key: [] for key in held}
+    for row in patterns.where("n > 0 and (y = 0 or y = n)").join(keys, ["stratum", "target"], "left_semi").collect():
+        sided[row["stratum"], row["target"]].append(row)
+    found = {}
+    for fit in fits:
+        if (key := (fit.stratum, fit.target)) in held:
+            names = [f"x{terms.index(term)}" for term in fit.terms]
+            rows = np.array([[float(row[name]) for name in names] for row in sided[key]]).reshape(-1, len(names))
+            made = limit(held[key], rows, np.array([1.0 if row["y"] else -1.0 for row in sided[key]]))
+            if made.decided or len(made.free) < len(names):
+                found[key] = made
+    return found
+
+
 def fit_all(table: DataFrame, terms: Sequence[str], fits: list[Fit]) -> list[Fit]:
     """Runs the fits over a pattern table (see ``by_outcome``) that is already stored.
 
     ``table`` is read once per step, so it should be a stored
     table. Only fits still moving take part in the next step.
     """
+    limits = _limits(table, terms, fits)
     for fit in fits:
-        fit.beta = np.zeros(len(fit.terms))
-        fit.error = np.full(len(fit.terms), np.nan)
-        fit.status = "running" if fit.terms else "empty"
+        fit.start(limits.get((fit.stratum, fit.target)))
     for _ in range(MOST_STEPS):
         moving = [fit for fit in fits if fit.status == "running"]
         if not moving:
@@ -193,22 +204,20 @@ ODDS_SCHEMA = (
 def odds_ratios(spark: SparkSession, fits: Sequence[Fit], level: float = 0.95) -> DataFrame:
     """Odds ratios with their interval, one row per fit and term; NULL where a fit has none.
 
-    A term at infinity has odds ratio 0 or infinity and the interval from 0 to infinity.
-    A fit without any term keeps one row that shows its status.
+    A term at infinity has odds ratio 0 or infinity and the interval from 0 to infinity; one that may go
+    either way has none. A fit without any term keeps one row that shows its status.
     """
     z = normal_quantile(1 - (1 - level) / 2)
     rows = []
     for fit in fits:
         for i, term in enumerate(fit.terms or [None]):
             values = [None] * 5
-            if term is not None and not np.isnan(fit.error[i]):
+            infinite = 0 if term is None or fit.status not in ("ok", "separated") else fit.infinite[i]
+            if infinite in (-1, 1):
+                values = [float(infinite) * math.inf, math.inf, math.inf if infinite > 0 else 0.0, 0.0, math.inf]
+            elif term is not None and infinite == 0 and not np.isnan(fit.error[i]):
                 beta, error = fit.beta[i], fit.error[i]
-                with np.errstate(over="ignore"):
-                    odds = np.exp([beta, beta - z * error, beta + z * error])
-                    if abs(beta) >= INFINITE or i in fit.gone:
-                        beta = np.copysign(np.inf, beta)
-                        odds[0] = np.exp(beta)
-                values = [float(v) for v in (beta, error, *odds)]
+                values = [float(v) for v in (beta, error, *np.exp([beta, beta - z * error, beta + z * error]))]
             rows.append((fit.stratum, fit.target, term, *values, fit.n, fit.status))
     return spark.createDataFrame(rows, ODDS_SCHEMA)
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -10,6 +11,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 
 from checks.study import study
 from cohortry.operators.logit import Fit, by_outcome, fit_all, odds_ratios
+from cohortry.operators.separation import limit
 from cohortry.operators.odds import crude_odds_ratios
 from cohortry.plans import reports
 from cohortry.plans.cohort import scoped
@@ -123,6 +125,36 @@ def test_table4_can_leave_out_a_band(spark, folder):
     assert all("substance_use" not in fit.terms for fit in whole)
 
 
+def test_limits_are_those_of_all_small_directions():
+    """Decided patterns and infinite terms against every direction of small whole numbers."""
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        size = int(rng.integers(1, 5))
+        x = np.array(list(itertools.product([0, 1], repeat=size - 1))).reshape(2 ** (size - 1), -1)
+        x = np.c_[x, np.ones(len(x))][rng.random(len(x)) < 0.8]
+        sign = rng.choice([-1.0, 0.0, 1.0], len(x), p=[0.4, 0.2, 0.4])
+        found = limit(x[sign == 0], x[sign != 0], sign[sign != 0])
+        directions = np.array(list(itertools.product(range(-3, 4), repeat=size)))
+        moves = directions @ x.T
+        cone = directions[((moves * sign >= 0) & ((sign != 0) | (moves == 0))).all(axis=1)]
+        decided = ((cone @ x.T) * sign > 0).any(axis=0)
+        assert (((x @ found.direction) * sign > 0.5) == decided).all() and found.decided == decided.any()
+        assert np.abs((x @ found.direction)[~decided]).max(initial=0) < 1e-8
+        assert len(found.free) == (np.linalg.matrix_rank(x[~decided]) if (~decided).any() else 0)
+        for j in range(size):
+            up, down = (cone[:, j] > 0).any(), (cone[:, j] < 0).any()
+            want = np.nan if up and down else int(up) - int(down)
+            assert np.array_equal(found.infinite[j], want, equal_nan=True)
+
+
+def test_terms_that_run_off_together(spark):
+    """Subjects with either of two terms all have the outcome: which term grows is open, the others' estimates are not."""
+    rows = [(1, 1, x, 1) for x in (0, 1)] * 5 + [(0, 0, x, y) for x, y in ((0, 0), (0, 1), (1, 0), (1, 1), (1, 1))] * 4
+    shown = {row["term"]: row for row in odds_ratios(spark, [fit_of(spark, rows, ["a", "b", "x"])]).collect()}
+    assert shown["a"]["status"] == "separated" and shown["a"]["beta"] is None and shown["b"]["or_"] is None
+    assert shown["x"]["beta"] == pytest.approx(math.log(2)) and shown["intercept"]["beta"] == pytest.approx(0, abs=1e-9)
+
+
 def test_separation_in_sequence(spark):
     """x1 decides its subjects first; x2 is then decided among the rest and must not undo that."""
     cases = [((1, 1), 50, 50), ((1, 0), 50, 50), ((0, 1), 50, 0), ((0, 0), 100, 40)]
