@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -372,6 +373,12 @@ def figure1_bars(spark, folder):
     return rounded(reports.figure1(scope_cells(spark, folder), made.disorder_names), "pct")
 
 
+@query
+def figure1_headers(spark, folder):
+    """The bars with the disorders' names as the code list has them."""
+    return reports.with_headers(figure1_bars(spark, folder), "diagnosis", study(spark, folder).codes.headers)
+
+
 # ---- regressions
 
 ODDS = ("beta", "se", "or_", "lo", "hi")
@@ -497,6 +504,57 @@ def lineage_roundtrip(spark, folder):
     )
 
 
+@query
+def graph_appended(spark, folder):
+    """Two programs' graphs appended to two tables, one of them twice under one run, and one loaded again."""
+    configs = given.module_configs(spark, folder).where(~F.col("module").startswith("line_"))
+    tables = [f"graph_{part}_{uuid.uuid4().hex}" for part in ("nodes", "edges")]
+    for prefix, times in (("make", 2), ("ship", 1)):
+        graph = lineage.build_graph(configs.where(F.col("module").startswith(f"{prefix}_")))
+        for _ in range(times):
+            lineage.append_graph(*lineage.serialised(*graph, prefix), *tables, run=f"{prefix} 1")
+    kept = [spark.table(table).where("program_name = 'make'") for table in tables]
+    parts = {"stored": kept, "loaded": lineage.load_graph(spark, *tables, program="make")}
+    rows = [
+        rows.select(F.lit(f"{place} {part}").alias("part"), F.array(*names).alias("row"))
+        for place, both in parts.items()
+        for part, rows, names in zip(("nodes", "edges"), both, (("node_name", "node_type", "summary"), ("node_from", "node_to")))
+    ]
+    digest = F.md5(F.array_join("row", "|", "-"))
+    halves = [F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9)]
+    every = stored(reduce(DataFrame.unionByName, rows).groupBy("part").agg(F.count("*").alias("n"), F.sum(halves[0]).alias("first_sum"), F.sum(halves[1]).alias("second_sum")))
+    for table in tables:
+        spark.sql(f"drop table {table}")
+    return every
+
+
+@query
+def managed_table(spark, folder):
+    """A table made once, replaced by a version with other columns and rows, listed and read."""
+    orders = given.read(spark, folder, "orders")
+    name = f"managed_{uuid.uuid4().hex}"
+    stages.publish(orders.select("o_orderkey").where("o_orderkey % 2 = 0"), name)
+    again = stages.create_if_absent(spark, name, lambda: orders)  # it is there already
+    latest = stages.publish(orders.select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") > 1000).alias("priced")), name)
+    stages.retire(spark, name, latest)
+    columns, kept = ", ".join(stages.column_names(spark, name)), len(stages.versions(spark, name)) + again
+    found = spark.table(name).where("priced").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    found = stored(found.select("o_orderstatus", "n", F.lit(columns).alias("columns"), F.lit(kept).alias("versions")))
+    spark.sql(f"drop view {name}")
+    stages.retire(spark, name, "")
+    return found
+
+
+@query
+def key_ranges_balanced(spark, folder):
+    """Ranges of order keys that are dense at first and then far apart, none of them with more than twice the mean of rows."""
+    key = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderkey") * 1_000_000).otherwise(F.col("o_orderkey"))
+    orders = given.read(spark, folder, "orders").select(key.cast("string").alias("id"))
+    bounds = relational.balanced_bounds(orders, "id", 16)
+    counts = orders.groupBy(relational.range_number("id", bounds).alias("range")).agg(F.count("*").alias("n"))
+    return counts.agg(F.count("*").cast("int").alias("ranges"), F.sum("n").alias("rows"), (F.max("n") <= 2 * F.avg("n")).alias("balanced"))
+
+
 # ---- logs
 
 

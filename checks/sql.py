@@ -461,8 +461,13 @@ def oracle() -> dict[str, str]:
         from typepatient where {age} > 0 group by 1"""
     )
     sql["first_visit"] = over(" select patientid, race, sex, age, visit_type from first_visit", FIRST)
+    # a customer number stands for a person at each of two sites
+    sites = """two as (select b.patientid, cast((c_nationkey + s) % 7 as varchar) as siteid, b.race, (c_nationkey + s) % 5 as sex
+        from background b join customer on cast(c_custkey as varchar) = b.patientid, (values (0), (1)) t(s)),
+      sited as (select v.*, cast((c_nationkey + visit_id % 2) % 7 as varchar) as siteid from typepatient v join customer on cast(c_custkey as varchar) = v.patientid)"""
+    first = FIRST.replace("from background b join typepatient v on v.patientid = b.patientid", "from two b join sited v on v.patientid = b.patientid and v.siteid = b.siteid")
     sql["first_visit_composite"] = over(
-        """ select patientid as id, siteid, race, sex, age, visit_type from first_visit""", FIRST
+        """ select patientid as id, siteid, race, sex, age, visit_type from first_visit""", sites, first.replace("partition by b.patientid", "partition by b.patientid, b.siteid")
     )
     for keep, order in (("lowest", "asc"), ("highest", "desc")):
         sql[f"dedupe_{keep}"] = f"""select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority
@@ -481,9 +486,9 @@ def oracle() -> dict[str, str]:
     )
     flags = ", ".join(FLAGS)
     sql["flag_counts_wide"] = over(f" select patientid, {flags} from wide", COUNTS)
-    sql["flag_counts_composite"] = over(
-        f" select w.patientid as id, b.siteid, {flags} from wide w join background b on b.patientid = w.patientid", COUNTS
-    )
+    placed = "(select distinct patientid, dsmno, cast((c_nationkey + visit_id % 2) % 7 as varchar) as siteid from pdiagnose join customer on cast(c_custkey as varchar) = patientid) d"
+    wide = COUNTS.replace("(select distinct patientid, dsmno from pdiagnose) d group by patientid", f"{placed} group by patientid, siteid")
+    sql["flag_counts_composite"] = over(f" select patientid as id, siteid, {flags} from wide", wide.replace("(select patientid, ", "(select patientid, siteid, ", 1))
     sql["flag_counts_distinct"] = sql["flag_counts_wide"]
     sql["master_table"] = over(
         f""" select f.patientid, r.category as race, s.category as sex, t.category as visit_type, f.age,
@@ -606,6 +611,14 @@ def oracle() -> dict[str, str]:
           select node_type = 'module' as is_module, node_type, node_name || '|' || node_type || '|' || summary as row from nodes
           union all select false, 'edge', node_from || '|' || node_to from edges) group by is_module, node_type"""
     )
+    makers = GRAPH.replace("mention(module", "every_mention(module", 1).replace("),\nnodes as", "),\nmention as (select * from every_mention where starts_with(module, 'make_')),\nnodes as", 1)
+    sql["graph_appended"] = "with " + makers.rstrip().rstrip(",") + f""" select place || part as part, count(*) as n, {halves} from (
+        select ' nodes' as part, node_name || '|' || node_type || '|' || summary as row from nodes
+        union all select ' edges', node_from || '|' || node_to from edges), (values ('stored'), ('loaded')) t(place) group by 1"""
+    sql["managed_table"] = """select o_orderstatus, count(*) as n, 'o_orderkey, o_orderstatus, priced' as columns, 1 as versions
+        from orders where o_totalprice > 1000 group by o_orderstatus"""
+    sql["key_ranges_balanced"] = """select 16 as ranges, count(*) as rows, true as balanced from orders"""
+    sql["figure1_headers"] = "select *, case diagnosis " + " ".join(f"when '{name}' then '{raw}'" for raw, name in NAMES.items()) + f" end as header from ({sql['figure1_bars']})"
     sql["log_errors"] = "with " + LOGS + " select value from log where contains(value, 'ERROR')"
     sql["log_fields"] = "with " + LOGS + """ select split_part(value, ' - ', 2) as logger, split_part(value, ' - ', 3) as level,
         count(*) as n, min(split_part(value, ' - ', 1)) as earliest, max(split_part(value, ' - ', 1)) as latest

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.plans.cohort import Study
@@ -96,25 +96,28 @@ def study(spark: SparkSession, folder: str) -> Study:
 
 @lru_cache(maxsize=None)
 def sited_study(spark: SparkSession, folder: str) -> Study:
-    """The same records with a two-part key: the customer number and the site (nation modulo 7).
+    """The same records with a two-part key: a customer number stands for two persons, one at each of two sites.
 
-    Visits and diagnoses name the person ``backgroundid``, persons name it ``id``.
+    They differ in sex; orders of odd number belong to the second one. Visits and diagnoses name
+    the person ``backgroundid``, persons name it ``id``.
     """
     customers = read(spark, folder, "customer")
-    site = (F.col("c_nationkey") % 7).cast("string").alias("siteid")
-    person = F.col("c_custkey").cast("string")
-    homes = customers.select(person.alias("home"), site)
+    homes = customers.select(F.col("c_custkey").cast("string").alias("home"), F.col("c_nationkey").alias("nation"))
+
+    def site(second) -> Column:
+        return ((F.col("nation") + second) % 7).cast("string").alias("siteid")
 
     def placed(table: DataFrame) -> DataFrame:
-        joined = table.join(homes, table["patientid"] == homes["home"]).drop("home")
-        return joined.withColumnRenamed("patientid", "backgroundid")
+        met = table.join(homes, table["patientid"] == homes["home"]).withColumn("siteid", site(F.col("visit_id") % 2))
+        return met.drop("home", "nation").withColumnRenamed("patientid", "backgroundid")
 
+    persons = customers.select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("race"), F.col("c_nationkey").alias("nation"), F.explode(F.array(F.lit(0), F.lit(1))).alias("second")
+    )
     return Study(
-        persons=customers.select(
-            person.alias("id"), site, F.col("c_mktsegment").alias("race"), (F.col("c_nationkey") % 5).alias("sex")
-        ),
+        persons=persons.select("id", site(F.col("second")), "race", ((F.col("nation") + F.col("second")) % 5).alias("sex")),
         visits=placed(visits(spark, folder)),
-        diagnoses=placed(diagnosed(spark, folder).select("patientid", "dsmno")),
+        diagnoses=placed(diagnosed(spark, folder)).drop("visit_id"),
         races=RACES,
         sexes=SEXES,
         settings=SETTINGS,

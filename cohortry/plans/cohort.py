@@ -103,10 +103,10 @@ def described(study: Study, table: DataFrame, bands=AGE_BANDS) -> DataFrame:
     return table.withColumn("age_categorical", band(F.col("age"), bands))
 
 
-def counted_cohort(study: Study) -> DataFrame:
+def counted_cohort(study: Study, bands=AGE_BANDS) -> DataFrame:
     """The master table: subjects with the number of distinct codes per category."""
     counts = category_counts(diagnoses(study), study.codes, study.keys)
-    return described(study, subjects(study).join(counts, list(study.keys)))
+    return described(study, subjects(study).join(counts, list(study.keys)), bands)
 
 
 def flagged(study: Study, counted: DataFrame) -> DataFrame:
@@ -114,14 +114,14 @@ def flagged(study: Study, counted: DataFrame) -> DataFrame:
     return with_summary(binary(counted, study.flag_names), study.substance_names, study.disorder_names)
 
 
-def cohort(study: Study, listed_only: bool = False) -> DataFrame:
+def cohort(study: Study, listed_only: bool = False, bands=AGE_BANDS) -> DataFrame:
     """Subjects with 0/1 flags and their sums, without counting distinct codes on the way.
 
     ``listed_only`` leaves out subjects without any listed code; the reports count
-    subjects with a listed disorder only.
+    subjects with a listed disorder only. ``bands`` are the age bands.
     """
     flags = category_flags(diagnoses(study), study.codes, study.keys, listed_only=listed_only)
-    joined = described(study, subjects(study).join(flags, list(study.keys)))
+    joined = described(study, subjects(study).join(flags, list(study.keys)), bands)
     return with_summary(joined, study.substance_names, study.disorder_names)
 
 

@@ -6,8 +6,9 @@ do not read the subjects again. ``subjects`` are rows of the cohort.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from cohortry.operators.design import dummies, dummy_names, level_support, patte
 from cohortry.operators.logit import INTERCEPT, Fit, by_outcome, fit_all
 from cohortry.operators.membership import exclude
 from cohortry.plans.cohort import in_scope
-from cohortry.session import stored
+from cohortry.session import local_frame, stored
 
 DIMENSIONS = ("age_categorical", "sex")
 
@@ -163,6 +164,14 @@ def figure1(table: DataFrame, disorders: Sequence[str], least: float = FIGURE_LE
     return kept.withColumns({"ord": order, "label": one_decimal(F.col("pct"))})
 
 
+def with_headers(report: DataFrame, column: str, headers: Mapping[str, str]) -> DataFrame:
+    """A report with ``header``: the name in ``column`` as the code list had it, the name itself where it had none."""
+    columns = {"_name": list(headers), "_header": list(headers.values())}
+    named = local_frame(report.sparkSession, columns, dict.fromkeys(columns, pa.string()))
+    met = report.join(named, report[column] == named["_name"], "left")
+    return met.select(*report.columns, F.coalesce("_header", column).alias("header"))
+
+
 def table3_patterns(
     subjects: DataFrame,
     left_out: Sequence[tuple[str, str]] = TABLE3_LEFT_OUT,

@@ -61,6 +61,32 @@ def key_ranges(df: DataFrame, column: str, width: int = 1000, most: int = 10_000
     return KeyRanges(column, low, high + 1, max(1, min(most, math.ceil((high + 1 - low) / width))))
 
 
+def balanced_bounds(df: DataFrame, column: str, count: int, accuracy: int = 10_000) -> list[int]:
+    """Keys at which ``count`` ranges of about equally many rows begin, from the second range on.
+
+    They come from a quantile sketch, merged over tasks, so gaps and dense stretches of keys make no range heavier than
+    others; only one key's own rows cannot be parted. ``accuracy`` is the sketch's: a bound is off by at most rows / accuracy.
+    """
+    key = F.col(column).try_cast("long")
+    shares = [i / count for i in range(1, count)]
+    found = df.agg(F.percentile_approx(key, shares, accuracy).alias("bounds")).first()["bounds"] if shares else []
+    return sorted(set(found or []))
+
+
+def range_number(column: str, bounds: list[int]) -> Column:
+    """Which range a key is in: 0 below the first bound and for a key that is no integer."""
+    key = F.col(column).try_cast("long")
+    return F.coalesce(F.size(F.filter(F.lit(bounds), lambda bound: bound <= key)), F.lit(0)) if bounds else F.lit(0)
+
+
+def range_predicates(column: str, bounds: list[int]) -> list[str]:
+    """One SQL condition per range for a parallel JDBC read (``spark.read.jdbc(..., predicates=...)``); null keys are in the first."""
+    if not bounds:
+        return ["1 = 1"]
+    inner = [f"{column} >= {low} and {column} < {high}" for low, high in zip(bounds, bounds[1:])]
+    return [f"{column} < {bounds[0]} or {column} is null", *inner, f"{column} >= {bounds[-1]}"]
+
+
 def jdbc_options(
     url: str,
     table: str | None = None,

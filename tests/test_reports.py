@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 
 from checks.study import study
@@ -59,6 +61,12 @@ def test_whole_study(spark, folder, tmp_path, table):
     again = run_study(made, str(tmp_path))
     assert written == {path: path.stat().st_mtime_ns for path in tmp_path.rglob("*.parquet")}
     assert again["table3"].count() == first["table3"].count()
+    aa = replace(made, persons=made.persons.where("race = 'BUILDING'"))
+    bands = [(0, 0, "0"), (1, 40, "young"), (41, None, "old")]
+    other = run_study(aa, str(tmp_path), bands=bands)
+    assert {r["race"] for r in other["cohort"].select("race").distinct().collect()} == {"AA"}
+    assert {r["age_categorical"] for r in other["cohort"].select("age_categorical").distinct().collect()} == {"young", "old"}
+    assert "Bipolar (I/II)" in {r["header"] for r in other["figure1"].collect()}
 
 
 def test_counts_and_flags_give_one_cohort(spark, folder):

@@ -141,3 +141,52 @@ def test_stage_of_another_study_is_built_anew(spark, tmp_path):
     for mark, n in (("a", 1), ("a", 2), ("b", 3)):
         made = stages.materialise(spark, path, lambda n=n: spark.range(n), mark)
         assert made.count() == (3 if mark == "b" else 1)
+
+
+def test_identity_sees_filters_files_and_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).selectExpr("id", "id % 3 as kind").write.parquet(path)
+
+    def read():
+        return spark.read.parquet(path)
+
+    plain = stages.identity(read())
+    assert plain == stages.identity(read())
+    others = [read().where("kind = 1"), read().where("kind = 2"), read().limit(5), read().limit(6), read().select("id")]
+    assert len({plain, *map(stages.identity, others)}) == 6
+    spark.range(20).selectExpr("id", "id % 3 as kind").write.mode("overwrite").parquet(path)
+    assert stages.identity(read()) != plain
+    local = [spark.createDataFrame(rows, "a int, b string") for rows in ([(1, "x"), (2, "y")], [(2, "y"), (1, "x")], [(1, "x"), (2, "z")])]
+    marks = [stages.identity(df) for df in local]
+    assert marks[0] == marks[1] != marks[2]
+
+
+def test_run_is_appended_once(spark):
+    for run, rows in (("a", 3), ("b", 2), ("a", 4)):
+        stages.append_once(spark.range(rows).selectExpr("id", "'x' as word"), "runs", run)
+    assert {r["run_id"]: r["count"] for r in spark.table("runs").groupBy("run_id").count().collect()} == {"a": 4, "b": 2}
+    with pytest.raises(ValueError):
+        stages.append_once(spark.range(1), "runs", "it's")
+    spark.sql("drop table runs")
+
+
+def test_versions_behind_a_view(spark):
+    first = stages.publish(spark.range(3), "seen")
+    before = spark.table("seen")
+    second = stages.publish(spark.range(5).withColumnRenamed("id", "number"), "seen")
+    assert stages.column_names(spark, "seen") == ["number"] and spark.table("seen").count() == 5
+    assert before.count() == 3 and stages.versions(spark, "seen") == sorted([first, second])
+    stages.retire(spark, "seen", second)
+    assert stages.versions(spark, "seen") == [second]
+    spark.sql("drop view seen")
+    stages.retire(spark, "seen", "")
+
+
+def test_balanced_ranges_lose_no_key(spark):
+    keys = spark.range(1000).selectExpr("cast(if(id < 900, id, id * 1000000) as string) as id").unionByName(spark.createDataFrame([("x",), (None,)], "id string"))
+    bounds = relational.balanced_bounds(keys, "id", 8)
+    counts = {r["n"]: r["count"] for r in keys.groupBy(relational.range_number("id", bounds).alias("n")).count().collect()}
+    assert len(counts) == 8 and sum(counts.values()) == 1002 and max(counts.values()) <= 2 * 1002 / 8
+    numbers = spark.range(1000).selectExpr("if(id < 900, id, id * 1000000) as id").unionByName(spark.createDataFrame([(None,)], "id long"))
+    assert sum(numbers.where(condition).count() for condition in relational.range_predicates("id", bounds)) == 1001
+    assert relational.range_predicates("id", []) == ["1 = 1"] and relational.balanced_bounds(keys.where("false"), "id", 8) == []
