@@ -253,10 +253,10 @@ def flag_counts_composite(spark, folder):
 
 @query
 def flag_counts_distinct(spark, folder):
-    """The same counts by the way taken when there are more codes than bits to spare."""
+    """The same counts from words of three bits each, so that a subject's codes are spread over several, and a list that is not on the driver."""
     made = study(spark, folder)
     unlisted = codelists.CodeList(made.codes.categories, made.codes.codes)
-    return codes.category_counts(cohort.diagnoses(made), unlisted, made.keys)
+    return codes.category_counts(cohort.diagnoses(made), unlisted, made.keys, word_bits=3)
 
 
 @query

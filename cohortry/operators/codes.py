@@ -3,7 +3,8 @@
 Every category (or code) gets a bit of a 64-bit word. ``bit_or`` keeps one
 fixed-size word per subject, so rows are combined before the shuffle, no
 distinct pass is needed, and a subject with a third of all rows arrives at the
-reducer as one row per map task.
+reducer as one row per map task. Codes beyond one word take further words, each of them a row
+of its own per subject that has a code in it; there can be any number of them.
 """
 
 from __future__ import annotations
@@ -11,15 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.session import local_frame
+from cohortry.session import local_frame, stored
 from cohortry.sources.codelists import CodeList
 
 WORD = 62
-# With more codes than this, distinct codes are counted in two shuffles instead.
-COUNTED_CODES = 16 * WORD
 
 
 def distinct_codes(df: DataFrame, keys: Sequence[str], code: str = "dsmno") -> DataFrame:
@@ -79,45 +78,53 @@ def category_flags(
     return packed.select(*keys, *(_bit(i).alias(name) for i, name in enumerate(codes.names)))
 
 
-def category_counts(df: DataFrame, codes: CodeList, keys: Sequence[str], code: str = "dsmno") -> DataFrame:
-    """One row per subject, one column per category: how many distinct codes of it were recorded."""
-    listed = None if codes.known is None else sorted({row[2] for row in codes.known})
-    if listed is None or len(listed) > COUNTED_CODES:
-        return _counts_from_distinct(df, codes, keys, code)
-    words = _words(len(listed))
-    columns = {
-        "code": listed,
-        "word": [i // WORD for i in range(len(listed))],
-        "bit": [1 << i % WORD for i in range(len(listed))],
-    }
-    types = {"code": pa.string(), "word": pa.int32(), "bit": pa.int64()}
-    index = F.broadcast(local_frame(df.sparkSession, columns, types))
-    none = F.lit(0).cast("long")
-    seen = (
-        df.select(*keys, F.col(code).alias("code"))
-        .join(index, "code", "left")
-        .groupBy(*keys)
-        .agg(*(F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(none)).alias(w) for i, w in enumerate(words)))
-    )
+def _code_bits(codes: CodeList, size: int) -> tuple[DataFrame, DataFrame, int | None]:
+    """``code, word, bit`` of every listed code; ``word`` and a mask per category; the number of words if it is known.
 
-    def count(category: str) -> Column:
-        masks = [0] * len(words)
-        for _, name, value in codes.known:
-            if name == category:
-                position = listed.index(value)
-                masks[position // WORD] |= 1 << position % WORD
-        parts = [F.bit_count(F.col(w).bitwiseAND(F.lit(m).cast("long"))) for w, m in zip(words, masks) if m]
-        return sum(parts[1:], parts[0]).cast("long") if parts else none
+    A list held on the driver gives two small local tables. Any other list is numbered by Spark, in the order of its codes.
+    """
+    names, spark = codes.names, codes.codes.sparkSession
+    if codes.known is not None:
+        listed = sorted({code for _, _, code in codes.known})
+        place = {code: divmod(i, size) for i, code in enumerate(listed)}
+        masks = {word: [0] * len(names) for word in range(-(-len(listed) // size))}
+        for _, category, code in codes.known:
+            word, bit = place[code]
+            masks[word][names.index(category)] |= 1 << bit
+        columns = {"code": listed, "word": [place[c][0] for c in listed], "bit": [1 << place[c][1] for c in listed]}
+        index = F.broadcast(local_frame(spark, columns, {"code": pa.string(), "word": pa.int32(), "bit": pa.int64()}))
+        columns = {"word": list(masks)} | {f"m{i}": [row[i] for row in masks.values()] for i in range(len(names))}
+        kinds = {name: pa.int32() if name == "word" else pa.int64() for name in columns}
+        return index, F.broadcast(local_frame(spark, columns, kinds)), len(masks)
+    # one row per listed code, and a code list is no collection of records
+    number = F.row_number().over(Window.orderBy("code")) - 1
+    numbered = codes.codes.select("code").where("code is not null").distinct().withColumn("number", number)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("number", F.lit(size)).cast("int"))
+    index = stored(numbered.select("code", F.floor(F.col("number") / size).cast("int").alias("word"), bit.alias("bit")))
+    none = F.lit(0).cast("long")
+    sums = [F.bit_or(F.when(F.col("category") == name, F.col("bit")).otherwise(none)).alias(f"m{i}") for i, name in enumerate(names)]
+    return index, stored(codes.codes.join(index, "code").groupBy("word").agg(*sums)), None
 
-    return seen.select(*keys, *(count(name).alias(name) for name in codes.names))
 
+def category_counts(df: DataFrame, codes: CodeList, keys: Sequence[str], code: str = "dsmno", word_bits: int = WORD) -> DataFrame:
+    """One row per subject, one column per category: how many distinct codes of it were recorded.
 
-def _counts_from_distinct(df: DataFrame, codes: CodeList, keys: Sequence[str], code: str) -> DataFrame:
-    """The same counts for any number of codes: distinct codes first, then a sum of bits."""
-    found = distinct_codes(df, keys, code).withColumnRenamed(code, "code")
-    joined = found.join(category_masks(codes), "code", "left")
-    sums = [F.sum(F.coalesce(_bit(i), F.lit(0))).alias(name) for i, name in enumerate(codes.names)]
-    return joined.groupBy(*keys).agg(*sums)
+    A subject's words are combined before the shuffle, and what is recorded twice is one bit. Where there is only one word, its rows
+    are the subjects' already.
+    """
+    index, masks, words = _code_bits(codes, word_bits)
+    none = F.lit(0).cast("long")
+    met = df.select(*keys, F.col(code).alias("code")).join(index, "code", "left")
+    own = [F.coalesce("word", F.lit(0)).alias("word")] if words is None or words > 1 else []
+    seen = met.select(*keys, *own, F.coalesce("bit", none).alias("bit")).groupBy(*keys, *(["word"] if own else [])).agg(F.bit_or("bit").alias("bits"))
+    if own:
+        # a subject without listed codes has a word without bits
+        counted = seen.join(masks, "word", "left")
+        sums = [F.sum(F.bit_count(F.col("bits").bitwiseAND(F.coalesce(f"m{i}", none)))).alias(name) for i, name in enumerate(codes.names)]
+        return counted.groupBy(*keys).agg(*sums)
+    only = masks.first() if words else None
+    counts = [F.bit_count(F.col("bits").bitwiseAND(F.lit(only[f"m{i}"] if only else 0).cast("long"))).cast("long").alias(name) for i, name in enumerate(codes.names)]
+    return seen.select(*keys, *counts)
 
 
 def binary(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -232,3 +232,21 @@ def test_complete_adds_zero_rows(spark):
     df = spark.createDataFrame(rows, "stratum string, dimension string, level string, n long")
     found = [("a", "d", "x", 1), ("a", "d", "y", 0), ("a", "e", "z", 3), ("b", "d", "x", 0), ("b", "d", "y", 2)]
     assert rows_of(counts.complete(df)) == found
+
+
+@pytest.mark.parametrize("known", [True, False])
+@pytest.mark.parametrize("bits", [1, 5, 62])
+def test_counts_of_many_codes(spark, known, bits):
+    """More codes than a word holds, a code of two categories, an unlisted one, a subject without codes, repeats."""
+    lists = {"dx": {"Low": [f"{i:03}" for i in range(0, 130)], "Even": [f"{i:03}" for i in range(0, 200, 2)]}, "sud": {"None": []}}
+    listed = CodeList.of(spark, lists)
+    if not known:
+        listed = CodeList(listed.categories, listed.codes)
+    rng = random.Random(5)
+    rows = [(str(rng.randrange(6)), f"{rng.randrange(250):03}") for _ in range(600)] + [("none", None), ("other", "999"), ("0", "000"), ("0", "000")]
+    want = {}
+    for key, code in rows:
+        want.setdefault(key, set()).add(code)
+    low, even = set(lists["dx"]["Low"]), set(lists["dx"]["Even"])
+    found = codes.category_counts(spark.createDataFrame(rows, "patientid string, dsmno string"), listed, ["patientid"], word_bits=bits)
+    assert {r[0]: tuple(r[1:]) for r in found.collect()} == {key: (len(got & low), len(got & even), 0) for key, got in want.items()}
