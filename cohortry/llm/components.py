@@ -22,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # every larger neighbour of a node, linked to the node's smallest neighbour or itself
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where(F.col("u") != F.col("v")).distinct())
         # every smaller neighbour of a node, and the node, linked to the smallest

@@ -289,13 +289,11 @@ def _rest_pairs(rest: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _rooted(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets in which more than one class is left, with their class; and the classes."""
-    classes = stored(components(links))
-    found = members.join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    found = stored(found)
+def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets in which more than one class is left, with their class."""
+    found = stored(members.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")))
     mixed = stored(found.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"))
-    return stored(found.join(mixed, "bucket")), classes
+    return stored(found.join(mixed, "bucket"))
 
 
 def _numbered(df: DataFrame, columns: list[Column]) -> DataFrame:
@@ -308,7 +306,7 @@ def _roots(docs: DataFrame, s: Settings) -> DataFrame:
     signed = stored(sign(docs, "text", s, ["id"]))
     words = signed.where(F.col("digest").isNotNull())
     firsts = stored(words.groupBy("digest").agg(F.min("id").alias("first")))
-    equal = stored(words.select("id", "digest").join(firsts, "digest").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    equal = words.select("id", "digest").join(firsts, "digest").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     # one row per class of equal words
     single = stored(words.join(firsts, ["digest"]).where(F.col("id") == F.col("first")).select("id", "bands", "short"))
     bands = single.select("id", F.explode("bands").alias("bucket")).distinct()
@@ -319,9 +317,9 @@ def _roots(docs: DataFrame, s: Settings) -> DataFrame:
     # The texts of those that share a bucket with another: read once, and all that later joins shuffle.
     texts = stored(docs.select("id", "text").join(share.select("id"), "id", "left_semi"))
     links = stored(_verified(_star_pairs(members, s), texts, s))
-    rest, found = _rooted(members, links)
+    rest = _rooted(members, links)
     links = stored(links.unionByName(_second_star(rest, texts, s)))
-    rest, found = _rooted(rest.select("bucket", "id", "shared"), links)
+    rest = _rooted(rest.select("bucket", "id", "shared"), links)
     links = stored(links.unionByName(_verified(_rest_pairs(rest, single.select("id", "bands", "short"), s), texts, s)))
     # Both kinds of link together: rows of equal words hang on the row that was compared.
     return stored(components(links.unionByName(equal)))
