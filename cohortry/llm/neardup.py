@@ -289,13 +289,18 @@ def _rest_pairs(rest: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets in which more than one class is left, with their class."""
-    found = stored(members.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")))
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets in which more than one class is left, with their class, as a written table."""
+    found = stored(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     mixed = stored(found.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"))
     return stored(found.join(mixed, "bucket"))
 
 
+def _linked(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows hanging on the root of their class and further links, together."""
+    return roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links)
+
+
 def _numbered(df: DataFrame, columns: list[Column]) -> DataFrame:
     """Rows under numbers of their own (id), as a written table: read again, a row has the same number."""
     return stored(df.select(F.monotonically_increasing_id().alias("id"), *columns))
@@ -309,20 +314,20 @@ def _roots(docs: DataFrame, s: Settings) -> DataFrame:
     equal = words.select("id", "digest").join(firsts, "digest").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     # one row per class of equal words
     single = stored(words.join(firsts, ["digest"]).where(F.col("id") == F.col("first")).select("id", "bands", "short"))
-    bands = single.select("id", F.explode("bands").alias("bucket")).distinct()
-    full = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = bands.join(stored(full), "bucket")
-    share = stored(members.groupBy("id").agg(F.sum("n").alias("shared")))
-    members = stored(members.join(share, "id").select("bucket", "id", "shared"))
+    bands = single.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
+    full = stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    crowded = stored(bands.join(full, "bucket"))
+    share = stored(crowded.groupBy("id").agg(F.sum("n").alias("shared")))
+    members = stored(crowded.join(share, "id").select("bucket", "id", "shared"))
     # The texts of those that share a bucket with another: read once, and all that later joins shuffle.
     texts = stored(docs.select("id", "text").join(share.select("id"), "id", "left_semi"))
-    links = stored(_verified(_star_pairs(members, s), texts, s))
-    rest = _rooted(members, links)
-    links = stored(links.unionByName(_second_star(rest, texts, s)))
-    rest = _rooted(rest.select("bucket", "id", "shared"), links)
-    links = stored(links.unionByName(_verified(_rest_pairs(rest, single.select("id", "bands", "short"), s), texts, s)))
+    roots = components(_verified(_star_pairs(members, s), texts, s))
+    rest = _apart(members, roots)
+    roots = components(_linked(roots, _second_star(rest, texts, s)))
+    rest = _apart(rest.select("bucket", "id", "shared"), roots)
+    links = _verified(_rest_pairs(rest, single.select("id", "bands", "short"), s), texts, s)
     # Both kinds of link together: rows of equal words hang on the row that was compared.
-    return stored(components(links.unionByName(equal)))
+    return components(_linked(roots, links).unionByName(equal))
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:

@@ -337,3 +337,27 @@ def test_languages_held_out(labelled, odd, none):
     assert found[0] == found[1] == found[2] == ("und", 0.0) and 0 < found[6][1] <= 1
     assert language.predict(none, model).count() == 0
     assert {r["lang_pred"] for r in language.predict(odd, language.fit(labelled.where("false"))).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_against_union_find(spark, seed):
+    from cohortry.llm.components import components
+
+    draw = np.random.default_rng(seed)
+    links = [(int(a), int(b)) for a, b in draw.integers(0, 60 + 40 * seed, (70, 2))]
+    links += [(i, i + 1) for i in range(200, 240)]  # a path
+    links += [(300, i) for i in range(290, 320)] + links[:5] + [(500, 500)]  # a star around no smallest id, repeats, a row linked to itself
+    root = {x: x for link in links for x in link}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    real = {x for a, b in links if a != b for x in (a, b)}
+    found = [(r["id"], r["root"]) for r in components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(found) == sorted((x, top(x)) for x in real)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
