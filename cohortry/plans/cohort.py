@@ -17,6 +17,7 @@ from cohortry.functions.bands import AGE_BANDS, band, whole_number
 from cohortry.operators.codes import binary, category_counts, category_flags, with_summary
 from cohortry.operators.joins import renamed_keys, with_text_key
 from cohortry.operators.membership import CategoryMap, keep_members, mapped_values, relabel
+from cohortry.operators.ordered import least
 from cohortry.sources.codelists import CodeList
 
 
@@ -60,12 +61,16 @@ class Study:
         return self.disorder_names + self.substance_names
 
 
+def _listed(**categories: CategoryMap) -> dict[str, list[str]]:
+    """The values of the maps that are held as values."""
+    return {column: list(pairs) for column, pairs in categories.items() if isinstance(pairs, dict)}
+
+
 def eligible_persons(study: Study) -> DataFrame:
     """Persons of a wanted race and sex, one row per subject."""
     kept = keep_members(study.persons, "race", study.races).where(F.col("race").isNotNull())
     kept = with_text_key(keep_members(kept, "sex", study.sexes), *study.keys, "sex")
-    one = F.min(F.struct("race", "sex")).alias("person")
-    return kept.groupBy(*study.keys).agg(one).select(*study.keys, "person.*")
+    return least(kept, study.keys, ["race", "sex"], ["race", "sex"], _listed(race=study.races, sex=study.sexes))
 
 
 def first_visits(study: Study) -> DataFrame:
@@ -76,13 +81,9 @@ def first_visits(study: Study) -> DataFrame:
     visits = keep_members(study.visits, "visit_type", study.settings)
     visits = renamed_keys(visits, study.visit_keys or study.keys, study.keys)
     visits = with_text_key(visits, *study.keys).withColumn("age", whole_number(F.col("age").cast("string")))
-    first = F.min(F.struct("age", *study.visit_order, "visit_type")).alias("first")
-    return (
-        visits.where(F.col("age").isNotNull())
-        .groupBy(*study.keys)
-        .agg(first)
-        .select(*study.keys, "first.age", "first.visit_type")
-    )
+    visits = visits.where(F.col("age").isNotNull())
+    order = ["age", *study.visit_order, "visit_type"]
+    return least(visits, study.keys, order, ["age", "visit_type"], _listed(visit_type=study.settings))
 
 
 def subjects(study: Study) -> DataFrame:

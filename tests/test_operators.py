@@ -8,6 +8,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from cohortry.operators import codes, counts, dedupe, design, joins, membership
+from cohortry.operators.ordered import Packed, least
 from cohortry.plans.cohort import Study, cohort, counted_cohort, eligible_persons, first_visits, flagged, subjects
 from cohortry.sources.codelists import CodeList
 
@@ -90,6 +91,25 @@ def test_filtered_join(spark):
     assert rows_of(found) == [(1, "hi", 6), (1, "hi", 9)]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "tinyint"])
+def test_least_combination_packed_and_as_struct(spark, kind):
+    top = 2**63 - 1 if kind == "bigint" else 127
+    draw = random.Random(kind)
+    numbers = [None, 0, 1, -1, 9, 10, top, top - 1, -top - 1]
+    rows = [(draw.randrange(60), draw.choice([None, -(2**31), 2**31 - 1, 0, 5]), draw.choice(numbers), draw.choice([None, "b", "a", "\u00e9", "B"])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "id int, age int, visit bigint, place string").withColumn("visit", F.col("visit").cast(kind))
+    columns, listed = ["age", "visit", "place"], {"place": ["b", "a", "\u00e9", "B"]}
+    assert Packed.fits(df, columns, listed) == (kind == "tinyint")
+    found = least(df, ["id"], columns, columns, listed)
+    assert found.schema == least(df, ["id"], columns, columns, {}).schema
+    best = {}
+    for key, *rest in rows:
+        best[key] = min(best.get(key, rest), rest, key=lambda r: [(x is not None, x.encode() if isinstance(x, str) else x or 0) for x in r])
+    for table in (found, least(df, ["id"], columns, columns, {})):
+        assert {r[0]: list(r[1:]) for r in table.collect()} == best
+    assert least(df.where("false"), ["id"], columns, columns, {"place": []}).count() == 0
+
+
 def test_first_visit(spark):
     made = study_of(
         spark,

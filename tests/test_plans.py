@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from checks.study import diagnosed, study, visits
@@ -50,6 +52,20 @@ def test_codes_are_combined_before_the_shuffle(spark, folder, no_broadcast):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+def test_persons_are_hashed_before_the_shuffle(spark, folder, no_broadcast):
+    plan = plan_of(cohort.eligible_persons(study(spark, folder)))
+    assert plan.index("Exchange hashpartitioning(patientid") < plan.index("partial_min")
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_visits_are_hashed_where_their_types_fit_a_number(spark, folder, no_broadcast):
+    made = study(spark, folder)
+    assert "SortAggregate" in plan_of(cohort.first_visits(made))  # any int age beside any bigint visit number
+    short = replace(made, visits=made.visits.withColumn("visit_id", (F.col("visit_id") % 100).cast("smallint")))
+    plan = plan_of(cohort.first_visits(short))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_map_filter_reaches_the_scan(spark, folder):
     plan = cohort.first_visits(study(spark, folder))
     text = plan._jdf.queryExecution().executedPlan().toString()
