@@ -15,7 +15,6 @@ runs of these numbers which sequences they fill.
 from __future__ import annotations
 
 import bisect
-import gc
 import os
 import re
 from collections import defaultdict
@@ -35,13 +34,26 @@ from cohortry.session import stored
 _BLANK = re.compile(r"[ \t\n\r]+")
 # No token of the tokenizer spans a change between ASCII letters and other ASCII characters, but for an apostrophe before letters.
 _CHANGE = re.compile(r"(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-z])")
-# Texts of Latin letters, and of characters that are neither letters nor numbers nor marks, or ASCII digits, are parted into their runs at once.
+# Words of Latin letters, ASCII digits, and characters that are neither letters nor numbers nor marks are parted into their runs.
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _OTHER = r"!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞"
-_LATIN = re.compile(rf"[{_LETTER}{_OTHER}0-9 \t\n\r]*")
-_RUN = re.compile(rf"[{_LETTER}]+|[0-9]|[{_OTHER}]+(?:(?<=')[{_LETTER}]+)?")
-# Controls that str.split takes for blanks and the tokenizer does not.
-_CONTROLS = re.compile("[\x1c-\x1f]")
+_LETTERS = re.compile(f"[{_LETTER}]+")
+_GAP, _L, _O, _DIGIT, _ODD = range(5)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower case of each character up to the last white space; the last entries stand for all characters after it."""
+    chars = "".join(map(chr, range(0x3002)))
+    kind, lower = np.full(len(chars), _ODD, np.uint8), np.arange(len(chars), dtype=np.uint32)
+    # str.isspace takes four controls for blanks that the tokenizer does not
+    for of, found in ((_GAP, re.findall(r"[^\S\x1c-\x1f]", chars)), (_L, re.findall(f"[{_LETTER}]", chars)), (_O, re.findall(f"[{_OTHER}]", chars)), (_DIGIT, "0123456789")):
+        kind[[ord(c) for c in found]] = of
+    at = np.flatnonzero(kind == _L)
+    lower[at] = [ord(chars[i].lower()) for i in at]
+    return kind, lower
+
+
+_KIND, _LOWER = _tables()
 
 
 @dataclass(frozen=True)
@@ -50,7 +62,7 @@ class Settings:
     tokenizer: str = field(default_factory=lambda: public_tokenizers.path("word_bpe_49k.json"))  # one that parts white space, letters and others, in lower case
     end: int = 0  # id that closes a document
     known_words: int = 500_000  # ids of so many different words are kept at hand in a task
-    segment: int = 1 << 20  # characters of a long text that are looked at together
+    segment: int = 1 << 20  # characters of texts that are looked at together
 
 
 class Words:
@@ -58,7 +70,7 @@ class Words:
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those of its
     blank-separated words in a row, and those of a word are the ids of its runs of letters and of other characters. A
-    word or run met again is not tokenised again; new runs are tokenised many at a time.
+    word or run met again is not tokenised again; new ones are tokenised many at a time.
     """
 
     def __init__(self, settings: Settings):
@@ -66,39 +78,40 @@ class Words:
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(settings.tokenizer)
+        letters = Tokenizer(made.model)  # for runs of letters in lower case: nothing to normalize
+        letters.pre_tokenizer = made.pre_tokenizer
         self.settings = settings
-        self.encode = made.encode
+        self.encode, self.encode_letters = made.encode, letters.encode
         added = [re.escape(token.content) for token in made.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(added) or "(?!)")
         self.known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        """Puts the ids of words that are not known yet into ``known``."""
-        parts = {}
-        special = [word for word in words if self._special.search(word)]
+        """Puts the ids of words and runs that are not known yet into ``known``."""
+        letters, parts = [], {}
         for word in words:
-            # lower case only where no letter can combine with a mark
-            plain = word.lower() if word.isascii() else word
-            parts[word] = [plain] if plain.isalpha() else _CHANGE.split(plain)
-        parts |= {word: [word] for word in special}
-        self._learn_runs({run for runs in parts.values() for run in runs})
-        self.runs[""] = b""
-        for word, runs in parts.items():
-            self.known[word] = self.runs[runs[0]] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))
-
-    def _learn_runs(self, runs: set[str]) -> None:
-        """Puts the ids of runs that are not known yet into ``runs``."""
-        new = [run for run in runs.difference(self.runs) if run]
-        for first in range(0, len(new), 256):
-            some = new[first : first + 256]
+            if _LETTERS.fullmatch(word):
+                letters.append(word)
+            elif self._special.search(word):
+                parts[word] = [word]
+            else:
+                # lower case only where no letter can combine with a mark
+                parts[word] = _CHANGE.split(word.lower() if word.isascii() else word)
+        for some in _by(256, letters):
+            found = self.encode_letters(" ".join(some), add_special_tokens=False)
+            self._keep(some, found.ids, np.cumsum(np.bincount(found.word_ids, minlength=len(some))))
+        for some in _by(256, list({run for runs in parts.values() for run in runs}.difference(self.known))):
             found = self.encode(" ".join(some), add_special_tokens=False)
             ends = np.cumsum([len(run) + 1 for run in some])
-            cuts = 4 * np.searchsorted(np.array([begin for begin, _ in found.offsets]), ends)
-            ids, begin = np.array(found.ids, "<u4").tobytes(), 0
-            for run, end in zip(some, cuts.tolist(), strict=True):
-                self.runs[run] = ids[begin:end]
-                begin = end
+            self._keep(some, found.ids, np.searchsorted(np.array([begin for begin, _ in found.offsets]), ends))
+        for word, runs in parts.items():
+            self.known[word] = b"".join(map(self.known.__getitem__, runs))
+
+    def _keep(self, runs: list[str], ids: list[int], ends: np.ndarray) -> None:
+        data, begin = np.array(ids, "<u4").tobytes(), 0
+        for run, end in zip(runs, (4 * ends).tolist(), strict=True):
+            self.known[run] = data[begin:end]
+            begin = end
 
     def segments(self, text: str) -> Iterator[str]:
         """The text in parts that end at a blank; a single longer word is a part of its own."""
@@ -118,36 +131,82 @@ class Words:
         out: list[list[bytes]] = [[] for _ in texts]
         first = 0
         while first < len(segments):
-            last, size, split, words, runs = first, 0, [], set(), set()
-            while last < len(segments) and (last == first or size + len(segments[last][1]) <= self.settings.segment):
-                segment = segments[last][1]
-                if _LATIN.fullmatch(segment) and not self._special.search(segment):
-                    split.append((self.runs, _RUN.findall(segment.lower())))
-                    runs.update(split[-1][1])
-                else:
-                    split.append((self.known, _BLANK.split(segment) if _CONTROLS.search(segment) else segment.split()))
-                    words.update(split[-1][1])
-                last, size = last + 1, size + len(segment)
-            if len(self.known) + len(self.runs) + len(words) + len(runs) > self.settings.known_words:
-                self.known.clear()
-                self.runs.clear()
-            self._learn_runs(runs)
-            self._learn(list(words.difference(self.known)))
-            for (i, _), (known, found) in zip(segments[first:last], split, strict=True):
-                out[i].append(b"".join(map(known.__getitem__, found)))
+            last, size = first + 1, len(segments[first][1])
+            while last < len(segments) and size + len(segments[last][1]) <= self.settings.segment:
+                last, size = last + 1, size + len(segments[last][1])
+            some = segments[first:last]
+            for (i, _), found in zip(some, self._ids([segment for _, segment in some]), strict=True):
+                out[i].append(found)
             first = last
         return [found[0] if len(found) == 1 else b"".join(found) for found in out]
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        whole = "\n".join(texts)
+        runs, begins = self._runs(whole)
+        words = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, words))
+        new = [word for word, ids in zip(words, found, strict=True) if ids is None]
+        if new:
+            if len(self.known) + len(new) > self.settings.known_words:
+                self.known.clear()
+                new = words
+            self._learn(new)
+            found = list(map(self.known.__getitem__, words))
+        # the ids of all different words in a row, and where those of each run stand there
+        ids, size = np.frombuffer(b"".join(found), "<u4"), np.array(list(map(len, found)), np.int64) // 4
+        which = runs.indices.to_numpy()
+        many = size[which]
+        ends = np.cumsum(np.r_[0, many])
+        places = np.repeat((np.cumsum(size) - size)[which] - ends[:-1], many) + np.arange(ends[-1])
+        data = ids[places].tobytes()
+        last = np.cumsum([len(text) + 1 for text in texts])
+        cuts = [0, *(4 * ends[np.searchsorted(begins, last)]).tolist()]
+        return [data[begin:end] for begin, end in zip(cuts, cuts[1:])]
+
+    def _runs(self, whole: str) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The runs of a text in lower case, words of other characters whole and as they are, and where each begins."""
+        chars = np.frombuffer(whole.encode(), np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        kind = _KIND.take(chars, mode="clip")
+        for found in self._special.finditer(whole):
+            kind[found.start()] = _ODD
+        at = np.flatnonzero(kind)
+        chars, kind = chars[at], kind[at]
+        word = np.diff(at, prepend=-2) > 1  # where one begins
+        start = np.diff(kind, prepend=_GAP) != 0
+        start[1:] &= (chars[:-1] != ord("'")) | (kind[1:] != _L)
+        start |= word | (kind == _DIGIT)
+        lower = _LOWER.astype(chars.dtype).take(chars, mode="clip")
+        odd = kind == _ODD
+        if odd.any():
+            of = np.cumsum(word) - 1
+            odd = np.bincount(of, odd)[of] > 0  # every character of such a word
+            start &= word | ~odd
+            lower = np.where(odd, chars, lower)
+        starts = np.flatnonzero(start)
+        if lower.dtype == np.uint8:
+            data, offsets = lower, np.r_[starts, len(lower)]
+        else:
+            data = lower.tobytes().decode("utf-32-le").encode()
+            width = 1 + (lower >= 0x80).astype(np.int8) + (lower >= 0x800) + (lower >= 0x10000)
+            offsets = np.cumsum(np.r_[0, width])[np.r_[starts, len(lower)]]
+        runs = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        return runs.dictionary_encode(), at[starts]
+
+
+def _by(many: int, items: list[str]) -> Iterator[list[str]]:
+    return (items[first : first + many] for first in range(0, len(items), many))
+
 
 def id_lists(words: Words, texts: pa.Array) -> Iterator[bytes]:
-    """The ids of each text of a column, a few texts at a time, so that their words are still at hand when they are joined."""
-    for first in range(0, len(texts), 8):
-        gc.disable()  # lists of many words, none of them in a cycle
-        try:
-            found = words.ids([text or "" for text in texts.slice(first, 8).to_pylist()])
-        finally:
-            gc.enable()
-        yield from found
+    """The ids of each text of a column, of few texts at a time."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if size >= words.settings.segment:
+            yield from words.ids(some)
+            some, size = [], 0
+    yield from words.ids(some)
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
