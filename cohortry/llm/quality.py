@@ -5,7 +5,7 @@ to three), where the form of a word is its case, the signs that follow it, and
 whether it repeats the word before. They are hashed into a fixed number of
 buckets. Each indicator is scaled by its class log-count ratio, rows are brought
 to unit length, and a linear model with squared hinge loss is fitted by dual
-coordinate descent. A logistic curve turns margins into scores.
+coordinate descent. A logistic curve, fitted by fivefold cross-validation, turns margins into scores.
 
 The counts behind the ratios cover all training rows; the linear model is fitted on
 the driver with at most ``sample_docs`` rows of each class of ``sample_bytes`` each.
@@ -150,17 +150,18 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     for i, y in enumerate(labels):
         at = bucket[cut[i] : cut[i + 1]]
         made.append((at, without[y][at] / np.sqrt(max(len(at), 1))))
-    # Every fifth row is kept back for the curve, so that its margins are not those of fitted rows.
-    back = np.arange(len(made)) % 5 == 4
-    if len(set(labels[back])) < 2 or len(set(labels[~back])) < 2:
-        back[:] = False
     signs = np.where(labels == 1, 1.0, -1.0)
-    used = np.flatnonzero(~back)
-    weights = _descend([made[i] for i in used], signs[used], settings)
+    weights = _descend(made, signs, settings)
     margins = np.array([float(weights[at] @ value) for at, value in made])
-    on = back if back.any() else ~back
+    # The curve is fitted to margins of weights that did not see the row: those of the other four fifths.
+    if min((labels == 1).sum(), (labels == 0).sum()) > 1:
+        fold = np.arange(len(made)) % 5  # rows are in the order of their labels, so each part has both
+        for part in range(5):
+            used, back = np.flatnonzero(fold != part), np.flatnonzero(fold == part)
+            others = _descend([made[i] for i in used], signs[used], settings)
+            margins[back] = [float(others[made[i][0]] @ made[i][1]) for i in back]
     share = np.where(labels == 1, n_ones / max((labels == 1).sum(), 1), n_zeros / max((labels == 0).sum(), 1))
-    slope, offset = _curve(margins[on], labels[on].astype(float), share[on] / share[on].mean())
+    slope, offset = _curve(margins, labels.astype(float), share / share.mean())
     return Model(weights * ratios, slope, offset)
 
 

@@ -241,3 +241,13 @@ def test_quality_model_by_hand(spark):
         assert (abs(ratio) < 1e-12) <= (abs(model.weights[bucket]) < 1e-9)
         made = quality._ratios(np.array([counts[1].get(bucket, 0)]), np.array([counts[0].get(bucket, 0)]), 30, 30)[0]
         assert abs(made - ratio) < 1e-12
+
+
+def test_every_sampled_row_has_a_say_in_the_quality_weights(spark):
+    docs = [(i, f"good words here own{i}" if i % 3 else f"bad bad text own{i}", int(i % 3 > 0)) for i in range(60)]
+    model = quality.fit(spark.createDataFrame(docs, "doc_id int, text string, label int"))
+    without = [set(quality.text_features(pa.array([text.replace(f" own{i}", "")]))[1].tolist()) for i, text, _ in docs]
+    shared = set().union(*without)
+    for i, text, _ in docs:
+        own = set(quality.text_features(pa.array([f"own{i}"]))[1].tolist()) - shared
+        assert own and np.abs(model.weights[list(own)]).max() > 0, text
